@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, mixing, warc
+from tallyfield.llm import chat, gif, mixing, packing, pivots, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_topk": pivots.op2_topk,
+    "op3_gif": gif.op3_gif,
+    "op4_pack": packing.op4_pack,
     "op7_warc": warc.op7_warc,
     "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL = {
     "op1_mix": mixing.OP1_SQL,
+    "op2_topk": pivots.OP2_SQL,
     "op7_warc": warc.OP7_SQL,
     "op10_chat": chat.OP10_SQL,
 }
