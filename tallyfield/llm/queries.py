@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, gif, minhash, mixing, packing, pivots, warc
+from tallyfield.llm import chat, gif, minhash, mixing, packing, pivots, suffixes, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_gif": gif.op3_gif,
     "op4_pack": packing.op4_pack,
     "op7_warc": warc.op7_warc,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_minhash": minhash.op9_minhash,
     "op10_chat": chat.op10_chat,
 }
