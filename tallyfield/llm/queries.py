@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, gif, minhash, mixing, packing, pivots, suffixes, warc
+from tallyfield.llm import chat, crf, gif, minhash, mixing, packing, pivots, suffixes, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_topk": pivots.op2_topk,
     "op3_gif": gif.op3_gif,
     "op4_pack": packing.op4_pack,
+    "op5_quality": crf.op5_quality,
     "op7_warc": warc.op7_warc,
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_minhash": minhash.op9_minhash,
