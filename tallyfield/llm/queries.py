@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, crf, gif, minhash, mixing, packing, pivots, suffixes, warc
+from tallyfield.llm import chat, crf, gif, minhash, mixing, packing, pii, pivots, suffixes, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_gif": gif.op3_gif,
     "op4_pack": packing.op4_pack,
     "op5_quality": crf.op5_quality,
+    "op6_pii": pii.op6_pii,
     "op7_warc": warc.op7_warc,
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_minhash": minhash.op9_minhash,
