@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -30,8 +31,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per context.
 
     Workers on other machines don't have the driver's import path, so the
-    package travels as a zip through ``addPyFile``.
+    package travels as a zip through ``addPyFile``. Where the size of Arrow
+    batches is left at its default, it is lowered for long texts.
     """
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default: thousands of long texts at once in a worker
+        spark.conf.set(_BATCH, "1000")
     sc = spark.sparkContext
     if getattr(sc, "_tallyfield_shipped", False):
         return
