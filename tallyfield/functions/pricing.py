@@ -50,9 +50,16 @@ def expected_values(p: Column, odd: Column, opposite: Column, value_edge: float
     return out
 
 
-def ev_grade(ev: Column) -> Column:
-    """Five levels of expected value."""
-    return F.when(ev.isNull(), "NONE").when(ev >= 0.10, "EXCELLENT").when(ev >= 0.05, "GOOD").when(ev >= 0.02, "FAIR").when(ev > 0, "THIN").otherwise("NEGATIVE")
+def ev_grade(ev: Column, edge: Column) -> Column:
+    """Five levels of value, by edge and expected value; UNKNOWN without either."""
+    return (
+        F.when(ev.isNull() | edge.isNull(), "UNKNOWN")
+        .when((edge > 0.08) & (ev > 0.05), "PREMIUM_VALUE")
+        .when((edge > 0.05) & (ev > 0.03), "HIGH_VALUE")
+        .when((edge > 0.02) & (ev > 0.01), "VALUE")
+        .when(edge > 0, "MARGINAL")
+        .otherwise("NO_VALUE")
+    )
 
 
 def kelly(p: Column, odd: Column, fraction: Column | float = 0.25, least: float = 0.005, most: float = 0.05) -> Column:
@@ -63,12 +70,10 @@ def kelly(p: Column, odd: Column, fraction: Column | float = 0.25, least: float
     return F.when(F.coalesce(ok, F.lit(False)), F.when(full > 0, F.round(clamp(full * fraction, least, most), 4)).otherwise(0.0)).otherwise(0.0)
 
 
-def kelly_multiplier(drawdown: Column, clv: Column, confidence: Column, base: float = 0.25) -> Column:
-    """The Kelly fraction by drawdown, closing-line value and confidence."""
-    by_drawdown = F.when(drawdown >= 0.20, base * 0.36).when(drawdown >= 0.10, base * 0.76).otherwise(base)
-    by_clv = F.when(clv < 0, 0.8).when(clv > 0.03, 1.1).otherwise(1.0)
-    by_confidence = F.when(confidence < 0.5, 0.7).when(confidence >= 0.8, 1.1).otherwise(1.0)
-    return F.round(by_drawdown * by_clv * by_confidence, 4)
+def kelly_multiplier(drawdown: Column, recent_clv: Column, confidence: Column) -> Column:
+    """What Kelly stakes are multiplied by: less in a drawdown, on a falling closing-line value, without confidence."""
+    by_drawdown = F.when(drawdown >= 0.25, 0.0).when(drawdown > 0.19, 0.25).when(drawdown > 0.09, 0.5).otherwise(1.0)
+    return by_drawdown * F.when(recent_clv < -0.02, 0.5).otherwise(1.0) * F.when(confidence < 0.55, 0.75).otherwise(1.0)
 
 
 def clv(entry: Column, closing: Column) -> Column:
@@ -77,9 +82,12 @@ def clv(entry: Column, closing: Column) -> Column:
 
 
 def clv_category(x: Column) -> Column:
-    return (
-        F.when(x.isNull(), "UNKNOWN").when(x >= 0.05, "EXCELLENT").when(x >= 0.02, "GOOD").when(x > 0, "POSITIVE").when(x >= -0.02, "SLIGHTLY_NEGATIVE").otherwise("NEGATIVE")
-    )
+    """Six levels of closing-line value; null stays null."""
+    levels = [(0.08, "EXCELLENT"), (0.04, "GOOD"), (0.01, "MARGINAL"), (-0.01, "NEUTRAL"), (-0.05, "BAD")]
+    out = F.when(x.isNull(), None)
+    for least, name in levels:
+        out = out.when(x >= least, name)
+    return out.otherwise("TERRIBLE")
 
 
 def settle_profit(won: Column, stake: Column, odd: Column) -> Column:
