@@ -165,13 +165,14 @@ def by_periods(trades: DataFrame, date: str) -> DataFrame:
 def rolling_returns(trades: DataFrame, group: list[str], order: list[str], sizes: tuple[int, ...] = (25, 50, 100)) -> DataFrame:
     """For each window size the distribution of the return over full windows of a group. One sort serves all sizes.
 
-    A group without a full window has 0 windows and a share of negative ones of 1.
+    Returns are rounded to 9 places, so that sums which cancel count as 0. A
+    group without a full window has 0 windows and a share of negative ones of 1.
     """
     w = Window.partitionBy(*group).orderBy(*order)
     d = trades
     for n in sizes:
         f = w.rowsBetween(-(n - 1), 0)
-        d = d.withColumn(f"_r{n}", F.when(F.count("*").over(f) == n, safe_divide(F.sum("profit").over(f), F.sum("stake").over(f))))
+        d = d.withColumn(f"_r{n}", F.round(F.when(F.count("*").over(f) == n, safe_divide(F.sum("profit").over(f), F.sum("stake").over(f))), 9))
     d = d.select(*group, F.inline(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"_r{n}").alias("_r")) for n in sizes])))
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return d.groupBy(*group, "window").agg(

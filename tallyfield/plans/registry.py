@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.plans import history
+from tallyfield.plans import backtest, history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (history,):
+for _part in (history, backtest):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.SQL
+
+flagship = backtest.flagship
