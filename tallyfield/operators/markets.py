@@ -58,7 +58,7 @@ def steam(odds: DataFrame, key: list[str], bookmaker: str, snapshot: str, price:
         F.count("*").alias("bookmakers"),
         F.coalesce(F.sum((F.col("_c") > step).cast("long")), F.lit(0)).alias("down"),
         F.coalesce(F.sum((F.col("_c") < -step).cast("long")), F.lit(0)).alias("up"),
-        F.round(F.avg("_c") * 100, 4).alias("mean_movement_pct"),
+        (F.round(F.avg("_c") * 100, 4) + 0.0).alias("mean_movement_pct"),
     )
     most = F.greatest("down", "up")
     found = (F.col("bookmakers") >= least) & (most >= least) & (most / F.col("bookmakers") >= share)
