@@ -10,6 +10,7 @@ their rank among those of their length.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -40,13 +41,12 @@ class WordTokenizer:
     #: A character outside these sends a text to the tokenizer itself: tab, line ends, printable ASCII without the apostrophe (contractions), Latin letters.
     _PLAIN = re.compile("[^\t\n\r\x20-\x26\x28-\x7e" + "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.category(chr(c))[0] == "L" and chr(c) != "İ") + "]")
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -70,12 +70,19 @@ class WordTokenizer:
         self.kinds, self.most_words = kinds, most_words
         self._forget()
 
+    @functools.cached_property
+    def exact(self):
+        """The tokenizer itself, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.store, self.used = np.empty(1 << 16, np.uint32), 0
         self.first, self.count = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
 
-    def encode(self, texts: list[str], chunk: int = 2_000_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str], chunk: int = 500_000) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         plain = []
         for i, t in enumerate(texts):
@@ -158,7 +165,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
     def run(batches):
         coder = tokenizer(path)
         for pdf in batches:
-            for part in arrays.pieces_of(pdf["text"].tolist(), len, 8_000_000):
+            for part in arrays.pieces_of(pdf["text"].tolist(), len, 2_000_000):
                 rows = []
                 for doc_id, ids in zip(pdf["doc_id"][part], coder.encode(pdf["text"][part].tolist())):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
