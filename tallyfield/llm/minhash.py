@@ -26,8 +26,8 @@ from tallyfield.session import materialise
 
 #: 80 functions give 160 values in 32 bands of 5: of pairs at similarity 0.8, 3 in a million share no band.
 PERMS, BAND = 80, 5
-#: Signatures of 160 values differ from the similarity by 0.03 in the mean; below this a pair of 0.8 is out of question (six times that).
-LEAST_ESTIMATE = 0.6
+#: Signatures of 160 values differ from the similarity by 0.03 in the mean; below this a pair of 0.8 is out of question (nearly five times that).
+LEAST_ESTIMATE = 0.65
 #: Members compared with a head in one group, and members in a block of a bucket.
 GROUP, BLOCK = 128, 256
 
@@ -139,6 +139,69 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
+def confirm_families(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Links among the documents of pairs (a, b), for pairs that may be dense.
+
+    Documents that pairs connect are a family, cut into blocks of about
+    ``GROUP``. A pair of blocks that holds a pair is a group, which gets each
+    of its documents once, however many pairs it is in, and compares all of
+    them; what it finds beyond the pairs given are links too.
+    """
+    families = components(pairs, "near-families")
+    sizes = families.groupBy("component").agg((F.floor((F.count("*") - 1) / GROUP) + 1).cast("int").alias("blocks"))
+    placed = families.join(sizes, "component").select("node", F.col("component").alias("family"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    left = placed.select(F.col("node").alias("a"), "family", F.col("block").alias("x"))
+    right = placed.select(F.col("node").alias("b"), F.col("block").alias("y"))
+    cells = pairs.join(left, "a").join(right, "b").select("family", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.array("a", "b").alias("ids"))
+    wanted = cells.select("family", "x", "y", F.explode("ids").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = wanted.join(texts, "id").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+
+    def solve(ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
+        sets = []
+        for part in arrays.pieces_of(texts, len, 1_000_000):
+            sets += shingle_sets(texts[part], width)
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in similar_sets(sets, similarity) if ids[i] != ids[j]]
+
+    def run(batches):
+        now, ids, texts = None, [], []
+        for pdf in batches:
+            found = []
+            for *key, i, text in zip(pdf["family"], pdf["x"], pdf["y"], pdf["id"], pdf["text"]):
+                if key != now:
+                    found += solve(ids, texts)
+                    now, ids, texts = key, [], []
+                ids.append(i)
+                texts.append(text)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(solve(ids, texts), columns=["a", "b"], dtype=np.int64)
+
+    return rows.mapInPandas(run, "a long, b long").distinct()
+
+
+def similar_sets(sets: list[np.ndarray], similarity: int, columns: int = 20_000) -> list[tuple[int, int]]:
+    """Index pairs of sets with a Jaccard similarity of ``similarity`` per cent or more, by products of incidence matrices."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[column] > 1  # what one set has alone is in no intersection
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [first, first + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[a:b], column[a:b] - first] = 1
+        common += m @ m.T
+    union = sizes[:, None] + sizes[None, :] - common
+    i, j = np.nonzero(np.triu((100 * common >= similarity * union) & (sizes[:, None] > 0) & (sizes[None, :] > 0), 1))
+    return list(zip(i.tolist(), j.tolist()))
+
+
 def _met(members: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of different components that share a bucket and whose sketches are near enough.
 
@@ -215,7 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
     members = placed.join(mixed, "key").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
     later = materialise(_met(members).join(stars, ["a", "b"], "left_anti"), "near-later")
-    second = confirm(later, docs, width, similarity)
+    second = confirm_families(later, docs, width, similarity)
     labels = materialise(_joined(labels, second), "near-labels")
 
     groups = classes.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))

@@ -19,7 +19,7 @@ from tallyfield.llm.prefix import spread_key
 from tallyfield.session import materialise
 
 #: Pivots, chosen far apart among SAMPLE rows; rows of a block of candidates and of queries.
-PIVOTS, SAMPLE, BLOCK, QUERIES = 32, 1024, 512, 1024
+PIVOTS, SAMPLE, BLOCK, QUERIES = 64, 4096, 2048, 1024
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
@@ -72,11 +72,15 @@ class Table:
 
     def bounds(self, q: np.ndarray, dq: np.ndarray, dc: np.ndarray) -> np.ndarray:
         """No less than the score of any query with any candidate."""
-        low = np.zeros((len(dq), len(dc)))
-        for p in range(dq.shape[1]):
-            np.maximum(low, np.abs(dq[:, p, None] - dc[None, :, p]), out=low)
+        a, b = dq.astype(np.float32), np.ascontiguousarray(dc.T, np.float32)
+        low, gap = np.zeros((len(a), b.shape[1]), np.float32), np.empty((len(a), b.shape[1]), np.float32)
+        for p in range(a.shape[1]):
+            np.subtract(a[:, p, None], b[p], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
+        slack = 1e-6 * (1 + float(a.max(initial=0)) + float(b.max(initial=0)))  # many times the rounding of 32 bits
         top = ((q.astype(float) ** 2).sum(1) + self.longest)[:, None]
-        return (top - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + 1e-6 * (1 + top)
+        return (top - np.maximum(low - slack, 0, dtype=float) ** 2) / 2 + 1e-6 * (1 + top)
 
     def floors(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
         """A score that k candidates reach for each query: its k-th best in the sample, itself left out."""
@@ -87,27 +91,34 @@ class Table:
         return np.partition(scores, -k, axis=1)[:, -k]
 
 
-def best_in_block(t: Table, k: int, qid: np.ndarray, q: np.ndarray, dq: np.ndarray, floor: np.ndarray, cid: np.ndarray, c: np.ndarray, dc: np.ndarray, step: int = 64) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of all that can be among a query's k best, at most k a query of this block."""
+def best_in_block(t: Table, k: int, qid: np.ndarray, q: np.ndarray, dq: np.ndarray, floor: np.ndarray, cid: np.ndarray, c: np.ndarray, dc: np.ndarray, step: int = 256) -> pd.DataFrame:
+    """query_id, vec_id, score of all that can be among a query's k best, about k a query of this block.
+
+    Candidates go by their best bound, ``step`` at a time. A query stops when
+    no bound that is left reaches the k-th score that it has or ``floor``.
+    """
     bound = t.bounds(q, dq, dc)
-    out = []
-    for i in range(len(qid)):
-        order = np.flatnonzero(bound[i] >= floor[i])
-        order = order[np.argsort(-bound[i, order], kind="stable")]
-        best_s, best_id, need = np.empty(0, np.int64), np.empty(0, np.int64), floor[i]
-        for at in range(0, len(order), step):
-            now = order[at : at + step]
-            if bound[i, now[0]] < need:
-                break
-            s = _products(q[i : i + 1], c[now])[0]
-            use = (s >= need) & (cid[now] != qid[i])
-            best_s, best_id = np.concatenate([best_s, s[use]]), np.concatenate([best_id, cid[now][use]])
-            if len(best_s) >= k:
-                keep = np.lexsort((best_id, -best_s))[:k]
-                best_s, best_id = best_s[keep], best_id[keep]
-                need = max(need, float(best_s[-1]))
-        out += zip([int(qid[i])] * len(best_s), best_id.tolist(), best_s.tolist())
-    return out
+    order = np.argsort(-bound.max(0), kind="stable")
+    c, cid = c[order], cid[order]
+    ahead = np.maximum.accumulate(bound[:, order][:, ::-1], axis=1)[:, ::-1]  # the best bound from a place on
+    need, best = floor.copy(), np.full((len(q), k), -np.inf)
+    rows = []
+    for at in range(0, len(c), step):
+        live = np.flatnonzero(ahead[:, at] >= need)
+        if not len(live):
+            break
+        s = _products(q[live], c[at : at + step]).astype(float)
+        s[qid[live][:, None] == cid[None, at : at + step]] = -np.inf
+        i, j = np.nonzero(s >= np.maximum(need[live], -1e300)[:, None])
+        rows.append((live[i], at + j, s[i, j]))
+        top = np.concatenate([best[live], s], 1)
+        best[live] = np.partition(top, -k, axis=1)[:, -k:]
+        need[live] = np.maximum(need[live], best[live].min(1))
+    if not rows:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+    i, j, s = (np.concatenate(x) for x in zip(*rows))
+    keep = s >= need[i]  # the last need is the highest
+    return pd.DataFrame({"query_id": qid[i[keep]], "vec_id": cid[j[keep]], "score": np.rint(s[keep]).astype(np.int64)})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -144,15 +155,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = P
     part = F.shiftleft(F.col("cell").cast("long"), 32) + key % shares[F.col("cell")]
     blocked = table.withColumn("part", part).withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     every = F.explode(F.flatten(F.array(*[F.sequence(F.lit(c << 32), F.lit((c << 32) + -(-n // block) - 1)) for c, n in sizes.items()])))
-    asked = queries.withColumn("of", (spread_key("vec_id", seed="ask") % query_blocks).cast("int")).withColumn("part", every)
+
+    def prepare(batches):
+        for pdf in batches:
+            q = _matrix(pdf["v"].tolist(), dim)
+            yield pdf.assign(d=list(t.distances(q, True)), floor=t.floors(pdf["vec_id"].to_numpy(), q, k))
+
+    asked = queries.mapInPandas(prepare, "vec_id long, v array<long>, d array<double>, floor double")
+    asked = asked.withColumn("of", (spread_key("vec_id", seed="ask") % query_blocks).cast("int")).withColumn("part", every)
 
     def meet(key, q, c):
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        qv, cv = _matrix(q["v"].tolist(), dim), _matrix(c["v"].tolist(), dim)
-        qid, cid = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
-        found = best_in_block(t, k, qid, qv, t.distances(qv, True), t.floors(qid, qv, k), cid, cv, np.array(c["d"].tolist()))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype=np.int64)
+        own, theirs = np.array(q["d"].tolist()), np.array(c["d"].tolist())
+        return best_in_block(t, k, q["vec_id"].to_numpy(), _matrix(q["v"].tolist(), dim), own, q["floor"].to_numpy(), c["vec_id"].to_numpy(), _matrix(c["v"].tolist(), dim), theirs)
 
     found = asked.groupBy("of", "part").cogroup(blocked.groupBy("of", "part")).applyInPandas(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

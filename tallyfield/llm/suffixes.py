@@ -24,8 +24,8 @@ from tallyfield.llm import arrays
 from tallyfield.session import materialise
 
 LENGTH, GRAM = 400, 48
-#: Different runs of a gram in a shard, bytes of a suffix array, rows of a merge.
-SHARD_RUNS, ARRAY_BYTES, MERGE_ROWS = 2048, 500_000, 100_000
+#: Different runs of a gram in a shard, bytes of a suffix array, buckets of windows for each shard of a gram.
+SHARD_RUNS, ARRAY_BYTES, BUCKETS = 2048, 500_000, 8
 #: Low bits of a selection key that hold the place, so bytes handled at a time stay below 2^24.
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 22
@@ -214,8 +214,13 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
 
 def _search_shards(parts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of each shard as intervals (found), and of grams with several shards their different windows (window digest)."""
+    """Repeated windows of each shard as intervals (key, lo, hi); and, of grams with several shards, their different windows.
+
+    Those leave in blocks: of a shard and bucket the sorted 16-byte digests of
+    the windows and, in that order, their keys and starts.
+    """
     dealt = parts.repartition("gram", "shard").sortWithinPartitions("gram", "shard")
+    columns = ["key", "lo", "hi", "gram", "shard", "bucket", "digests", "places"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = pdf["bytes"].tolist()
@@ -223,13 +228,18 @@ def _search_shards(parts: DataFrame, length: int) -> DataFrame:
         rows, keys, los = [], pdf["key"].tolist(), pdf["lo"].tolist()
         for i, (starts, times) in enumerate(zip(again, pdf["times"])):
             if times == 1:  # what occurs more often is removed whole, without this
-                rows += [(keys[i], los[i] + a, los[i] + b, None, None, None) for a, b in _intervals(starts)]
+                rows += [(keys[i], los[i] + a, los[i] + b, None, None, None, None, None) for a, b in _intervals(starts)]
         shards, grams, shard = (pdf[c].tolist() for c in ("shards", "gram", "shard"))
+        blocks: dict[tuple, list] = {}
         for i, start in different:
             if shards[i] > 1:
                 digest = hashlib.blake2b(raw[i][start : start + length], digest_size=16).digest()
-                rows.append((keys[i], los[i] + start, los[i] + start, grams[i], shard[i], digest))
-        return pd.DataFrame(rows, columns=["key", "lo", "hi", "gram", "shard", "digest"]).astype({"gram": "Int64", "shard": "Int32"})
+                bucket = int.from_bytes(digest[:8], "little") % (BUCKETS * shards[i])
+                blocks.setdefault((grams[i], shard[i], bucket), []).append((digest, keys[i], los[i] + start))
+        for block, found in blocks.items():
+            found.sort()
+            rows.append((None, None, None, *block, b"".join(f[0] for f in found), np.array([f[1:] for f in found], np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=columns, dtype=object).astype({c: "Int64" for c in columns[:6]})  # through objects: as doubles, keys beside nulls would lose digits
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -250,29 +260,28 @@ def _search_shards(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(run, "key long, lo long, hi long, gram long, shard int, digest binary")
+    return dealt.mapInPandas(run, "key long, lo long, hi long, gram long, shard long, bucket long, digests binary, places binary")
 
 
-def _merge_shards(windows: DataFrame) -> DataFrame:
-    """Windows (key, lo) that another shard of their gram has too: each shard's sorted digests are searched in those of the others."""
-    n = max(1, -(-windows.count() // MERGE_ROWS))
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
+def _merge_shards(blocks: DataFrame) -> DataFrame:
+    """Windows (key, lo, hi = lo) that another shard of their gram has too: each block's digests are searched in the other shards' of its bucket."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = {s: g.sort_values("digest") for s, g in pdf.groupby("shard")}
+        runs = [np.frombuffer(d, "S16") for d in pdf["digests"]]
         out = []
-        for s, g in runs.items():
-            own, hit = g["digest"].to_numpy(), np.zeros(len(g), bool)
-            for other, o in runs.items():
-                if other != s:
-                    theirs = o["digest"].to_numpy()
-                    at = np.searchsorted(theirs, own)
-                    inside = at < len(theirs)
-                    hit[inside] |= theirs[at[inside]] == own[inside]
-            out.append(g.loc[hit, ["key", "lo"]])
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"key": [], "lo": []}, dtype=np.int64)
+        for i, (own, places) in enumerate(zip(runs, pdf["places"])):
+            hit = np.zeros(len(own), bool)
+            for j, theirs in enumerate(runs):
+                if i != j:
+                    at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+                    hit |= theirs[at] == own
+            out.append(np.frombuffer(places, np.int64).reshape(-1, 2)[hit])
+        found = pd.DataFrame(np.concatenate(out), columns=["key", "lo"])
+        found = found.sort_values(["key", "lo"])  # neighbours become one interval
+        new = (found["key"].diff() != 0) | (found["lo"].diff() != 1)
+        return found.groupby(new.cumsum()).agg(key=("key", "first"), lo=("lo", "first"), hi=("lo", "last"))
 
-    return windows.withColumn("bucket", bucket).select("bucket", "shard", "digest", "key", "lo").groupBy("bucket").applyInPandas(merge, "key long, lo long")
+    return blocks.select("gram", "bucket", "digests", "places").groupBy("gram", "bucket").applyInPandas(merge, "key long, lo long, hi long")
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -290,8 +299,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     shards = (F.floor((F.col("contents") - 1) / SHARD_RUNS) + 1).cast("int")
     wanted = contents.filter("contents > 1").withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("key", "lo"), F.col("shards")).cast("int"))
     found = materialise(_search_shards(_with_bytes(wanted, docs, length), length), "repeat-found")
-    inside = found.filter("digest IS NULL").select("key", "lo", "hi")
-    across = _merge_shards(found.filter("digest IS NOT NULL")).select("key", "lo", F.col("lo").alias("hi"))
+    inside = found.filter("bucket IS NULL").select("key", "lo", "hi")
+    across = _merge_shards(found.filter("bucket IS NOT NULL"))
     # A window of several shards stands for its equals in its own shard, which are found already unless it is the only one.
     every = whole.union(inside).union(across)
     return every.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
