@@ -190,7 +190,8 @@ class ComplementPlan:
         self.pairs: int | None = None
         self.patterns: list[tuple[list[int], int]] = []
         for first in range(capacity, 0, -1):
-            if n := self.left[first]:
+            while self.left[first]:
+                n = -(-self.left[first] // (capacity // first))  # short lengths may fill gaps behind their equals
                 self._take(first, n)
                 self._fill([first], capacity - first, n)
 
