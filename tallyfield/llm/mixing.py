@@ -121,9 +121,10 @@ def _not_after_epoch(cut: tuple, finish, epoch: int):
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    times = mix_sources(docs, weights, max_epochs, seed, keep=[c for c in docs.columns if c != "doc_id"])
-    return times.filter("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it. Columns may have any names beside doc_id, text and source."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    times = mix_sources(rows, weights, max_epochs, seed, keep=["_row"])
+    return times.filter("times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

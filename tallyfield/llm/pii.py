@@ -267,20 +267,22 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null. Spans that overlap are replaced from left to right;
     what is left of a later one goes too.
     """
-    found = find_spans(docs, keep=docs.columns)
+    found = find_spans(docs.select("text", F.struct(*docs.columns).alias("_row")), keep=["_row"])  # whatever other columns are called
+    whole = F.col("_row.text")
 
     def put(acc: Column, s: Column) -> Column:
-        between = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        between = F.substring(whole, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).cast("int").alias("at"), F.concat(acc["parts"], F.array(between, mark)).alias("parts"))
 
     done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), put)
-    rest = F.substring(F.col("text"), done["at"] + 1, F.length("text"))
-    text = F.when(F.size("spans") > 0, F.concat(F.array_join(done["parts"], ""), rest)).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
+    rest = F.substring(whole, done["at"] + 1, F.length(whole))
+    text = F.when(F.size("spans") > 0, F.concat(F.array_join(done["parts"], ""), rest)).otherwise(whole)
+    new = {}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_text")).select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    out = found.withColumn("_text", text)
+    return out.select(*[F.col("_text").alias(c) if c == "text" else new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
