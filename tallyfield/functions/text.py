@@ -50,9 +50,9 @@ def stable_id(*parts: Column | str, length: int = 16) -> Column:
 
 
 def parse_flags(x: Column | str) -> Column:
-    """The distinct flags, in order, of a text such as "[a, 'b'; c|a]"."""
+    """The distinct flags in upper case, in order, of a text such as "[a, 'b'; c|a]"."""
     bare = F.regexp_replace(F.coalesce(col(x), F.lit("")), r"[\[\]'\"]", "")
-    return F.array_distinct(F.filter(F.transform(F.split(bare, r"[,;|]"), F.trim), lambda f: f != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.upper(bare), r"[,;|]"), lambda f: F.trim(f)), lambda f: f != ""))
 
 
 def add_warning(x: Column | str, warning: str) -> Column:
