@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.plans import backtest, history, models, prices
+from tallyfield.plans import backtest, history, models, prices, reconcile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (history, backtest, prices, models):
+for _part in (history, backtest, prices, models, reconcile):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.SQL
 
