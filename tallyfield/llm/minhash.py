@@ -8,7 +8,8 @@ make candidates and full shingle sets confirm them.
 Texts with equal sets are one class and only classes take part. In a bucket
 all classes are first compared with its smallest; classes that this joins need
 no more comparisons. What then still meets in a bucket from different
-components is compared by signature, in blocks, and confirmed on full sets.
+components is compared by signature, in blocks; what near signatures connect
+is a family, whose members are compared on full sets, in blocks as well.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PERMS, BAND = 80, 5
 LEAST_ESTIMATE = 0.65
 #: Members compared with a head in one group, and members in a block of a bucket.
 GROUP, BLOCK = 128, 256
+#: Places of the filter in front of the shuffle of texts: 1 MB.
+FILTER_BITS = 1 << 23
 
 _RNG = np.random.default_rng(9)
 _FACTORS = _RNG.integers(0, 2**63, PERMS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,6 +111,22 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SKETCH_SCHEMA)
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (id and more) with the text of each id.
+
+    A bitmap of ``FILTER_BITS`` hash places, broadcast in rows of 4 KB and of
+    the same size for any input, keeps most other texts out of the shuffle.
+    Where it fills up it lets more through, which the join then drops.
+    """
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    bits = wanted.select(place("id").alias("p")).groupBy(F.expr("p div 32768").alias("_row")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_p", place("id")).withColumn("_row", F.expr("_p div 32768"))
+    marked = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_p % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(_p % 8 as int)) & 1 = 1")
+    return wanted.join(texts.join(F.broadcast(bits), "_row").filter(marked).select("id", "text"), "id")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach ``similarity`` per cent.
 
@@ -119,8 +138,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     dealt = pairs.join(sizes, "a").withColumn("grp", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     heads = sizes.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(F.col("a").alias("id"), "a", "grp", F.lit(0).alias("member"))
     wanted = heads.union(dealt.select(F.col("b").alias("id"), "a", "grp", F.lit(1).alias("member")))
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = wanted.join(texts, "id").repartition("a", "grp").sortWithinPartitions("a", "grp", "member", "id")
+    rows = texts_of(wanted, docs).repartition("a", "grp").sortWithinPartitions("a", "grp", "member", "id")
 
     def run(batches):
         now, head = None, None
@@ -139,29 +157,28 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
-def confirm_families(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Links among the documents of pairs (a, b), for pairs that may be dense.
+def confirm_families(edges: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Links among documents that ``edges`` (a, b) connect, a forest of them a group.
 
-    Documents that pairs connect are a family, cut into blocks of about
-    ``GROUP``. A pair of blocks that holds a pair is a group, which gets each
-    of its documents once, however many pairs it is in, and compares all of
-    them; what it finds beyond the pairs given are links too.
+    Documents that edges connect are a family, cut into blocks of about
+    ``GROUP``. Each pair of a family's blocks is a group, which gets each of
+    its documents once and compares all of them, so dense families make no row
+    a pair, neither coming nor going.
     """
-    families = components(pairs, "near-families")
+    families = components(edges, "near-families")
     sizes = families.groupBy("component").agg((F.floor((F.count("*") - 1) / GROUP) + 1).cast("int").alias("blocks"))
-    placed = families.join(sizes, "component").select("node", F.col("component").alias("family"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    left = placed.select(F.col("node").alias("a"), "family", F.col("block").alias("x"))
-    right = placed.select(F.col("node").alias("b"), F.col("block").alias("y"))
-    cells = pairs.join(left, "a").join(right, "b").select("family", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.array("a", "b").alias("ids"))
-    wanted = cells.select("family", "x", "y", F.explode("ids").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = wanted.join(texts, "id").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+    placed = families.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    wanted = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = texts_of(wanted, docs).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
 
     def solve(ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
         sets = []
         for part in arrays.pieces_of(texts, len, 1_000_000):
             sets += shingle_sets(texts[part], width)
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in similar_sets(sets, similarity) if ids[i] != ids[j]]
+        label = np.arange(len(ids))
+        for i, j in similar_sets(sets, similarity):
+            _unite(label, np.array([i, j]))
+        return _forest(label, ids)
 
     def run(batches):
         now, ids, texts = None, [], []
@@ -179,6 +196,18 @@ def confirm_families(pairs: DataFrame, docs: DataFrame, width: int, similarity:
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
+def _unite(label: np.ndarray, members: np.ndarray) -> None:
+    """Gives all that share a label with ``members`` the smallest of their labels."""
+    own = np.unique(label[members])
+    if len(own) > 1:
+        label[np.isin(label, own)] = own[0]
+
+
+def _forest(label: np.ndarray, ids) -> list[tuple[int, int]]:
+    """A pair (a, b) for each place whose label is another place."""
+    return [(min(ids[i], ids[k]), max(ids[i], ids[k])) for i, k in enumerate(label.tolist()) if i != k and ids[i] != ids[k]]
+
+
 def similar_sets(sets: list[np.ndarray], similarity: int, columns: int = 20_000) -> list[tuple[int, int]]:
     """Index pairs of sets with a Jaccard similarity of ``similarity`` per cent or more, by products of incidence matrices."""
     if len(sets) < 2:
@@ -203,33 +232,38 @@ def similar_sets(sets: list[np.ndarray], similarity: int, columns: int = 20_000)
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share a bucket and whose sketches are near enough.
+    """Edges (a, b) that connect what shares a bucket, is of different components, is near enough by sketch and isn't compared yet: a forest a group.
 
-    ``members``: key, doc_id, component, n_shingles, sketch, and n, the rows of
-    the key. A bucket is cut into blocks and each pair of blocks is a group of
-    its own, so that a group has at most two blocks.
+    ``members``: key, doc_id, component, n_shingles, sketch, heads (those it
+    was compared with), and n, the rows of the key. A bucket is cut into blocks
+    and each pair of blocks is a group of its own, so that a group has at most
+    two blocks.
     """
     blocks = (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int")
     d = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    d = d.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "n_shingles", "sketch")
+    d = d.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "n_shingles", "sketch", "heads")
     d = d.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def near(g: pd.DataFrame) -> list[tuple[int, int]]:
         sk = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
         ids, comp, n, own = (g[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "own"))
-        out, diagonal = [], g["x"].iat[0] == g["y"].iat[0]
+        heads = np.zeros((len(g), 2 * PERMS // BAND), np.int64)
+        for i, h in enumerate(g["heads"]):
+            heads[i] = np.resize(h, heads.shape[1])  # repeats fill the row
+        label, diagonal = np.arange(len(g)), g["x"].iat[0] == g["y"].iat[0]
         for i in range(len(g) - 1):
             j = np.arange(i + 1, len(g))
             # Sets whose sizes differ by more than a fifth can't reach a similarity of 0.8.
-            fits = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= 80 * np.maximum(n[j], n[i]))
+            fits = (comp[j] != comp[i]) & (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 80 * np.maximum(n[j], n[i]))
             if not diagonal:
                 fits &= own[j] != own[i]
             j = j[fits]
             if len(j):
+                j = j[~np.isin(ids[j], heads[i]) & ~(heads[j] == ids[i]).any(1)]
                 agree = (sk[j] == sk[i]).mean(1)
                 j = j[(agree - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE]
-                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
-        return out
+                _unite(label, np.append(j, i))
+        return _forest(label, ids)
 
     def run(batches):
         held = None
@@ -276,8 +310,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
 
     placed = shared.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
-    members = placed.join(mixed, "key").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    later = materialise(_met(members).join(stars, ["a", "b"], "left_anti"), "near-later")
+    met = shared.groupBy("doc_id").agg(F.collect_set("a").alias("heads"))  # one a band at most
+    members = placed.join(mixed, "key").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id").join(met, "doc_id")
+    later = materialise(_met(members), "near-later")
     second = confirm_families(later, docs, width, similarity)
     labels = materialise(_joined(labels, second), "near-labels")
 
