@@ -242,7 +242,7 @@ def _met(members: DataFrame) -> DataFrame:
     blocks = (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int")
     d = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     d = d.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "component", "n_shingles", "sketch", "heads")
-    d = d.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    d = d.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "doc_id")
 
     def near(g: pd.DataFrame) -> list[tuple[int, int]]:
         sk = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
