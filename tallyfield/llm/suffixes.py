@@ -84,12 +84,12 @@ def window_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> l
     return list(zip(owner[first].tolist(), h[picked[first]].astype(np.int64).tolist(), starts[first].tolist(), starts[last].tolist()))
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of small whole numbers in the order of their first ``depth`` or more, and each one's rank.
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of small whole numbers in order, and each one's rank.
 
     Larsson-Sadakane: groups of equal prefixes double the length they are
     sorted by in each pass, and only groups of several suffixes are sorted
-    again. Ranks of suffixes that agree that far are equal.
+    again, until there are none.
     """
     n = len(text)
     bits = max(1, int(text.max()).bit_length() + 1)
@@ -103,7 +103,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     head = np.maximum.accumulate(np.where(change, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
     rank[order], rank[n] = head, -1
-    while h < depth:
+    while True:
         starts = np.append(np.flatnonzero(change), n)
         several = np.repeat(np.diff(starts) > 1, np.diff(starts))
         places = np.flatnonzero(several)
@@ -125,8 +125,9 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """For the first ``counts`` places of each part: how far, up to ``most``, a suffix agrees with the one before it in ``order``; 0 elsewhere.
 
-    Kasai: from one place to the next the agreement falls by one at most. All
-    parts take this step together.
+    Kasai: from one place to the next the agreement falls by one at most,
+    which holds only where all suffixes are sorted to their ends. All parts
+    take this step together.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -158,7 +159,7 @@ def repeated_starts(parts: list[bytes], length: int) -> tuple[list[np.ndarray],
     text = np.zeros(int(sizes.sum()) + len(parts), np.int32)
     text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(parts)), sizes)] = np.frombuffer(b"".join(parts), np.uint8)
     text[begins + sizes] = 256 + np.arange(len(parts))  # no two parts end alike
-    order, _ = suffix_array(text, length)
+    order, _ = suffix_array(text)
     counts = np.maximum(sizes - length + 1, 0)
     agree = common_prefixes(text, order, begins, counts, length)
     window = np.zeros(len(text), bool)

@@ -56,6 +56,18 @@ def test_suffix_array_and_common_prefixes():
         assert [a.tolist() for a in again] == [[i for i in range(len(p) - 7) if seen[p[i : i + 8]] > 1] for p in parts]
 
 
+def test_runs_that_agree_beyond_the_length_and_then_differ():
+    r = random.Random(0)
+    parts = []
+    for _ in range(160):  # 320 parts: the length sorted by doubles to 640
+        same = bytes(r.choices(b"ab", k=r.randrange(650, 741)))
+        parts += [same + x + bytes(r.choices(b"ab", k=749 - len(same))) for x in r.sample([b"x", b"y"], 2)]
+    again, different = suffixes.repeated_starts(parts, 400)
+    seen = Counter(p[i : i + 400] for p in parts for i in range(len(p) - 399))
+    assert [a.tolist() for a in again] == [[i for i in range(len(p) - 399) if seen[p[i : i + 400]] > 1] for p in parts]
+    assert [parts[i][a : a + 400] for i, a in different] == sorted(seen)
+
+
 def test_repeated_rows_and_empty_table(spark, tmp_path):
     sf = documents(spark, tmp_path / "a", [(1, "q" + "xyz" * 300, "s"), (1, "q" + "xyz" * 300, "s")])
     assert [r["n_removed"] for r in suffixes.op8_suffixes(spark, sf).collect()] == [901, 901]
