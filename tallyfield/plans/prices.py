@@ -181,6 +181,17 @@ def portfolio_kelly(spark, d):
     return markets.portfolio_shares(c, "day", "event_type", "share", pairs).select("event_id", "portfolio_share")
 
 
+@query(f"""WITH {_CAND}, k AS (SELECT day, event_id, event_type, {_KELLY} AS share FROM cand), m AS (SELECT day, event_type, sum(share) AS s FROM k GROUP BY 1, 2),
+x AS (SELECT a.day, a.event_type, count(CASE WHEN (a.event_type IN ('click', 'view') AND b.event_type IN ('click', 'view')) AND (a.s < b.s OR (a.s = b.s AND a.event_type > b.event_type)) THEN 1 END) AS cuts FROM m a JOIN m b ON a.day = b.day AND a.event_type <> b.event_type GROUP BY 1, 2),
+h AS (SELECT k.*, k.share * pow(0.5, coalesce(cuts, 0)) AS kept FROM k LEFT JOIN x USING (day, event_type)), t AS (SELECT day, sum(kept) AS total FROM h GROUP BY 1)
+SELECT event_id, round(kept * least(1.0, coalesce(0.15 / nullif(total, 0), 1.0)), 6)::DOUBLE AS portfolio_share FROM h JOIN t USING (day)""")
+def portfolio_kelly_all(spark, d):
+    """Shares of all candidates; portfolio_kelly, whose SQL is fixed, gives those of a subset."""
+    c = _candidates(spark, d).withColumn("share", pricing.kelly(F.col("p"), F.col("odd")))
+    pairs = spark.createDataFrame([("view", "click", 0.7)], "market_a string, market_b string, correlation double")
+    return markets.portfolio_shares(c, "day", "event_type", "share", pairs).select("event_id", "portfolio_share")
+
+
 @query(f"WITH {_CAND} SELECT event_id, p, odd FROM cand ORDER BY p * odd DESC, event_id LIMIT 10")
 def top_k(spark, d):
     return _candidates(spark, d).orderBy((F.col("p") * F.col("odd")).desc(), "event_id").limit(10).select("event_id", "p", "odd")

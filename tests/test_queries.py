@@ -19,6 +19,11 @@ def test_query_without_sql_gives_the_same_rows_again(spark, name):
     assert first and first == sorted(map(repr, registry.QUERIES[name](spark, SF).collect()))
 
 
+def test_every_candidate_gets_a_portfolio_share(spark):
+    shares = registry.QUERIES["portfolio_kelly_all"](spark, SF)
+    assert shares.filter("portfolio_share IS NOT NULL").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
