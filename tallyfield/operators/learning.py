@@ -39,13 +39,52 @@ def importances(model: PipelineModel, columns: list[str]) -> list[tuple[str, flo
     return sorted(zip(columns, weights), key=lambda x: (-x[1], x[0]))
 
 
-def walk_forward(df: DataFrame, columns: list[str], target: str, date: str, kind: str = "forest", trees: int = 40) -> DataFrame:
-    """A row of metrics for each calendar year but the first, trained on the years before. One model a year."""
-    years = [r[0] for r in df.select(F.year(date).alias("y")).filter("y IS NOT NULL").distinct().orderBy("y").collect()]  # a row a year
+def time_folds(df: DataFrame, date: str, parts: int = 5) -> tuple[DataFrame, list[int]]:
+    """Adds fold and lists the folds in order: calendar years or, where there is one year, ``parts`` stretches of about equally many rows.
+
+    Stretches end with an hour. Rows without a date have no fold and are left
+    out.
+    """
+    hour = F.date_trunc("hour", F.col(date).cast("timestamp"))
+    d = df.filter(F.col(date).isNotNull())
+    years = [r[0] for r in d.select(F.year(date).alias("y")).distinct().orderBy("y").collect()]  # a row a year
+    if len(years) != 1:
+        return d.withColumn("fold", F.year(date)), years
+    counts = d.groupBy(hour.alias("hour")).count().orderBy("hour").collect()  # a row an hour of one year
+    total, seen, begins = sum(r["count"] for r in counts), 0, []
+    for r in counts:
+        if len(begins) < parts and seen * parts >= len(begins) * total:
+            begins.append(r["hour"])
+        seen += r["count"]
+    fold = sum(((hour >= F.lit(b)).cast("int") for b in begins), F.lit(0))
+    return d.withColumn("fold", fold), list(range(1, len(begins) + 1))
+
+
+def fold_probabilities(df: DataFrame, columns: list[str], target: str, date: str, kind: str = "forest", trees: int = 40) -> DataFrame:
+    """Adds fold, probability and past_only: each row scored by a model of the folds before its own.
+
+    There is nothing before the first fold. Its rows are scored by a model of
+    the later folds, and past_only is false for them alone. With one fold only
+    there is no model, and probabilities are null.
+    """
+    d, folds = time_folds(df, date)
+    if len(folds) < 2:
+        return d.withColumn("probability", F.lit(None).cast("double")).withColumn("past_only", F.lit(False))
     out = None
-    for y in years[1:]:
-        model = train(df.filter(F.year(date) < y), columns, target, kind, trees)
-        scored = score(model, df.filter(F.year(date) == y)).withColumn("year", F.lit(y))
-        fold = stats.scores(scored, ["year"], "probability", target).join(stats.auc(scored, ["year"], "probability", target), "year")
-        out = fold if out is None else out.unionByName(fold)
+    for i, f in enumerate(folds):
+        seen = F.col("fold") < f if i else F.col("fold") > f
+        scored = score(train(d.filter(seen), columns, target, kind, trees), d.filter(F.col("fold") == f)).withColumn("past_only", F.lit(i > 0))
+        out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def walk_forward(df: DataFrame, columns: list[str], target: str, date: str, kind: str = "forest", trees: int = 40) -> DataFrame:
+    """A row of metrics for each fold in time but the first, trained on the folds before. One model a fold."""
+    d, folds = time_folds(df, date)
+    scored = None
+    for f in folds[1:]:
+        fold = score(train(d.filter(F.col("fold") < f), columns, target, kind, trees), d.filter(F.col("fold") == f))
+        scored = fold if scored is None else scored.unionByName(fold)
+    if scored is None:  # one fold has no past: no rows
+        scored = d.filter(F.lit(False)).withColumn("probability", F.lit(None).cast("double"))
+    return stats.scores(scored, ["fold"], "probability", target).join(stats.auc(scored, ["fold"], "probability", target), "fold")

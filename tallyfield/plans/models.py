@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyfield.operators import learning, stats
+from tallyfield.operators import features, learning, stats
 from tallyfield.plans.bindings import PROBABILITY_SQL, probability_rows, table, team_rows
 
 QUERIES, SQL = {}, {}
@@ -103,12 +103,35 @@ def model_health(spark, d):
     return h.withColumn("status", stats.health_status(F.col("health")))
 
 
+_PAST = ["g5", "s5", "c5"]
+
+
+def _learning_rows(spark, d):
+    """Team rows with past means and a target of two markets."""
+    rows = features.past_features(team_rows(spark, d), ["user_id"], ["ts", "event_id"], {"g5": ("mean", "goals", 5), "s5": ("mean", "shots", 5), "c5": ("mean", "corners", 5)})
+    return rows.withColumn("target", (F.col("goals") > 2).cast("double")).withColumn("many_shots", (F.col("shots") >= 10).cast("double"))
+
+
 @query()
 def forest_probability(spark, d):
-    rows = team_rows(spark, d)
-    from tallyfield.operators import features
+    """Every row's probability by a model that did not see it; past_only is false for the first fold, which has no past."""
+    return learning.fold_probabilities(_learning_rows(spark, d), _PAST, "target", "ts").select("event_id", "target", "probability", "fold", "past_only")
+
 
-    rows = features.past_features(rows, ["user_id"], ["ts", "event_id"], {"g5": ("mean", "goals", 5), "s5": ("mean", "shots", 5), "c5": ("mean", "corners", 5)})
-    rows = rows.withColumn("target", (F.col("goals") > 2).cast("double")).withColumn("fold", F.when(F.col("event_id") % 5 == 0, 1).otherwise(0))
-    model = learning.train(rows.filter("fold = 0"), ["g5", "s5", "c5"], "target", trees=10)
-    return learning.score(model, rows.filter("fold = 1")).select("event_id", "target", "probability")
+@query()
+def walk_forward(spark, d):
+    """Metrics of two models a market by fold in time."""
+    rows, out = _learning_rows(spark, d), None
+    for market, target in (("over_25", "target"), ("shots", "many_shots")):
+        for kind in ("forest", "boosted"):
+            fold = learning.walk_forward(rows, _PAST, target, "ts", kind).withColumn("market", F.lit(market)).withColumn("model", F.lit(kind))
+            out = fold if out is None else out.unionByName(fold)
+    return out
+
+
+@query()
+def forest_importances(spark, d):
+    """Columns by importance in the model of all folds but the last."""
+    rows, folds = learning.time_folds(_learning_rows(spark, d), "ts")
+    model = learning.train(rows.filter(F.col("fold") < folds[-1]), _PAST, "target")
+    return spark.createDataFrame(learning.importances(model, _PAST), "column string, importance double")
