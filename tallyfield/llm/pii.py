@@ -33,7 +33,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?:[0-9]{2,}+|[0-9][\x20-][0-9]++)(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Proposals beyond these: a named value, a number written like a national telephone number, an address without a dotted host.
-SECRET = r"(?<![A-Za-z_])[A-Za-z_]{2,24}+[\"']?+\x20?+[=:]\x20?+[\"']?+[A-Za-z0-9_./+-]{6,}+[\"']?+"
+SECRET = r"(?<![A-Za-z_])[A-Za-z_]{2,}+[\"']?+\x20?+[=:]\x20?+[\"']?+[A-Za-z0-9_./+-]{6,}+[\"']?+"
 NATIONAL = r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 BARE = r"(?<![^\s<(\"'])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9.@-])"
 

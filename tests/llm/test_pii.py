@@ -64,5 +64,12 @@ def test_reliable_labelers_are_found():
     assert rates["card", 2][0] < rates["card", 0][0]
 
 
+def test_named_values_of_long_names_are_proposed(spark):
+    texts = ["db_password=hunter2xyz9", "production_database_password=hunter2xyz9", "x" * 100_000 + " a=b"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = d.selectExpr(f"regexp_extract_all(text, r'{pii.SECRET.replace(chr(39), chr(92) + 'x27')}', 0) AS hits").collect()
+    assert [r["hits"] for r in got] == [[texts[0]], [texts[1]], []]
+
+
 def test_empty_table(spark, tmp_path):
     assert pii.op6_pii(spark, documents(spark, tmp_path, [])).count() == 0
