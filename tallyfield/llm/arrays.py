@@ -46,6 +46,22 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _MULTIPLIER)
 
 
+_INVERSE = np.ones(1, np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], by prefix sums, so spans may overlap and cost the same at any length."""
+    global _INVERSE
+    n = len(data)
+    if len(_INVERSE) < n + 1:
+        steps = np.full(max(n + 1, 2 * len(_INVERSE)), pow(int(_MULTIPLIER), -1, 1 << 64), np.uint64)
+        steps[0] = 1
+        _INVERSE = np.multiply.accumulate(steps)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[data] * powers(n), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64) * _MULTIPLIER)
+
+
 def pieces_of(items: list, size, limit: int) -> Iterator[slice]:
     """Slices of ``items`` whose sizes add up to about ``limit``, or a single larger item."""
     at, total = 0, 0

@@ -1,14 +1,15 @@
 """Removal of byte strings that occur elsewhere, by suffix arrays of shards.
 
-Every window of ``length`` bytes selects one of its ``gram``-byte strings, the
-one of the smallest hash. What is selected follows from the window's bytes
-alone, so equal windows select equal grams: windows need comparing only with
-windows of the same gram. Neighbouring windows that select the same place are
-one run. Runs of equal bytes are counted, not compared. Of the different runs
-of a gram one each goes to the gram's shard, where a suffix array
-(Larsson-Sadakane) and common prefixes (Kasai) tell which windows occur twice.
-A gram of very many different runs has several shards, whose sorted windows
-are merged by binary search.
+Every window of ``passage`` bytes selects one of its ``gram``-byte strings,
+the one of the smallest hash. What is selected follows from the window's bytes
+alone, so equal windows select equal grams and meet in one gram's shards.
+Neighbouring windows that select the same place are one run, which reaches
+``length`` bytes beyond its last start. Runs of equal bytes travel once, with
+their number. In each shard a suffix array (Larsson-Sadakane) and common
+prefixes (Kasai) tell how far each start agrees with another one; starts that
+agree for ``length`` bytes begin what is removed, those that agree for
+``passage`` bytes begin what is reported as a passage if it has enough words.
+The different windows of all shards of a gram are merged by binary search.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from tallyfield.llm import arrays
 from tallyfield.session import materialise
 
 LENGTH, GRAM = 400, 48
-#: Different runs of a gram in a shard, bytes of a suffix array, buckets of windows for each shard of a gram.
-SHARD_RUNS, ARRAY_BYTES, BUCKETS = 2048, 500_000, 8
+#: A repeated string of at least PASSAGE bytes and more than WORDS words is a passage, removed or not.
+PASSAGE, WORDS = 240, 50
+#: Different runs of a gram in a shard, and bytes of a suffix array.
+SHARD_RUNS, ARRAY_BYTES = 512, 400_000
 #: Low bits of a selection key that hold the place, so bytes handled at a time stay below 2^24.
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 22
@@ -63,63 +66,88 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def window_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
-    """(text, gram hash, first start, last start) of each run of windows in texts of a few MB together."""
+def window_runs(texts: list[bytes], length: int, gram: int = GRAM, reach: int = 0, most: int | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of windows of ``length`` bytes in texts of a few MB together, as arrays: text, gram hash, content hash, first start, last start.
+
+    The content is all bytes from the first start to ``reach`` bytes after the
+    last one, or to the text's end. Only the first ``most`` windows of a text
+    count.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < length:
-        return []
+    sizes = np.array([len(t) for t in texts])
+    fits = np.minimum(np.maximum(sizes - length + 1, 0), len(data) if most is None else most)
+    if not fits.sum():
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     h = _gram_hashes(data, gram)
     key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     chosen = (_least(key, length - gram + 1) & _PLACE).astype(np.int64)
-    sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
-    if not len(owner):
-        return []
-    fits = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), fits)
     starts = np.arange(len(owner)) - np.repeat(np.cumsum(fits) - fits, fits)  # within the text
     picked = chosen[starts + begins[owner]]
     first = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (owner[1:] != owner[:-1])]))
     last = np.append(first[1:], len(owner)) - 1
-    return list(zip(owner[first].tolist(), h[picked[first]].astype(np.int64).tolist(), starts[first].tolist(), starts[last].tolist()))
+    own, lo, hi = owner[first], starts[first], starts[last]
+    content = arrays.span_hashes(data, begins[own] + lo, begins[own] + np.minimum(hi + max(reach, length), sizes[own]))
+    return own, h[picked[first]].astype(np.int64), content.astype(np.int64), lo, hi
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of small whole numbers in order, and each one's rank.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes of bytes and separators (256 and above, smaller than any byte, the earlier the smaller) in order.
 
-    Larsson-Sadakane: groups of equal prefixes double the length they are
-    sorted by in each pass, and only groups of several suffixes are sorted
-    again, until there are none.
+    Larsson-Sadakane: suffixes are sorted by as many symbols as a key holds;
+    then groups of equal prefixes double the length they are sorted by in each
+    pass, and only groups of several suffixes are sorted again, until there
+    are none. The text must end with a separator.
     """
     n = len(text)
-    bits = max(1, int(text.max()).bit_length() + 1)
+    width = n.bit_length()
+    apart = text >= 256
+    alphabet = np.unique(text[~apart])
+    code = np.zeros(256, np.int64)
+    code[alphabet] = np.arange(1, len(alphabet) + 1)
+    bits = max(1, int(len(alphabet)).bit_length())
     h = max(1, 63 // bits)
-    packed = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(h, np.int64)])
+    symbols = np.zeros(n + h, np.int64)
+    symbols[:n][~apart] = code[text[~apart]]
+    key = np.zeros(n, np.int64)
     for i in range(h):
-        packed = packed << bits | padded[i : i + n]
-    order = np.argsort(packed, kind="stable")
-    change = np.concatenate([[True], packed[order][1:] != packed[order][:-1]])
-    head = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[order], rank[n] = head, -1
+        key = key << bits | symbols[i : i + n]
+    at = np.flatnonzero(apart)
+    left = np.repeat(at, np.diff(at, prepend=-1)) - np.arange(n)  # to the next separator
+    ends = np.flatnonzero(left < h)
+    beyond = bits * (h - left[ends])
+    key[ends] = key[ends] >> beyond << beyond
+    order = np.argsort(key)
+    key = key[order]
+    change = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.full(n + 1, -1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(change, np.arange(n), 0))
+    # Suffixes that reach their separator within the key differ there: the earlier is the smaller.
+    ends = ends[np.lexsort((ends, rank[ends]))]
+    group = rank[ends]
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    places = group + np.arange(len(group)) - np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
+    order[places], rank[ends], change[places] = ends, places, True
     while True:
-        starts = np.append(np.flatnonzero(change), n)
-        several = np.repeat(np.diff(starts) > 1, np.diff(starts))
-        places = np.flatnonzero(several)
+        alone = change.copy()
+        alone[:-1] &= change[1:]
+        places = np.flatnonzero(~alone)
         if not len(places):
-            break
+            return order
         own = order[places]
-        behind = rank[np.minimum(own + h, n)]
-        group = rank[own]
-        sort = np.lexsort((behind, group))
-        own, behind, group = own[sort], behind[sort], group[sort]
+        pairs = rank[own] << width | (rank[np.minimum(own + h, n)] + 1)
+        if 3 * width <= 63:  # the place fits beside the two ranks, so that a plain sort will do
+            pairs = np.sort(pairs << width | own)
+            own, pairs = pairs & ((1 << width) - 1), pairs >> width
+        else:
+            sort = np.argsort(pairs)
+            own, pairs = own[sort], pairs[sort]
         order[places] = own
-        change[places] = np.concatenate([[True], (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])])
-        head = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-        rank[order] = head
+        new = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+        change[places] = new
+        rank[own] = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         h *= 2
-    return order, rank[:n]
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -152,25 +180,38 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, cou
     return out
 
 
-def repeated_starts(parts: list[bytes], length: int) -> tuple[list[np.ndarray], list[list[int]]]:
-    """For each part which of its windows occur at another place of any part; and, in order of their bytes, the (part, start) of each different window."""
+def agreements(parts: list[bytes], starts: np.ndarray, times: np.ndarray, least: int, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """How far the first ``starts`` places of each part agree with another one's, from ``least`` up to ``most`` bytes.
+
+    A part that stands for several (``times``) agrees with its equals to its
+    end. Returns these lengths a part, 0 for less than ``least``; and all the
+    places in the order of their bytes: part, place, and the length in which
+    it agrees with the one before.
+    """
     sizes = np.array([len(p) for p in parts])
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     text = np.zeros(int(sizes.sum()) + len(parts), np.int32)
     text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(parts)), sizes)] = np.frombuffer(b"".join(parts), np.uint8)
     text[begins + sizes] = 256 + np.arange(len(parts))  # no two parts end alike
-    order, _ = suffix_array(text)
-    counts = np.maximum(sizes - length + 1, 0)
-    agree = common_prefixes(text, order, begins, counts, length)
-    window = np.zeros(len(text), bool)
-    window[np.concatenate([np.arange(b, b + c) for b, c in zip(begins, counts)])] = True
-    sorted_agree = agree[order]  # windows that agree stand side by side, and only windows have an agreement this long
-    with_last = sorted_agree >= length
-    twice = np.zeros(len(text), bool)
-    twice[order] = with_last | np.append(with_last[1:], False)
-    different = order[window[order] & ~with_last]
-    part = np.searchsorted(begins, different, "right") - 1
-    return [np.flatnonzero(twice[b : b + c]) for b, c in zip(begins, counts)], np.stack([part, different - begins[part]], 1).tolist()
+    order = suffix_array(text)
+    agree = common_prefixes(text, order, begins, np.maximum(sizes - least + 1, 0), most)[order]
+    counted = np.zeros(len(text), bool)
+    owner = np.repeat(np.arange(len(parts)), starts)
+    counted[np.arange(len(owner)) + np.repeat(begins - (np.cumsum(starts) - starts), starts)] = True
+    # What isn't counted is another run's: between two places it leaves the least of the agreements on the way.
+    places = np.flatnonzero(counted[order])
+    back = np.zeros(len(places), np.int64)
+    if len(places) > 1:
+        back[1:] = np.minimum.reduceat(agree[: places[-1] + 1], places[:-1] + 1)
+    back[back < least] = 0
+    longest = np.zeros(len(text), np.int64)
+    longest[order[places]] = np.maximum(back, np.append(back[1:], 0)) if len(places) else 0
+    out = []
+    for b, n, size, copies in zip(begins.tolist(), starts.tolist(), sizes.tolist(), times.tolist()):
+        own = longest[b : b + n]
+        out.append(np.maximum(own, np.minimum(size - np.arange(n), most)) if copies > 1 else own)
+    part = np.searchsorted(begins, order[places], "right") - 1
+    return out, part, order[places] - begins[part], back
 
 
 def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -181,66 +222,88 @@ def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()))
 
 
-def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _runs(docs: DataFrame, length: int, passage: int, gram: int) -> DataFrame:
     def run(batches):
         for pdf in batches:
             raw = [t.encode() for t in pdf["text"]]
-            keys = pdf["key"].tolist()
-            cut = []  # (document, offset, bytes): a long text in segments that share length - 1 bytes
+            keys = pdf["key"].to_numpy()
+            cut = []  # (document, offset, bytes): a long text in segments, each with the bytes that its last window's run reaches
             for i, b in enumerate(raw):
-                cut += [(i, at, b[at : at + _SEGMENT + length - 1]) for at in range(0, max(1, len(b) - length + 1), _SEGMENT)]
+                cut += [(i, at, b[at : at + _SEGMENT + length - 1]) for at in range(0, max(1, len(b) - passage + 1), _SEGMENT)]
             for part in arrays.pieces_of(cut, lambda x: len(x[2]), 1_000_000):
-                own, rows = cut[part], []
-                for k, h, lo, hi in window_runs([x[2] for x in own], length, gram):
-                    i, at, b = own[k]
-                    rows.append((keys[i], h, hashlib.blake2b(b[lo : hi + length], digest_size=16).digest(), at + lo, at + hi))
-                yield pd.DataFrame(rows, columns=["key", "gram", "content", "lo", "hi"])
+                own = cut[part]
+                k, grams, content, lo, hi = window_runs([x[2] for x in own], passage, gram, length, _SEGMENT)
+                at = np.array([x[1] for x in own], np.int64)[k] if len(k) else k
+                yield pd.DataFrame({"key": keys[np.array([x[0] for x in own])[k]] if len(k) else k, "gram": grams, "content": content, "lo": lo + at, "hi": hi + at})
 
-    return docs.mapInPandas(run, "key long, gram long, content binary, lo long, hi long")
+    return docs.mapInPandas(run, "key long, gram long, content long, lo long, hi long")
 
 
 def _with_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Adds the bytes of runs: one list of runs a document meets its text."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "shard", "shards", "times", "lo", "hi")).alias("runs"))
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "content", "shard", "shards", "times", "lo", "hi")).alias("runs"))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for key, text, runs in zip(pdf["key"], pdf["text"], pdf["runs"]):
                 raw = text.encode()
-                rows += [(r["gram"], r["shard"], r["shards"], r["times"], key, r["lo"], raw[r["lo"] : r["hi"] + length]) for r in runs]
-            yield pd.DataFrame(rows, columns=["gram", "shard", "shards", "times", "key", "lo", "bytes"])
+                rows += [(r["gram"], r["content"], r["shard"], r["shards"], r["times"], key, r["lo"], r["hi"] - r["lo"] + 1, raw[r["lo"] : r["hi"] + length]) for r in runs]
+            yield pd.DataFrame(rows, columns=["gram", "content", "shard", "shards", "times", "key", "lo", "starts", "bytes"])
+
+    return docs.dropDuplicates(["key"]).join(lists, "key").mapInPandas(run, "gram long, content long, shard int, shards int, times long, key long, lo long, starts long, bytes binary")
+
+
+_FOUND = "gram long, content long, times long, key long, lo long, hi long, width long, shard long, bucket long, digests binary, places binary"
+_FIELDS = [x.split()[0] for x in _FOUND.split(", ")]
+_SECOND = np.random.default_rng(20240202).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
 
-    return docs.dropDuplicates(["key"]).join(lists, "key").mapInPandas(run, "gram long, shard int, shards int, times long, key long, lo long, bytes binary")
+def _window_digests(parts: list[bytes], part: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """16 bytes for each window."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(p) for p in parts])
+    at = (np.cumsum(sizes) - sizes)[part] + place
+    both = np.stack([arrays.span_hashes(data, at, at + width), arrays.span_hashes(data, at, at + width, _SECOND)], 1)
+    return np.ascontiguousarray(both).view("S16").ravel()
 
 
-def _search_shards(parts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of each shard as intervals (key, lo, hi); and, of grams with several shards, their different windows.
+def _solve(pdf: pd.DataFrame, length: int, passage: int) -> pd.DataFrame:
+    """What one suffix array tells: intervals of starts within runs; and, of grams with several shards, their different windows.
 
-    Those leave in blocks: of a shard and bucket the sorted 16-byte digests of
-    the windows and, in that order, their keys and starts.
+    Intervals are (lo, hi) from a run's first start, by ``width``, the bytes
+    that repeat. Windows leave in blocks: of a shard, width and bucket the
+    sorted digests and, in that order, keys and starts.
     """
+    parts, starts = pdf["bytes"].tolist(), pdf["starts"].to_numpy()
+    longest, part, place, back = agreements(parts, starts, pdf["times"].to_numpy(), passage, length)
+    heads = list(zip(*(pdf[c].tolist() for c in ("gram", "content", "times", "key"))))
+    rows = []
+    for head, own in zip(heads, longest):
+        for width in {passage, length}:
+            rows += [(*head, a, b, width, None, None, None, None) for a, b in _intervals(np.flatnonzero(own >= width))]
+    shards = pdf["shards"].to_numpy()
+    several = shards[part] > 1
+    if several.any():
+        part, place, back = part[several], place[several], back[several]
+        left = np.array([len(p) for p in parts])[part] - place
+        at = np.stack([pdf["key"].to_numpy()[part], pdf["lo"].to_numpy()[part] + place], 1)
+        for width in {passage, length}:
+            new = np.flatnonzero((left >= width) & (back < width))
+            digests = _window_digests(parts, part[new], place[new], width)
+            bucket = digests.view("<u8")[::2] % (2 * shards[part[new]]).astype(np.uint64)
+            group = pdf[["gram", "shard"]].to_numpy()[part[new]]
+            order = np.lexsort((digests, bucket, group[:, 1], group[:, 0]))
+            digests, bucket, group, own = digests[order], bucket[order].astype(np.int64), group[order], at[new][order]
+            cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1]).any(1)])) if len(new) else []
+            for a, b in zip(cut, np.append(cut[1:], len(new)) if len(new) else []):
+                rows.append((int(group[a, 0]), None, None, None, None, None, width, int(group[a, 1]), int(bucket[a]), digests[a:b].tobytes(), own[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=_FIELDS, dtype=object).astype({c: "Int64" for c in _FIELDS[:9]})  # through objects: as doubles, keys beside nulls would lose digits
+
+
+def _search_shards(parts: DataFrame, length: int, passage: int) -> DataFrame:
+    """Each shard's findings (``_solve``). Shards are sorted together up to ``ARRAY_BYTES``."""
     dealt = parts.repartition("gram", "shard").sortWithinPartitions("gram", "shard")
-    columns = ["key", "lo", "hi", "gram", "shard", "bucket", "digests", "places"]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = pdf["bytes"].tolist()
-        again, different = repeated_starts(raw, length)
-        rows, keys, los = [], pdf["key"].tolist(), pdf["lo"].tolist()
-        for i, (starts, times) in enumerate(zip(again, pdf["times"])):
-            if times == 1:  # what occurs more often is removed whole, without this
-                rows += [(keys[i], los[i] + a, los[i] + b, None, None, None, None, None) for a, b in _intervals(starts)]
-        shards, grams, shard = (pdf[c].tolist() for c in ("shards", "gram", "shard"))
-        blocks: dict[tuple, list] = {}
-        for i, start in different:
-            if shards[i] > 1:
-                digest = hashlib.blake2b(raw[i][start : start + length], digest_size=16).digest()
-                bucket = int.from_bytes(digest[:8], "little") % (BUCKETS * shards[i])
-                blocks.setdefault((grams[i], shard[i], bucket), []).append((digest, keys[i], los[i] + start))
-        for block, found in blocks.items():
-            found.sort()
-            rows.append((None, None, None, *block, b"".join(f[0] for f in found), np.array([f[1:] for f in found], np.int64).tobytes()))
-        return pd.DataFrame(rows, columns=columns, dtype=object).astype({c: "Int64" for c in columns[:6]})  # through objects: as doubles, keys beside nulls would lose digits
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -253,92 +316,115 @@ def _search_shards(parts: DataFrame, length: int) -> DataFrame:
                 own = pdf.iloc[start:end]
                 goes_on = held and tuple(held[-1][["gram", "shard"]].iloc[-1]) == tuple(groups[start])
                 if size > ARRAY_BYTES and not goes_on:
-                    yield solve(pd.concat(held, ignore_index=True))
+                    yield _solve(pd.concat(held, ignore_index=True), length, passage)
                     held, size = [], 0
                 held.append(own)
                 size += int(own["bytes"].map(len).sum())
                 start = end
         if held:
-            yield solve(pd.concat(held, ignore_index=True))
+            yield _solve(pd.concat(held, ignore_index=True), length, passage)
+
+    return dealt.mapInPandas(run, _FOUND)
+
 
-    return dealt.mapInPandas(run, "key long, lo long, hi long, gram long, shard long, bucket long, digests binary, places binary")
+def _shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Merges two sorted lists of digests and places by binary search; places of digests of both go to ``found``."""
+    at = np.searchsorted(a[0], b[0])
+    same = a[0][np.minimum(at, len(a[0]) - 1)] == b[0]
+    found += [a[1][at[same]], b[1][same]]
+    return np.insert(a[0], at[~same], b[0][~same]), np.insert(a[1], at[~same], b[1][~same], axis=0)
 
 
 def _merge_shards(blocks: DataFrame) -> DataFrame:
-    """Windows (key, lo, hi = lo) that another shard of their gram has too: each block's digests are searched in the other shards' of its bucket."""
+    """Windows (key, lo, hi = lo, width) that several shards of their gram have.
+
+    The sorted blocks of a bucket are merged in pairs, the results again: of S
+    shards each window is searched for log S times. Buckets grow in number
+    with a gram's shards, so that none holds more than a shard's windows.
+    """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = [np.frombuffer(d, "S16") for d in pdf["digests"]]
-        out = []
-        for i, (own, places) in enumerate(zip(runs, pdf["places"])):
-            hit = np.zeros(len(own), bool)
-            for j, theirs in enumerate(runs):
-                if i != j:
-                    at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
-                    hit |= theirs[at] == own
-            out.append(np.frombuffer(places, np.int64).reshape(-1, 2)[hit])
-        found = pd.DataFrame(np.concatenate(out), columns=["key", "lo"])
-        found = found.sort_values(["key", "lo"])  # neighbours become one interval
-        new = (found["key"].diff() != 0) | (found["lo"].diff() != 1)
-        return found.groupby(new.cumsum()).agg(key=("key", "first"), lo=("lo", "first"), hi=("lo", "last"))
-
-    return blocks.select("gram", "bucket", "digests", "places").groupBy("gram", "bucket").applyInPandas(merge, "key long, lo long, hi long")
-
-
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key and lists of starts (lo, hi) of the windows of a text that occur elsewhere; texts without one are left out.
-
-    ``docs``: key, which must differ for different texts, and text. Rows of
-    equal key count as occurrences of their own.
+        runs = [(np.frombuffer(d, "S16"), np.frombuffer(p, np.int64).reshape(-1, 2)) for d, p in zip(pdf["digests"], pdf["places"])]
+        out = [np.empty((0, 2), np.int64)]
+        while len(runs) > 1:
+            runs = [_shared(*runs[i : i + 2], out) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        found = pd.DataFrame(np.concatenate(out), columns=["key", "lo"]).drop_duplicates().sort_values(["key", "lo"])
+        new = (found["key"].diff() != 0) | (found["lo"].diff() != 1)  # neighbours become one interval
+        return found.groupby(new.cumsum()).agg(key=("key", "first"), lo=("lo", "first"), hi=("lo", "last")).assign(width=pdf["width"].iloc[0])
+
+    return blocks.select("gram", "width", "bucket", "digests", "places").groupBy("gram", "width", "bucket").applyInPandas(merge, "key long, lo long, hi long, width long")
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None, gram: int = GRAM) -> DataFrame:
+    """key and lists of starts (lo, hi, width): the windows of ``width`` bytes from lo to hi occur elsewhere; texts without one are left out.
+
+    Widths are ``length`` and the shorter ``passage``. ``docs``: key, which
+    must differ for different texts, and text. Rows of equal key count as
+    occurrences of their own.
     """
-    runs = materialise(_runs(docs, length, gram), "repeat-runs")
+    passage = min(passage or length, length)
+    runs = materialise(_runs(docs, length, passage, gram), "repeat-runs")
     contents = runs.groupBy("gram", "content").agg(F.count("*").alias("times"), F.first("key").alias("key"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     grams = contents.groupBy("gram").agg(F.sum("times").alias("all"), F.count("*").alias("contents")).filter("all > 1").drop("all")
-    contents = materialise(contents.join(grams, "gram"), "repeat-contents")
-    whole = runs.join(contents.filter("times > 1").select("gram", "content"), ["gram", "content"]).select("key", "lo", "hi")
-
     shards = (F.floor((F.col("contents") - 1) / SHARD_RUNS) + 1).cast("int")
-    wanted = contents.filter("contents > 1").withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("key", "lo"), F.col("shards")).cast("int"))
-    found = materialise(_search_shards(_with_bytes(wanted, docs, length), length), "repeat-found")
-    inside = found.filter("bucket IS NULL").select("key", "lo", "hi")
-    across = _merge_shards(found.filter("bucket IS NOT NULL"))
+    wanted = contents.join(grams, "gram").withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("key", "lo"), F.col("shards")).cast("int"))
+    wanted = materialise(wanted, "repeat-contents")
+    found = materialise(_search_shards(_with_bytes(wanted, docs, length), length, passage), "repeat-found")
+    # What was found in a run holds for all runs of its bytes.
+    of_run = found.filter("bucket IS NULL").select("gram", "content", F.col("lo").alias("from"), F.col("hi").alias("to"), "width")
+    inside = runs.select("gram", "content", "key", F.col("lo").alias("at")).join(of_run, ["gram", "content"]).select("key", (F.col("at") + F.col("from")).alias("lo"), (F.col("at") + F.col("to")).alias("hi"), "width")
     # A window of several shards stands for its equals in its own shard, which are found already unless it is the only one.
-    every = whole.union(inside).union(across)
-    return every.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    every = inside.union(_merge_shards(found.filter("bucket IS NOT NULL")))
+    return every.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "width")).alias("starts"))
+
+
+def _covered(starts, width: int) -> list[list[int]]:
+    """Maximal byte ranges covered by windows of ``width`` bytes or more."""
+    merged: list[list[int]] = []
+    for lo, end in sorted((x["lo"], x["hi"] + x["width"]) for x in starts if x["width"] >= width):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([lo, end])
+    return merged
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int | None = None, words: int = WORDS) -> DataFrame:
     """Each text without the bytes that a repeated window of ``length`` bytes covers.
 
     Returns a row for each row: doc_id, n_bytes, spans (removed byte ranges,
-    end exclusive, maximal) and kept (the remaining bytes, joined). Texts are
-    judged as given; windows may overlap and may repeat within one text.
-    Null texts are empty; texts shorter than ``length`` stay whole. Repeated
-    rows count as repeats of each other. An empty table gives an empty one.
+    end exclusive, maximal), kept (the remaining bytes, joined) and passages
+    (ranges covered by repeated windows of ``passage`` bytes, ``length`` if not
+    given, with more than ``words`` words; they tell what repeats and remove
+    nothing by themselves). Texts are judged as given; windows may overlap and
+    may repeat within one text. Null texts are empty; texts shorter than
+    ``length`` stay whole. Repeated rows count as repeats of each other. An
+    empty table gives an empty one.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeat_spans(texts.select("key", "text"), length, gram)
+    spans = repeat_spans(texts.select("key", "text"), length, passage, gram)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for doc_id, text, starts in zip(pdf["doc_id"], pdf["text"], pdf["starts"]):
                 raw = text.encode()
-                merged: list[list[int]] = []
-                for s in sorted((x["lo"], x["hi"] + length) for x in starts) if starts is not None else ():
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
-                edges = [0, *(x for s in merged for x in s), len(raw)]
+                starts = [] if starts is None else starts
+                gone = _covered(starts, length)
+                edges = [0, *(x for s in gone for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                rows.append((doc_id, len(raw), [{"start": a, "end": b} for a, b in merged], kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"]).astype({"doc_id": "Int64"})
+                again = [(a, b) for a, b in _covered(starts, 0) if len(raw[a:b].split()) > words]
+                rows.append((doc_id, len(raw), *([{"start": a, "end": b} for a, b in x] for x in (gone, again)), kept))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "passages", "kept"])
 
-    return texts.join(spans, "key", "left").select("doc_id", "text", "starts").mapInPandas(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    ranges = "array<struct<start:long,end:long>>"
+    found = texts.join(spans, "key", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "starts")  # ids as text: beside nulls pandas would make them doubles
+    found = found.mapInPandas(run, f"doc_id string, n_bytes long, spans {ranges}, passages {ranges}, kept binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    cut = cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    number = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), number("spans"), F.sha2("kept", 256).alias("kept_sha256"), number("passages"))
