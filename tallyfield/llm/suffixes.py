@@ -6,10 +6,11 @@ alone, so equal windows select equal grams and meet in one gram's shards.
 Neighbouring windows that select the same place are one run, which reaches
 ``length`` bytes beyond its last start. Runs of equal bytes travel once, with
 their number. In each shard a suffix array (Larsson-Sadakane) and common
-prefixes (Kasai) tell how far each start agrees with another one; starts that
-agree for ``length`` bytes begin what is removed, those that agree for
-``passage`` bytes begin what is reported as a passage if it has enough words.
-The different windows of all shards of a gram are merged by binary search.
+prefixes (Kasai) tell which windows are equal; classes of equal windows are
+refined by what follows up to ``length`` bytes. Those of ``length`` bytes are
+what is removed, those of ``passage`` bytes are reported as passages if they
+cover enough words. The different windows of all shards of a gram are merged
+by binary search.
 """
 
 from __future__ import annotations
@@ -180,49 +181,26 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, cou
     return out
 
 
-def agreements(parts: list[bytes], starts: np.ndarray, times: np.ndarray, least: int, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """How far the first ``starts`` places of each part agree with another one's, from ``least`` up to ``most`` bytes.
-
-    A part that stands for several (``times``) agrees with its equals to its
-    end. Returns these lengths a part, 0 for less than ``least``; and all the
-    places in the order of their bytes: part, place, and the length in which
-    it agrees with the one before.
-    """
+def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ``length`` bytes in the order of their bytes: part, place in it, and whether it equals the one before."""
     sizes = np.array([len(p) for p in parts])
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     text = np.zeros(int(sizes.sum()) + len(parts), np.int32)
     text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(parts)), sizes)] = np.frombuffer(b"".join(parts), np.uint8)
     text[begins + sizes] = 256 + np.arange(len(parts))  # no two parts end alike
     order = suffix_array(text)
-    agree = common_prefixes(text, order, begins, np.maximum(sizes - least + 1, 0), most)[order]
-    counted = np.zeros(len(text), bool)
-    owner = np.repeat(np.arange(len(parts)), starts)
-    counted[np.arange(len(owner)) + np.repeat(begins - (np.cumsum(starts) - starts), starts)] = True
-    # What isn't counted is another run's: between two places it leaves the least of the agreements on the way.
-    places = np.flatnonzero(counted[order])
-    back = np.zeros(len(places), np.int64)
-    if len(places) > 1:
-        back[1:] = np.minimum.reduceat(agree[: places[-1] + 1], places[:-1] + 1)
-    back[back < least] = 0
-    longest = np.zeros(len(text), np.int64)
-    longest[order[places]] = np.maximum(back, np.append(back[1:], 0)) if len(places) else 0
-    out = []
-    for b, n, size, copies in zip(begins.tolist(), starts.tolist(), sizes.tolist(), times.tolist()):
-        own = longest[b : b + n]
-        out.append(np.maximum(own, np.minimum(size - np.arange(n), most)) if copies > 1 else own)
-    part = np.searchsorted(begins, order[places], "right") - 1
-    return out, part, order[places] - begins[part], back
-
-
-def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of consecutive numbers."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()))
+    counts = np.maximum(sizes - length + 1, 0)
+    agree = common_prefixes(text, order, begins, counts, length)
+    owner = np.repeat(np.arange(len(parts)), counts)
+    part = np.full(len(text), -1)
+    part[np.arange(len(owner)) + np.repeat(begins - (np.cumsum(counts) - counts), counts)] = owner
+    windows = order[part[order] >= 0]  # equal ones stand side by side, as what is shorter can't stand between them
+    return part[windows], windows - begins[part[windows]], agree[windows] >= length
 
 
 def _runs(docs: DataFrame, length: int, passage: int, gram: int) -> DataFrame:
+    """Every run of windows of ``passage`` bytes; ``fit`` is the last start that has ``length`` bytes, before ``lo`` if none has."""
+
     def run(batches):
         for pdf in batches:
             raw = [t.encode() for t in pdf["text"]]
@@ -233,10 +211,11 @@ def _runs(docs: DataFrame, length: int, passage: int, gram: int) -> DataFrame:
             for part in arrays.pieces_of(cut, lambda x: len(x[2]), 1_000_000):
                 own = cut[part]
                 k, grams, content, lo, hi = window_runs([x[2] for x in own], passage, gram, length, _SEGMENT)
-                at = np.array([x[1] for x in own], np.int64)[k] if len(k) else k
-                yield pd.DataFrame({"key": keys[np.array([x[0] for x in own])[k]] if len(k) else k, "gram": grams, "content": content, "lo": lo + at, "hi": hi + at})
+                if len(k):
+                    doc, at, size = np.array([(i, at, len(b)) for i, at, b in own], np.int64)[k].T
+                    yield pd.DataFrame({"key": keys[doc], "gram": grams, "content": content, "lo": lo + at, "hi": hi + at, "fit": np.minimum(hi, size - length) + at})
 
-    return docs.mapInPandas(run, "key long, gram long, content long, lo long, hi long")
+    return docs.mapInPandas(run, "key long, gram long, content long, lo long, hi long, fit long")
 
 
 def _with_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -254,7 +233,7 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return docs.dropDuplicates(["key"]).join(lists, "key").mapInPandas(run, "gram long, content long, shard int, shards int, times long, key long, lo long, starts long, bytes binary")
 
 
-_FOUND = "gram long, content long, times long, key long, lo long, hi long, width long, shard long, bucket long, digests binary, places binary"
+_FOUND = "gram long, content long, times long, key long, first long, lo long, hi long, width long, shard long, bucket long, digests binary, places binary"
 _FIELDS = [x.split()[0] for x in _FOUND.split(", ")]
 _SECOND = np.random.default_rng(20240202).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -271,34 +250,62 @@ def _window_digests(parts: list[bytes], part: np.ndarray, place: np.ndarray, wid
 def _solve(pdf: pd.DataFrame, length: int, passage: int) -> pd.DataFrame:
     """What one suffix array tells: intervals of starts within runs; and, of grams with several shards, their different windows.
 
-    Intervals are (lo, hi) from a run's first start, by ``width``, the bytes
-    that repeat. Windows leave in blocks: of a shard, width and bucket the
-    sorted digests and, in that order, keys and starts.
+    The array holds each run up to the end of its last window of ``passage``
+    bytes, equal ones once. Windows of ``length`` bytes refine its classes of
+    equal windows by what follows. Intervals are (lo, hi) from a run's first
+    start, by ``width``, the bytes that repeat. Windows leave in blocks: of a
+    shard, width and bucket the sorted digests and, in that order, keys and
+    starts.
     """
-    parts, starts = pdf["bytes"].tolist(), pdf["starts"].to_numpy()
-    longest, part, place, back = agreements(parts, starts, pdf["times"].to_numpy(), passage, length)
-    heads = list(zip(*(pdf[c].tolist() for c in ("gram", "content", "times", "key"))))
-    rows = []
-    for head, own in zip(heads, longest):
-        for width in {passage, length}:
-            rows += [(*head, a, b, width, None, None, None, None) for a, b in _intervals(np.flatnonzero(own >= width))]
-    shards = pdf["shards"].to_numpy()
-    several = shards[part] > 1
-    if several.any():
-        part, place, back = part[several], place[several], back[several]
-        left = np.array([len(p) for p in parts])[part] - place
-        at = np.stack([pdf["key"].to_numpy()[part], pdf["lo"].to_numpy()[part] + place], 1)
-        for width in {passage, length}:
-            new = np.flatnonzero((left >= width) & (back < width))
-            digests = _window_digests(parts, part[new], place[new], width)
-            bucket = digests.view("<u8")[::2] % (2 * shards[part[new]]).astype(np.uint64)
-            group = pdf[["gram", "shard"]].to_numpy()[part[new]]
-            order = np.lexsort((digests, bucket, group[:, 1], group[:, 0]))
-            digests, bucket, group, own = digests[order], bucket[order].astype(np.int64), group[order], at[new][order]
-            cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1]).any(1)])) if len(new) else []
-            for a, b in zip(cut, np.append(cut[1:], len(new)) if len(new) else []):
-                rows.append((int(group[a, 0]), None, None, None, None, None, width, int(group[a, 1]), int(bucket[a]), digests[a:b].tobytes(), own[a:b].tobytes()))
-    return pd.DataFrame(rows, columns=_FIELDS, dtype=object).astype({c: "Int64" for c in _FIELDS[:9]})  # through objects: as doubles, keys beside nulls would lose digits
+    raw, starts, times = pdf["bytes"].tolist(), pdf["starts"].to_numpy(), pdf["times"].to_numpy()
+    known: dict[bytes, int] = {}
+    of = np.array([known.setdefault(x[: n - 1 + passage], len(known)) for x, n in zip(raw, starts.tolist())])
+    part, place, same = equal_windows(list(known), passage)
+    counts = np.array([len(k) - passage + 1 for k in known])
+    begins = np.cumsum(counts) - counts
+    kind = np.empty(len(part), np.int64)
+    kind[begins[part] + place] = np.cumsum(~same) - 1
+    # Every start of every run: its run, its place there and its class.
+    run = np.repeat(np.arange(len(raw)), starts)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(starts) - starts, starts)
+    kind = kind[begins[of[run]] + at]
+    left = np.array([len(x) for x in raw])[run] - at
+    widths = [(passage, kind, np.arange(len(run)))]
+    if length > passage:
+        data, far = np.frombuffer(b"".join(raw), np.uint8), np.flatnonzero(left >= length)
+        sizes = np.array([len(x) for x in raw])
+        begin = (np.cumsum(sizes) - sizes)[run[far]] + at[far]
+        tail = arrays.span_hashes(data, begin + passage, begin + length)
+        widths.append((length, arrays.mix(tail ^ arrays.mix(kind[far].astype(np.uint64))), far))
+    heads = list(zip(*(pdf[c].tolist() for c in ("gram", "content", "times", "key", "lo"))))
+    shards, rows = pdf["shards"].to_numpy(), []
+    for width, value, own in widths:
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        first = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.empty(0, bool)
+        again = times[run] > 1
+        again[own[order]] |= ~first | ~np.append(first[1:], True)
+        again &= left >= width
+        hit = np.flatnonzero(again)
+        new = np.flatnonzero((np.diff(hit, prepend=-2) > 1) | (np.diff(run[hit], prepend=-1) != 0))
+        end = np.append(new[1:], len(hit))[: len(new)] - 1
+        rows += [(*heads[i], a, b, width, None, None, None, None) for i, a, b in zip(run[hit[new]].tolist(), at[hit[new]].tolist(), at[hit[end]].tolist())]
+        lead = own[order[first]]
+        lead = lead[shards[run[lead]] > 1]
+        if len(lead):
+            rows += _blocks(pdf, raw, run[lead], at[lead], width)
+    return pd.DataFrame(rows, columns=_FIELDS, dtype=object).astype({c: "Int64" for c in _FIELDS[:10]})  # through objects: as doubles, keys beside nulls would lose digits
+
+
+def _blocks(pdf: pd.DataFrame, raw: list[bytes], run: np.ndarray, at: np.ndarray, width: int) -> list[tuple]:
+    """Different windows as rows of ``_FOUND``, a row for each shard and bucket."""
+    digests = _window_digests(raw, run, at, width)
+    shards, places = pdf["shards"].to_numpy()[run], np.stack([pdf["key"].to_numpy()[run], pdf["lo"].to_numpy()[run] + at], 1)
+    group = np.stack([pdf["gram"].to_numpy()[run], pdf["shard"].to_numpy()[run], (digests.view("<u8")[::2] % (2 * shards).astype(np.uint64)).astype(np.int64)], 1)
+    order = np.lexsort((digests, *group.T[::-1]))
+    digests, group, places = digests[order], group[order], places[order]
+    cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
+    return [(int(group[a, 0]), None, None, None, None, None, None, width, int(group[a, 1]), int(group[a, 2]), digests[a:b].tobytes(), places[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(run)))]
 
 
 def _search_shards(parts: DataFrame, length: int, passage: int) -> DataFrame:
@@ -364,17 +371,23 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, passage: int | None = No
     """
     passage = min(passage or length, length)
     runs = materialise(_runs(docs, length, passage, gram), "repeat-runs")
-    contents = runs.groupBy("gram", "content").agg(F.count("*").alias("times"), F.first("key").alias("key"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    contents = runs.groupBy("gram", "content").agg(F.count("*").alias("times"), F.first("key").alias("key"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("fit").alias("fit"))
     grams = contents.groupBy("gram").agg(F.sum("times").alias("all"), F.count("*").alias("contents")).filter("all > 1").drop("all")
     shards = (F.floor((F.col("contents") - 1) / SHARD_RUNS) + 1).cast("int")
-    wanted = contents.join(grams, "gram").withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("key", "lo"), F.col("shards")).cast("int"))
-    wanted = materialise(wanted, "repeat-contents")
+    met = contents.join(grams, "gram").withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("key", "lo"), F.col("shards")).cast("int"))
+    met = materialise(met, "repeat-contents")
+    wanted = met.filter("contents > 1")
     found = materialise(_search_shards(_with_bytes(wanted, docs, length), length, passage), "repeat-found")
-    # What was found in a run holds for all runs of its bytes.
-    of_run = found.filter("bucket IS NULL").select("gram", "content", F.col("lo").alias("from"), F.col("hi").alias("to"), "width")
-    inside = runs.select("gram", "content", "key", F.col("lo").alias("at")).join(of_run, ["gram", "content"]).select("key", (F.col("at") + F.col("from")).alias("lo"), (F.col("at") + F.col("to")).alias("hi"), "width")
+    of_run = found.filter("bucket IS NULL")
+    once = of_run.filter("times = 1").select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"), "width")
+    # What was found in a run holds for all runs of its bytes; if its gram has no other content, equal runs are all there is to find.
+    only = met.filter("contents = 1")
+    ends = F.array(*[F.struct((F.col(c) - F.col("lo")).alias("to"), F.lit(w).cast("long").alias("width")) for c, w in dict.fromkeys((("hi", passage), ("fit", length)))])
+    only = only.withColumn("end", F.explode(ends)).select("gram", "content", F.lit(0).cast("long").alias("from"), "end.to", "end.width").filter("to >= 0")
+    shared = of_run.filter("times > 1").select("gram", "content", F.col("lo").alias("from"), F.col("hi").alias("to"), "width").union(only)
+    equal = runs.select("gram", "content", "key", F.col("lo").alias("at")).join(shared, ["gram", "content"]).select("key", (F.col("at") + F.col("from")).alias("lo"), (F.col("at") + F.col("to")).alias("hi"), "width")
     # A window of several shards stands for its equals in its own shard, which are found already unless it is the only one.
-    every = inside.union(_merge_shards(found.filter("bucket IS NOT NULL")))
+    every = once.union(equal).union(_merge_shards(found.filter("bucket IS NOT NULL")))
     return every.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "width")).alias("starts"))
 
 

@@ -48,9 +48,12 @@ def test_grams_of_several_shards(spark, monkeypatch):
 
 
 def repeated(parts, length):
-    starts = np.array([max(len(p) - length + 1, 0) for p in parts])
-    longest, part, place, back = suffixes.agreements(parts, starts, np.ones(len(parts), int), length, length)
-    return [np.flatnonzero(x >= length).tolist() for x in longest], [(i, a) for i, a, b in zip(part.tolist(), place.tolist(), back.tolist()) if b < length]
+    part, place, same = suffixes.equal_windows(parts, length)
+    again = [set() for _ in parts]
+    for x in np.flatnonzero(same):
+        again[part[x]].add(int(place[x]))
+        again[part[x - 1]].add(int(place[x - 1]))
+    return [sorted(a) for a in again], [(i, a) for i, a, b in zip(part.tolist(), place.tolist(), same.tolist()) if not b]
 
 
 def test_suffix_array_and_common_prefixes():
