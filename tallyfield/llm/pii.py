@@ -48,22 +48,53 @@ LABELERS = ("pattern", "gazetteer", "context", "shape")
 BEFORE = 32
 
 
+_SPAN = "array<struct<k:int,kind:string,rule:string,start:bigint,end:bigint,hit:string,before:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body or lambdas in it name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, join: Callable[[Column, Column], Column], step: int = 256) -> Column:
+    """Running totals of a non-empty array by an associative ``join``.
+
+    A fold that appends copies what it has at each step; here it runs within
+    blocks of ``step`` values, then over the totals of the blocks.
+    """
+
+    def totals(block: Column) -> Column:
+        return F.aggregate(F.slice(block, 2, F.size(block)), F.slice(block, 1, 1), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+    def joined(inner: Column) -> Column:
+        before = totals(F.transform(inner, lambda x: F.element_at(x, -1)))
+        return _let(before, lambda t: F.flatten(F.transform(inner, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: join(F.get(t, i - 1), y))))))
+
+    return _let(values, lambda v: _let(F.transform(F.sequence(F.lit(1), F.size(v), F.lit(step)), lambda at: totals(F.slice(v, at, F.lit(step)))), joined))
+
+
 def _found(text: Column, pattern: str, needs: Column, kind: str, rule: str) -> Column:
-    """Matches of a pattern as an array of structs with code point places, leftmost and without overlap; an empty array where ``needs`` is false."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(gaps[i]) + F.length(hits[i]))))
+    """Matches of a pattern as an array of structs with code point places, leftmost and without overlap; an empty array where ``needs`` is false.
 
-    def span(hit: Column, i: Column) -> Column:
-        end = lengths[i + 1]
+    One pass finds the matches and one more what lies between them; places are running totals of lengths.
+    """
+    none = F.array().cast(_SPAN)
+
+    def span(pair: Column, end: Column) -> Column:
         return F.struct(
             F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"),
-            (end - F.length(hit)).cast("long").alias("start"), end.cast("long").alias("end"), hit.alias("hit"), F.lower(F.substring(gaps[i], -BEFORE, BEFORE)).alias("before"),
+            (end - F.length(pair["hit"])).alias("start"), end.alias("end"), pair["hit"].alias("hit"), F.lower(F.substring(pair["gap"], -BEFORE, BEFORE)).alias("before"),
         )
 
-    some = needs & (F.size(hits) > 0)
-    none = F.array().cast("array<struct<k:int,kind:string,rule:string,start:bigint,end:bigint,hit:string,before:string>>")
-    return F.when(some, F.transform(hits, span)).otherwise(none)
+    def placed(pairs: Column) -> Column:
+        ends = _scan(F.transform(pairs, lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long")), lambda a, b: a + b)
+        return F.zip_with(pairs, ends, span)
+
+    def paired(hits: Column) -> Column:
+        pairs = F.zip_with(hits, F.split(text, pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+        return F.when(F.size(hits) > 0, _let(F.slice(pairs, 1, F.size(hits)), placed)).otherwise(none)
+
+    return F.when(needs, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)).otherwise(none)
 
 
 def _digits(x: Column) -> Column:
@@ -72,27 +103,25 @@ def _digits(x: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a valid Luhn sum."""
-    n = F.length(digits)
+    backwards = F.split(F.reverse(digits), "")
 
-    def value(i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return F.when(i % 2 == 1, twice).otherwise(d)
+    def value(digit: Column, i: Column) -> Column:
+        d = digit.cast("int")
+        return F.when(i % 2 == 1, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), value), F.lit(0), lambda a, b: a + b) % 10 == 0
+    return F.aggregate(F.transform(F.filter(backwards, lambda x: x != ""), value), F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
 def _valid(s: Column) -> Column:
     """Whether a span of a base rule passes its check."""
-    digits = _digits(s["hit"])
-    n = F.length(digits)
+    number = lambda check: _let(_digits(s["hit"]), check)
     parts = F.forall(F.split(s["hit"], r"\."), lambda p: p.rlike("^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
     return (
         F.when(s["rule"] != "base", False)
         .when(s["kind"] == "email", True)
         .when(s["kind"] == "ip", parts)
-        .when(s["kind"] == "card", F.when(n.between(14, 19), luhn(digits)).otherwise(False))
-        .otherwise(n.between(10, 15))
+        .when(s["kind"] == "card", number(lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)))
+        .otherwise(number(lambda d: F.length(d).between(10, 15)))
     )
 
 
@@ -226,8 +255,26 @@ def _checked(s: Column) -> Column:
     return s.withField("valid", _valid(s))
 
 
-def _overlaps(spans: Column, s: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others``.
+
+    In the order of their starts a span meets another one if an earlier one
+    ends behind its start or the next one starts before its end.
+    """
+    never = F.lit(2**62)
+
+    def ordered(both: Column) -> Column:
+        reach = _scan(F.transform(both, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(F.lit(-1).cast("long"))), lambda a, b: F.greatest(a, b))
+        following = F.reverse(_scan(F.transform(F.reverse(both), lambda x: F.when(x["own"] == 0, x["start"]).otherwise(never)), lambda a, b: F.least(a, b)))
+        near = F.zip_with(reach, following, lambda a, b: F.struct(a.alias("reach"), b.alias("following")))
+        free = F.zip_with(both, near, lambda x, y: F.when((x["own"] == 1) & (y["reach"] <= x["start"]) & (y["following"] >= x["end"]), x["span"]))
+        return F.filter(free, lambda x: x.isNotNull())
+
+    def keyed(own: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span"))
+
+    both = F.array_sort(F.concat(F.transform(others, keyed(0)), F.transform(spans, keyed(1))))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), _let(both, ordered)).otherwise(spans)
 
 
 def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -249,9 +296,11 @@ def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     score = _score(train_classifier(counts))
     slim = lambda a: F.transform(a, lambda s: F.struct(s["k"].alias("k"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     d = d.withColumn("_base", F.filter("_base", lambda s: s["valid"]))
-    d = d.withColumn("_more", F.when(F.size("_more") > 0, F.filter("_more", lambda s: (score(s) >= 0) & ~_overlaps(F.col("_base"), s))).otherwise(F.col("_more")))
-    named = F.filter("_more", lambda s: s["kind"] == "secret")
-    d = d.withColumn("_more", F.filter("_more", lambda s: (s["kind"] == "secret") | ~_overlaps(named, s)))
+    d = d.withColumn("_more", F.when(F.size("_more") > 0, F.filter("_more", lambda s: score(s) >= 0)).otherwise(F.col("_more")))
+    d = d.withColumn("_more", _apart(F.col("_more"), F.col("_base")))
+    named = lambda yes: F.filter("_more", lambda s: (s["kind"] == "secret") == F.lit(yes))
+    d = d.withColumn("_named", named(True)).withColumn("_more", named(False))
+    d = d.withColumn("_more", F.concat("_named", _apart(F.col("_more"), F.col("_named")))).drop("_named")
     by_place = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["k"].alias("k"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return d.withColumn("base", by_place(slim(F.col("_base")))).withColumn("spans", by_place(slim(F.concat("_base", "_more")))).drop("_base", "_more")
 
@@ -261,23 +310,44 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Bits of the length, in code points, of the chunks in which ``_replaced`` holds a text.
+_CHUNK = 10
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """A text with each of its spans, at least one and by start, replaced by its kind. Each piece between spans is taken from the chunks it lies in, not sought from the text's beginning."""
+    size = 1 << _CHUNK
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first, last = F.shiftright(a, _CHUNK).cast("int"), F.shiftright(b - 1, _CHUNK).cast("int")
+        at, upto = (a.bitwiseAND(F.lit(size - 1).cast("long")) + 1).cast("int"), ((b - 1).bitwiseAND(F.lit(size - 1).cast("long")) + 1).cast("int")
+        inner = F.array_join(F.slice(chunks, first + 2, last - first - 1), "")
+        several = F.concat(F.substring(F.get(chunks, first), at, F.lit(size)), inner, F.substring(F.get(chunks, last), F.lit(1), upto))
+        return F.when(b <= a, "").when(first == last, F.substring(F.get(chunks, first), at, upto - at + 1)).otherwise(several)
+
+    def marked(chunks: Column, reach: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            at = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(reach, i - 1))
+            return _let(at, lambda at: F.concat(piece(chunks, at, F.greatest(s["start"], at)), F.when(s["start"] >= at, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")))
+
+        rest = piece(chunks, F.element_at(reach, -1), F.length(text).cast("long"))
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
+
+    ends = _scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return _let(chunks, lambda c: _let(ends, lambda reach: marked(c, reach)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in angle brackets; other columns as they are, but n_chars, where it is the text's length, follows.
 
     Null texts stay null. Spans that overlap are replaced from left to right;
-    what is left of a later one goes too.
+    what is left of a later one goes too. Texts of any length with any number
+    of spans take time in proportion to both.
     """
     found = find_spans(docs.select("text", F.struct(*docs.columns).alias("_row")), keep=["_row"])  # whatever other columns are called
     whole = F.col("_row.text")
-
-    def put(acc: Column, s: Column) -> Column:
-        between = F.substring(whole, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).cast("int").alias("at"), F.concat(acc["parts"], F.array(between, mark)).alias("parts"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), put)
-    rest = F.substring(whole, done["at"] + 1, F.length(whole))
-    text = F.when(F.size("spans") > 0, F.concat(F.array_join(done["parts"], ""), rest)).otherwise(whole)
+    text = F.when(F.size("spans") > 0, _replaced(whole, F.col("spans"))).otherwise(whole)
     new = {}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))

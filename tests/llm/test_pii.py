@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tallyfield.llm import pii
 from tests.llm.tables import collected, documents
@@ -57,6 +61,35 @@ def test_redact_keeps_columns_and_rows(spark):
     assert rows[0]["n_chars"] == 16 and [r["spans"] for r in rows] == ["x", "x", "y"]
 
 
+def test_texts_with_very_many_hits(spark, tmp_path):
+    r = random.Random(2)
+    kinds = [lambda: f"u{r.randrange(10**6)}@h.org", lambda: f"10.0.{r.randrange(300)}.7", lambda: f"+4420{r.randrange(10**8)}", lambda: f"db_password=k{r.randrange(10**9)}q77x", lambda: "api_key=" + f"m{r.randrange(99)}@x.com", lambda: "plain words, \U0001f600"]
+    texts = {1: " ".join(r.choice(kinds)() for _ in range(100_000)), 2: "1.2.3.4" + " 1.2.3.4" * 1023, 3: "a@b.cd"}
+    d = documents(spark, tmp_path, [(i, t, "s") for i, t in texts.items()])
+    began = time.perf_counter()
+    got = collected(pii.op6_pii(spark, d))
+    out = collected(pii.redact(spark.read.parquet(f"{d}/documents.parquet")))
+    assert time.perf_counter() - began < 60
+    check(got, texts)
+    for i, t in texts.items():
+        spans = [x.split(":") for x in got[i]["spans"].split(",")]
+        at, parts = 0, []
+        for kind, a, b in ((k, int(a), int(b)) for k, a, b in spans):
+            parts += [t[at : max(a, at)], f"<{kind.upper()}>" if a >= at else ""]
+            at = max(at, b)
+        assert out[i]["text"] == "".join(parts) + t[at:]
+
+
+def test_spans_that_overlap_others_go(spark):
+    r = random.Random(5)
+    rows = [([(a, a + r.randrange(1, 9)) for a in r.sample(range(900), n)], [(a, a + r.randrange(1, 9)) for a in r.sample(range(900), m)]) for n, m in ((0, 5), (5, 0), (80, 80), (300, 20), (1, 1))]
+    span = "array<struct<start:long,end:long>>"
+    got = spark.createDataFrame(rows, f"a {span}, b {span}").select("a", "b", pii._apart(F.col("a"), F.col("b")).alias("c")).collect()
+    for x in got:
+        want = sorted(tuple(s) for s in x["a"] if not any(o[0] < s[1] and s[0] < o[1] for o in x["b"]))
+        assert sorted(tuple(s) for s in x["c"]) == want
+
+
 def test_reliable_labelers_are_found():
     counts = {("card", (1, 1, 1, 1)): 90, ("card", (-1, -1, -1, -1)): 90, ("card", (1, 1, -1, 1)): 10, ("card", (-1, -1, 1, -1)): 10}
     _, rates, p = pii.reliabilities(counts)
