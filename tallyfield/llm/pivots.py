@@ -2,10 +2,14 @@
 
 With an extra component sqrt(M - |x|^2) for candidates and 0 for queries, M
 the largest squared length, a larger inner product is a smaller distance:
-d(q, x)^2 = |q|^2 + M - 2 <q, x>. Distances to pivots are computed once; by
-the triangle inequality max over pivots of |d(q, p) - d(x, p)| bounds d(q, x)
-from below, so <q, x> from above. Candidates are evaluated in bound order
-until no bound reaches the k-th score.
+d(q, x)^2 = |q|^2 + M - 2 <q, x>. Distances to pivots are computed once. They
+fix a point's place in the pivots' span and its distance from it, and the
+distance of two such places bounds d(q, x) from below, so <q, x> from above:
+the best bound that distances to all the pivots allow, no less than the
+largest |d(q, p) - d(x, p)|. Queries lie in cells by nearest pivot; a candidate
+that no query of a cell can rank among its best, by the cell's range of
+distances, doesn't travel there. What does is evaluated in bound order until
+no bound reaches the k-th score.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from tallyfield.llm.prefix import spread_key
 from tallyfield.session import materialise
 
 #: Pivots, chosen far apart among SAMPLE rows; rows of a block of candidates and of queries.
-PIVOTS, SAMPLE, BLOCK, QUERIES = 64, 4096, 2048, 1024
+PIVOTS, SAMPLE, BLOCK, QUERIES = 64, 4096, 8192, 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
@@ -62,6 +66,19 @@ class Table:
         self.sample_ids, self.sample, self.longest, self.dim = sample_ids, sample, float(longest), dim
         self.pivots = _pivots(sample, n_pivots)
         self.lift = np.sqrt(self.longest - np.minimum((self.pivots.astype(float) ** 2).sum(1), self.longest))
+        whole = np.column_stack([self.pivots.astype(float), self.lift])
+        away = whole[1:] - whole[:1]
+        # Directions from the first pivot to others, as long as they aren't nearly within the span of those before.
+        chosen, unit = [], np.empty((0, whole.shape[1]))
+        for i, x in enumerate(away):
+            rest = x - unit.T @ (unit @ x)
+            rest -= unit.T @ (unit @ rest)
+            if np.linalg.norm(rest) > 1e-3 * np.linalg.norm(x):
+                chosen.append(i)
+                unit = np.vstack([unit, rest / np.linalg.norm(rest)])
+        self.span = np.array(chosen, int) + 1
+        self.span_squares = (away[chosen] ** 2).sum(1)
+        self.basis = np.linalg.inv(away[chosen] @ unit.T).T  # from inner products with the directions to places along the units
 
     def distances(self, v: np.ndarray, query: bool) -> np.ndarray:
         """Distances of rows to the pivots in the lifted space."""
@@ -70,17 +87,23 @@ class Table:
         flat = square[:, None] + (self.pivots.astype(float) ** 2).sum(1) - 2.0 * _products(v, self.pivots)
         return np.sqrt(np.maximum(flat + (lift[:, None] - self.lift) ** 2, 0))
 
-    def bounds(self, q: np.ndarray, dq: np.ndarray, dc: np.ndarray) -> np.ndarray:
-        """No less than the score of any query with any candidate."""
-        a, b = dq.astype(np.float32), np.ascontiguousarray(dc.T, np.float32)
-        low, gap = np.zeros((len(a), b.shape[1]), np.float32), np.empty((len(a), b.shape[1]), np.float32)
-        for p in range(a.shape[1]):
-            np.subtract(a[:, p, None], b[p], out=gap)
-            np.abs(gap, out=gap)
-            np.maximum(low, gap, out=low)
-        slack = 1e-6 * (1 + float(a.max(initial=0)) + float(b.max(initial=0)))  # many times the rounding of 32 bits
+    def coordinates(self, d: np.ndarray) -> np.ndarray:
+        """From distances to the pivots: places in the pivots' span, and the distance from it last.
+
+        Two points are no nearer to each other than these rows, so that one
+        product bounds a block of pairs by all pivots at once; the largest
+        |d(q, p) - d(x, p)| is never a better bound.
+        """
+        square = d**2
+        inner = (square[:, :1] + self.span_squares - square[:, self.span]) / 2
+        places = inner @ self.basis
+        return np.column_stack([places, np.sqrt(np.maximum(square[:, 0] - (places**2).sum(1), 0))])
+
+    def bounds(self, q: np.ndarray, cq: np.ndarray, cc: np.ndarray) -> np.ndarray:
+        """No less than the score of any query with any candidate, by the coordinates of both."""
+        far = np.maximum((cq**2).sum(1)[:, None] + (cc**2).sum(1) - 2 * cq @ cc.T, 0)
         top = ((q.astype(float) ** 2).sum(1) + self.longest)[:, None]
-        return (top - np.maximum(low - slack, 0, dtype=float) ** 2) / 2 + 1e-6 * (1 + top)
+        return (top - far) / 2 + 1e-6 * (1 + top + self.longest)  # many times the rounding
 
     def floors(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
         """A score that k candidates reach for each query: its k-th best in the sample, itself left out."""
@@ -91,34 +114,81 @@ class Table:
         return np.partition(scores, -k, axis=1)[:, -k]
 
 
-def best_in_block(t: Table, k: int, qid: np.ndarray, q: np.ndarray, dq: np.ndarray, floor: np.ndarray, cid: np.ndarray, c: np.ndarray, dc: np.ndarray, step: int = 256) -> pd.DataFrame:
-    """query_id, vec_id, score of all that can be among a query's k best, about k a query of this block.
+class Cells:
+    """What is known of the queries of each cell: the least and greatest distance to each pivot, the largest square, the lowest floor.
 
-    Candidates go by their best bound, ``step`` at a time. A query stops when
-    no bound that is left reaches the k-th score that it has or ``floor``.
+    ``rows`` has a row a pivot; neighbouring ones of fewer than ``size``
+    queries together are one cell, named by the first, so that small query
+    sets don't make candidates travel many times.
     """
-    bound = t.bounds(q, dq, dc)
-    order = np.argsort(-bound.max(0), kind="stable")
-    c, cid = c[order], cid[order]
-    ahead = np.maximum.accumulate(bound[:, order][:, ::-1], axis=1)[:, ::-1]  # the best bound from a place on
-    need, best = floor.copy(), np.full((len(q), k), -np.inf)
-    rows = []
-    for at in range(0, len(c), step):
-        live = np.flatnonzero(ahead[:, at] >= need)
-        if not len(live):
-            break
-        s = _products(q[live], c[at : at + step]).astype(float)
-        s[qid[live][:, None] == cid[None, at : at + step]] = -np.inf
-        i, j = np.nonzero(s >= np.maximum(need[live], -1e300)[:, None])
-        rows.append((live[i], at + j, s[i, j]))
-        top = np.concatenate([best[live], s], 1)
-        best[live] = np.partition(top, -k, axis=1)[:, -k:]
-        need[live] = np.maximum(need[live], best[live].min(1))
-    if not rows:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-    i, j, s = (np.concatenate(x) for x in zip(*rows))
-    keep = s >= need[i]  # the last need is the highest
-    return pd.DataFrame({"query_id": qid[i[keep]], "vec_id": cid[j[keep]], "score": np.rint(s[keep]).astype(np.int64)})
+
+    def __init__(self, t: Table, rows: list, size: int):
+        rows = sorted(rows, key=lambda r: r["cell"])
+        self.of: dict[int, int] = {}
+        joined: list[list] = []
+        for r in rows:
+            if not joined or sum(x["n"] for x in joined[-1]) >= size:
+                joined.append([])
+            joined[-1].append(r)
+            self.of[r["cell"]] = joined[-1][0]["cell"]
+        merged = lambda name, f: np.array([f(x[name] for x in g) for g in joined], float)
+        self.cells = np.array([g[0]["cell"] for g in joined], np.int32)
+        self.sizes = {g[0]["cell"]: sum(x["n"] for x in g) for g in joined}
+        self.least = np.stack([merged(f"least{p}", min) for p in range(len(t.pivots))], 1)
+        self.most = np.stack([merged(f"most{p}", max) for p in range(len(t.pivots))], 1)
+        self.top, self.floor = merged("square", max) + t.longest, merged("floor", min)
+
+    def wanting(self, d: np.ndarray) -> list[list[int]]:
+        """For each candidate the cells of which a query may rank it, by its distances to the pivots."""
+        may = np.empty((len(d), len(self.cells)), bool)
+        for i in range(len(self.cells)):
+            low = np.maximum(self.least[i] - d, d - self.most[i]).max(1, initial=0)
+            low = np.maximum(low - 1e-6 * (1 + float(d.max(initial=0)) + float(self.most[i].max(initial=0))), 0)
+            may[:, i] = (self.top[i] - low**2) / 2 + 1e-6 * (1 + self.top[i]) >= self.floor[i]
+        return [self.cells[m].tolist() for m in may]
+
+
+def _scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact products of the pairs (i, j); of all pairs at once where those are many."""
+    if 8 * len(i) > len(q) * len(c):
+        return _products(q, c)[i, j]
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 50_000):
+        part = slice(at, at + 50_000)
+        out[part] = (q[i[part]] * c[j[part]]).sum(1)
+    return out
+
+
+def best_in_block(t: Table, k: int, qid: np.ndarray, q: np.ndarray, cq: np.ndarray, floor: np.ndarray, cid: np.ndarray, c: np.ndarray, cc: np.ndarray) -> tuple[pd.DataFrame, int]:
+    """query_id, vec_id, score of all that can be among a query's k best; and how many pairs were evaluated.
+
+    Each query's candidates go by their bounds, ``cq`` and ``cc`` being the
+    coordinates of both. The best 2k are evaluated first; then, of the rest,
+    those whose bounds reach the k-th score so far or ``floor``: beyond these
+    no bound does.
+    """
+    bound = t.bounds(q, cq, cc)
+    bound[qid[:, None] == cid[None, :]] = -np.inf
+    head = min(2 * k, len(c))
+    first = np.argpartition(-bound, head - 1, axis=1)[:, :head]
+    i, j = np.repeat(np.arange(len(q)), head), first.ravel()
+    s = np.where(np.isfinite(bound[i, j]), _scores(q, c, i, j), -np.inf)
+    need = floor.copy()
+    if head >= k:
+        need = np.maximum(need, np.partition(s.reshape(len(q), head), head - k, axis=1)[:, head - k])
+    bound[i, j] = -np.inf
+    more = np.nonzero((bound >= need[:, None]) & np.isfinite(bound))
+    i, j, s = np.append(i, more[0]), np.append(j, more[1]), np.append(s, _scores(q, c, *more))
+    keep = np.isfinite(s) & (s >= need[i])
+    return pd.DataFrame({"query_id": qid[i[keep]], "vec_id": cid[j[keep]], "score": np.rint(s[keep]).astype(np.int64)}), len(i)
+
+
+def _packed(rows: np.ndarray, dtype) -> list[bytes]:
+    return [x.tobytes() for x in np.ascontiguousarray(rows, dtype)]
+
+
+def _unpacked(cells: pd.Series, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), dtype).reshape(len(cells), width)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -128,9 +198,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = P
     candidate for it; fewer candidates than k give as many rows. Vectors of
     unequal length count as ending in zeros, an empty one scores 0 with all.
     Each row of an id that repeats is a candidate of its own, and rows of a
-    repeated query id are one query. Candidates lie in cells by
-    nearest pivot, and a cell in blocks of about ``block`` rows, so equal
-    vectors spread too; every block of queries meets every block of candidates.
+    repeated query id are one query. Candidates and queries lie in cells by
+    nearest pivot, and a cell in blocks of about ``block`` and ``query_block``
+    rows, so equal vectors spread too; every block of queries meets the
+    candidates that its cell wants.
     """
     spark = vectors.sparkSession
     vectors, queries = materialise(vectors, "topk-vectors"), queries.dropDuplicates(["vec_id"])
@@ -141,34 +212,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = P
     rows = vectors.orderBy(spread_key("vec_id", seed="pivot"), "vec_id").limit(SAMPLE).collect()  # of fixed size
     t = Table(np.array([r["vec_id"] for r in rows]), _matrix([r["v"] for r in rows], dim), int(facts[0]), dim, n_pivots)
 
-    def measure(batches):
+    def prepare(batches):
         for pdf in batches:
-            d = t.distances(_matrix(pdf["v"].tolist(), dim), False)
-            yield pdf.assign(d=list(d), cell=d.argmin(1).astype(np.int32))
+            q = _matrix(pdf["v"].tolist(), dim)
+            d = t.distances(q, True)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": _packed(q, np.int64), "d": list(d), "floor": t.floors(pdf["vec_id"].to_numpy(), q, k), "square": (q.astype(float) ** 2).sum(1), "cell": d.argmin(1).astype(np.int32)})
 
-    table = materialise(vectors.mapInPandas(measure, "vec_id long, v array<long>, d array<double>, cell int"), "topk-table")
-    sizes = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}  # a row a pivot
-    shares = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))])
-    key = spread_key("vec_id", seed="block")
-    n_queries = queries.count()
-    query_blocks = max(1, -(-n_queries // query_block))
-    part = F.shiftleft(F.col("cell").cast("long"), 32) + key % shares[F.col("cell")]
-    blocked = table.withColumn("part", part).withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    every = F.explode(F.flatten(F.array(*[F.sequence(F.lit(c << 32), F.lit((c << 32) + -(-n // block) - 1)) for c, n in sizes.items()])))
+    asked = materialise(queries.mapInPandas(prepare, "vec_id long, v binary, d array<double>, floor double, square double, cell int"), "topk-queries")
+    sides = [f(F.get("d", F.lit(p))).alias(f"{name}{p}") for name, f in (("least", F.min), ("most", F.max)) for p in range(len(t.pivots))]
+    known = asked.groupBy("cell").agg(F.count("*").alias("n"), F.min("floor").alias("floor"), F.max("square").alias("square"), *sides).collect()  # a row a pivot
+    if not known:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells = Cells(t, known, query_block)
 
-    def prepare(batches):
+    def measure(batches):
         for pdf in batches:
-            q = _matrix(pdf["v"].tolist(), dim)
-            yield pdf.assign(d=list(t.distances(q, True)), floor=t.floors(pdf["vec_id"].to_numpy(), q, k))
+            v = _matrix(pdf["v"].tolist(), dim)
+            d = t.distances(v, False)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": _packed(v, np.int64), "d": _packed(t.coordinates(d), np.float64), "cell": d.argmin(1).astype(np.int32), "wanting": cells.wanting(d)})
 
-    asked = queries.mapInPandas(prepare, "vec_id long, v array<long>, d array<double>, floor double")
-    asked = asked.withColumn("of", (spread_key("vec_id", seed="ask") % query_blocks).cast("int")).withColumn("part", every)
+    table = materialise(vectors.mapInPandas(measure, "vec_id long, v binary, d binary, cell int, wanting array<int>"), "topk-table")
+    sizes = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}  # a row a pivot
+    whole = lambda counts, size: F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, -(-n // size))])
+    of_query, of_candidate = whole(cells.sizes, query_block), whole(sizes, block)
+    asked = asked.withColumn("cell", F.create_map(*[F.lit(x) for pair in cells.of.items() for x in pair])[F.col("cell")])
+    place = lambda cell, number: F.shiftleft(cell.cast("long"), 32) + number
+    blocked = table.withColumn("part", place(F.col("cell"), spread_key("vec_id", seed="block") % of_candidate[F.col("cell")])).withColumn("ask", F.explode("wanting"))
+    blocked = blocked.withColumn("of", F.explode(F.transform(F.sequence(F.lit(0), of_query[F.col("ask")] - 1), lambda i: place(F.col("ask"), i)))).select("of", "part", "vec_id", "v", "d")
+    every = F.explode(F.flatten(F.array(*[F.sequence(F.lit(c << 32), F.lit((c << 32) + -(-n // block) - 1)) for c, n in sizes.items()])))
+    asked = asked.withColumn("of", place(F.col("cell"), spread_key("vec_id", seed="ask") % of_query[F.col("cell")])).withColumn("part", every).select("of", "part", "vec_id", "v", "d", "floor")
 
     def meet(key, q, c):
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        own, theirs = np.array(q["d"].tolist()), np.array(c["d"].tolist())
-        return best_in_block(t, k, q["vec_id"].to_numpy(), _matrix(q["v"].tolist(), dim), own, q["floor"].to_numpy(), c["vec_id"].to_numpy(), _matrix(c["v"].tolist(), dim), theirs)
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        if len(q) and len(c):
+            cid, cv, theirs = c["vec_id"].to_numpy(), _unpacked(c["v"], np.int64, dim), _unpacked(c["d"], np.float64, len(t.span) + 1)
+            for at in range(0, len(q), 512):
+                own = q.iloc[at : at + 512]
+                out.append(best_in_block(t, k, own["vec_id"].to_numpy(), _unpacked(own["v"], np.int64, dim), t.coordinates(np.array(own["d"].tolist())), own["floor"].to_numpy(), cid, cv, theirs)[0])
+        return pd.concat(out)
 
     found = asked.groupBy("of", "part").cogroup(blocked.groupBy("of", "part")).applyInPandas(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
