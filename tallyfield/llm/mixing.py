@@ -65,25 +65,36 @@ def copies(queue: DataFrame, max_epochs: int) -> DataFrame:
 _ORDER = ["finish", "shuffle_key", "doc_id", "epoch"]
 
 
-def cut_point(queue: DataFrame, max_epochs: int) -> tuple | None:
+#: Copies that one task adds up in order.
+CUT_ROWS = 100_000
+
+
+def cut_point(queue: DataFrame, max_epochs: int, most: int = CUT_ROWS) -> tuple | None:
     """The last copy, in finish order, with which the mix stays within the budget.
 
     Copies are range-sorted by finish time. Totals of the ranges (one row a
-    range) tell in which one the budget ends; only that range is added up row
-    by row.
+    range) tell in which one the budget ends; that one is range-sorted again,
+    until it holds ``most`` different copies or fewer, which are added up row
+    by row. Copies of equal keys are one row by then.
     """
-    ranged = copies(queue, max_epochs).select(*_ORDER, "size").repartitionByRange(*_ORDER).withColumn("range", F.spark_partition_id())
-    ranged = materialise(ranged, "mix-ranges")
+    spark = queue.sparkSession
     budget = queue.agg(F.sum("size")).first()[0] or 0
-    totals = ranged.groupBy("range").agg(F.sum("size").alias("total"))
-    ends = totals.withColumn("end", F.sum("total").over(Window.orderBy("range")))
-    last = ends.filter(F.col("end") > budget).orderBy("range").select("range", (F.col("end") - F.col("total")).alias("start")).first()
-    if last is None:
-        return None
-    inside = ranged.filter(F.col("range") == last["range"]).withColumn("sent", F.sum("size").over(Window.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
-    within = inside.filter(F.col("sent") + last["start"] <= budget).orderBy(*[F.col(c).desc() for c in _ORDER]).select(*_ORDER).first()
-    if within is None:  # the budget ends with the range before
-        within = ranged.filter(F.col("range") < last["range"]).orderBy(*[F.col(c).desc() for c in _ORDER]).select(*_ORDER).first()
+    rows = copies(queue, max_epochs).select(*_ORDER, F.col("size").alias("total"), "size")
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    start, last, most_left = 0, None, None
+    while most_left is None or most_left > most:
+        ranged = materialise(rows.repartitionByRange(tasks, *_ORDER).withColumn("range", F.spark_partition_id()), "mix-ranges")
+        totals = ranged.groupBy("range").agg(F.sum("total").alias("sum"), F.count("*").alias("rows"))
+        ends = totals.withColumn("end", F.sum("sum").over(Window.orderBy("range")) + start)
+        found = ends.filter(F.col("end") > budget).orderBy("range").select("range", "rows", (F.col("end") - F.col("sum")).alias("start")).first()
+        if found is None:
+            return None
+        start, most_left = found["start"], found["rows"]
+        before = ranged.filter(F.col("range") < found["range"]).select(F.max(F.struct(*_ORDER)).alias("last")).first()["last"]
+        last = before or last  # should the budget end with the range before
+        rows = ranged.filter(F.col("range") == found["range"]).groupBy(*_ORDER).agg(F.sum("total").alias("total"), F.min("size").alias("size"))
+    sent = rows.withColumn("sent", F.sum("total").over(Window.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)) - F.col("total") + F.col("size"))
+    within = sent.filter(F.col("sent") + start <= budget).select(F.max(F.struct(*_ORDER)).alias("last")).first()["last"] or last
     return tuple(within) if within else (float("-inf"), 0, 0, 0)
 
 
@@ -121,10 +132,13 @@ def _not_after_epoch(cut: tuple, finish, epoch: int):
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it. Columns may have any names beside doc_id, text and source."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
-    times = mix_sources(rows, weights, max_epochs, seed, keep=["_row"])
-    return times.filter("times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it. Columns may have any names beside doc_id, text and source.
+
+    Rows are numbered once; the numbers are mixed, and the texts join them at the end.
+    """
+    rows = materialise(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at")), "mix-rows")
+    times = mix_sources(rows.select("_at", "_row.doc_id", "_row.text", "_row.source"), weights, max_epochs, seed, keep=["_at"]).filter("times > 0").select("_at", "times")
+    return rows.join(times, "_at").select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

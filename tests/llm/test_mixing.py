@@ -1,4 +1,7 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfield.llm import mixing
 from tests.llm.tables import collected, documents
@@ -38,3 +41,20 @@ def test_repeated_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark, tmp_path):
     assert mixing.op1_mix(spark, documents(spark, tmp_path, [])).count() == 0
+
+
+def test_cut_is_found_in_ranges_of_any_size(spark):
+    rows = [(i if i % 9 else 7, "w " * (i % 13), f"s{i % 4}") for i in range(400)]  # one id repeats
+    queue = mixing.queue_times(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    whole = mixing.cut_point(queue, 3)
+    assert whole is not None and all(mixing.cut_point(queue, 3, most) == whole for most in (1, 20, 10**6))
+
+
+def test_mixed_documents_are_whole_rows(spark):
+    rows = [(i // 2, "w " * (1 + i % 5), "ab"[i % 3 > 1], i) for i in range(60)] + [(None, "x y", None, 99), (3, None, "a", 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times long")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = Counter(tuple(r) for r in out.collect())
+    times = Counter({tuple(r["row"]): r["times"] for r in mixing.mix_sources(docs.withColumn("row", F.struct(*docs.columns)), keep=["row"]).collect() if r["times"]})
+    assert got == times and sum(got.values()) > 0
