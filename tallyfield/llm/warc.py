@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from tallyfield.session import fresh_path, materialise
 
 INDEX_SCHEMA = "run string, url_key string, ts string, page_id long, offset long, length long"
 CRLF = b"\r\n"
+#: Captures that a task merges at most, but for the evenness of the ranges; rows it yields at a time.
+RANGE_ROWS, OUT_ROWS = 100_000, 10_000
 
 
 def url_key(url: str | None) -> str:
@@ -160,29 +163,33 @@ def _key_column():
 def merge_indexes(index: DataFrame, partitions: int | None = None) -> DataFrame:
     """Capture histories: the runs of the index merged by URL key, timestamp and page_id.
 
-    Ranges of the key are dealt to tasks; in a task the slices of the runs,
-    each sorted, go through a loser tree. Ranges split inside a URL too, so a
-    host with a third of all captures spreads over tasks. Adds ``place``, the
-    place of the capture in its range's history, and ``range``; partitions in
-    order are the global order.
+    Ranges of the key, as many as keep each near ``RANGE_ROWS`` captures, are
+    dealt to tasks; in a task the slices of the runs, each sorted, go through a
+    loser tree. Ranges split inside a URL too, so a host with a third of all
+    captures spreads over tasks. Adds ``range`` and ``place`` in it: in their
+    order captures are in the global order.
     """
     keys = ["url_key", "ts", "page_id", "run", "offset"]
-    dealt = index.repartitionByRange(*([partitions] if partitions else []), *keys).sortWithinPartitions("run", *keys)
+    least = -(-index.count() // RANGE_ROWS)
+    partitions = partitions or max(least, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = index.repartitionByRange(partitions, *keys).withColumn("range", F.spark_partition_id()).sortWithinPartitions("run", *keys)
+    columns = ["url_key", "ts", "page_id", "run", "offset", "length", "range"]
 
     def run(batches):
         runs: dict[str, list] = {}
         for pdf in batches:
-            for row in zip(pdf["url_key"], pdf["ts"], pdf["page_id"], pdf["run"], pdf["offset"], pdf["length"]):
+            for row in zip(*(pdf[c] for c in columns)):
                 runs.setdefault(row[3], []).append(row)
-        merged = list(LoserTree(runs.values()))
-        d = pd.DataFrame(merged, columns=["url_key", "ts", "page_id", "run", "offset", "length"])
-        yield d.assign(place=range(len(d)))
+        merged, place = iter(LoserTree(runs.values())), 0
+        while part := list(islice(merged, OUT_ROWS)):
+            yield pd.DataFrame(part, columns=columns).assign(place=range(place, place + len(part)))
+            place += len(part)
 
-    return dealt.mapInPandas(run, "url_key string, ts string, page_id long, run string, offset long, length long, place long")
+    return dealt.mapInPandas(run, "url_key string, ts string, page_id long, run string, offset long, length long, range int, place long")
 
 
 def read_archives(histories: DataFrame, folder: str) -> DataFrame:
-    """Reads each indexed record: its headers, and the payload if it has one."""
+    """Reads each record of the histories, in the order in which it lies in its archive: its place in them, its headers, and the payload if it has one."""
 
     def run(batches):
         store, root = _store(folder)
@@ -190,17 +197,17 @@ def read_archives(histories: DataFrame, folder: str) -> DataFrame:
             rows = []
             for name, part in pdf.sort_values(["run", "offset"]).groupby("run", sort=False):
                 with store.open_input_file(f"{root}/{name}") as f:
-                    for offset, length in zip(part["offset"], part["length"]):
+                    for offset, length, *at in zip(part["offset"], part["length"], part["range"], part["place"]):
                         f.seek(int(offset))
                         fields, http, payload = parse_record(zlib.decompress(f.read(int(length)), 31))
                         kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"][5:]
                         if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                             raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
                         refers = fields.get("WARC-Refers-To")
-                        rows.append((int(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], fields["WARC-Date"], kind, int(http["Content-Length"]), digest, refers and int(refers[10:-1]), payload if kind == "response" else None))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "ts", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]).astype({"refers_to": "Int64"})
+                        rows.append((int(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], fields["WARC-Date"], kind, int(http["Content-Length"]), digest, refers and int(refers[10:-1]), payload if kind == "response" else None, *at))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "ts", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "range", "place"]).astype({"refers_to": "Int64"})
 
-    return histories.mapInPandas(run, "page_id long, url string, ts string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return histories.mapInPandas(run, "page_id long, url string, ts string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, range int, place long")
 
 
 def capture_time(page_id="page_id", start: str = "2024-01-01T00:00:00Z"):

@@ -27,6 +27,8 @@ def test_histories_are_in_global_order(spark):
     keys = [(r["url_key"], r["ts"], r["page_id"]) for r in merged.collect()]
     assert len(keys) == 200 and keys == sorted(keys)
     records = {r["page_id"]: r for r in warc.read_archives(merged, folder).collect()}
+    placed = sorted(records.values(), key=lambda r: (r["range"], r["place"]))
+    assert [(warc.url_key(r["url"]), r["ts"], r["page_id"]) for r in placed] == keys
     assert bytes(records[3]["payload"]) == b"t3" and records[8]["payload"] is None and records[8]["refers_to"] == 3
 
 
