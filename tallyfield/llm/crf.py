@@ -4,7 +4,7 @@ Each line is good or bad. Its score comes from shape features of the line and
 of its neighbours, and chains of lines from transition scores. The field is
 trained on a bounded sample of labelled documents; forward-backward marginals,
 weighted by line length, give a document's share of good text, and a logistic
-curve fitted on the same sample turns that into a score.
+curve fitted on whole texts of the same sample turns that into a score.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm import arrays
 from tallyfield.llm.prefix import spread_key
+from tallyfield.session import materialise
 
-#: Labelled documents of each class that training sees at most, and lines of each.
+#: Labelled documents of each class that training sees at most, and neighbouring lines of each that the field is fitted to.
 SAMPLE_DOCS, SAMPLE_LINES = 1500, 64
 THRESHOLD = 0.7
 
@@ -172,21 +173,21 @@ def _ascend(gradient, start: np.ndarray, rounds: int, rate: float) -> np.ndarray
     return p
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, penalty: float = 3e-5) -> Field:
-    """Fits a field to (line features, line sizes, label) of documents.
+def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 150, penalty: float = 3e-5) -> Field:
+    """Fits a field, without its curve, to (line features, label) of documents.
 
     At first all lines have their document's label. Then lines of bad
     documents that look good by themselves count as good, as a bad document
     may begin well, and the field is fitted again.
     """
     docs = [d for d in docs if len(d[0])]
-    labels = np.array([d[2] for d in docs])
+    labels = np.array([d[1] for d in docs])
     if not len(docs) or labels.min() == labels.max():
         # Nothing to tell apart: every text with words scores 1, or 0 if all that is known is bad.
         return Field(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, -500.0 if len(docs) and labels[0] == 0 else 500.0)
     places = max(len(d[0]) for d in docs)
     x, mask = np.zeros((len(docs), places, FEATURES)), np.zeros((len(docs), places), bool)
-    for i, (f, _, _) in enumerate(docs):
+    for i, (f, _) in enumerate(docs):
         x[i, : len(f)], mask[i, : len(f)] = f, True
     y = np.repeat(labels[:, None], places, 1)
     p = np.zeros(FEATURES + 4)
@@ -202,7 +203,13 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, penal
             some_bad = ((better == 0) & mask).any(1) | (labels == 1)
             y = np.where(some_bad[:, None], better, y)
     field = Field(p[:FEATURES], p[FEATURES:].reshape(2, 2), 0.0, 0.0)
-    share = field.shares(np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs]), np.array([len(d[0]) for d in docs]))
+    return field
+
+
+def fit_curve(field: Field, share: np.ndarray, labels: np.ndarray) -> Field:
+    """``field`` with the curve from the good shares of whole texts, none NaN, to their labels."""
+    if field.slope == 0.0 and field.offset != 0.0:
+        return field
     weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
 
     def curve(c):
@@ -220,28 +227,43 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> Field:
-    """A field from at most ``per_class`` labelled documents of each quality, by hash of their id, and ``lines`` lines of each.
+    """A field from at most ``per_class`` labelled documents of each quality, by hash of their id.
 
-    Only rows that aren't ``held_out`` are seen. Null labels, other labels
-    than 0 and 1, and labels without a document don't count.
+    Its weights are fitted to ``lines`` neighbouring lines of each, from a
+    place that the id's hash picks in the whole text, whose features still see
+    the lines around them; its curve is fitted to whole texts. Only rows that
+    aren't ``held_out`` are seen. Null labels, other labels than 0 and 1, and
+    labels without a document don't count.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(~held_out() & F.col("doc_id").isNotNull())
     order = spread_key("doc_id", seed="train")
     some = [known.filter(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(per_class) for q in (0, 1)]
     sample = some[0].union(some[1])  # 2 * per_class rows at most, so it may be broadcast
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = materialise(texts.select("doc_id", "quality", "text", spread_key("doc_id", seed="lines").alias("place")), "quality-sample")
 
-    def run(batches):
+    def chosen(batches):
         for pdf in batches:
             rows = []
-            for doc_id, text, q in zip(pdf["doc_id"], pdf["text"], pdf["quality"]):
-                f, sizes, _ = line_features([text.encode()])
-                rows.append((doc_id, q, f[:lines].ravel().tolist(), sizes[:lines].tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "quality", "features", "sizes"])
+            for doc_id, q, text, place in zip(pdf["doc_id"], pdf["quality"], pdf["text"], pdf["place"]):
+                f = line_features([text.encode()])[0]
+                at = place % max(1, len(f) - lines + 1)
+                rows.append((doc_id, q, f[at : at + lines].ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["doc_id", "quality", "features"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = texts.mapInPandas(run, "doc_id long, quality int, features array<double>, sizes array<double>").dropDuplicates(["doc_id"]).collect()
+    found = texts.mapInPandas(chosen, "doc_id long, quality int, features array<double>").collect()
     found.sort(key=lambda r: r["doc_id"])
-    return fit([(np.array(r["features"]).reshape(-1, FEATURES), np.array(r["sizes"]), r["quality"]) for r in found])
+    field = fit([(np.array(r["features"]).reshape(-1, FEATURES), r["quality"]) for r in found])
+
+    def shares(batches):
+        for pdf in batches:
+            raw = [t.encode() for t in pdf.pop("text")]
+            got = [field.shares(*line_features(raw[part])) for part in arrays.pieces_of(raw, len, 500_000)]
+            yield pdf[["doc_id", "quality"]].assign(share=np.concatenate(got))
+
+    whole = [r for r in texts.mapInPandas(shares, "doc_id long, quality int, share double").collect() if r["share"] is not None]  # null without a word
+    whole.sort(key=lambda r: r["doc_id"])
+    return fit_curve(field, np.array([r["share"] for r in whole]), np.array([r["quality"] for r in whole]))
 
 
 def quality_score(field: Field, text: str = "text") -> Column:
