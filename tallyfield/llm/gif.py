@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.llm.keyed import map_keyed
 from tallyfield.session import materialise
 
 WIDTH = 64
@@ -133,17 +134,29 @@ def _blocks(data: bytes) -> bytes:
 
 
 _GREYS = bytes(x for i in range(256) for x in (i, i, i))
+_TINTS = bytes(x for i in range(256) for x in (i, 255 - i, 7 * i & 255))
+#: How frames are written, in turn: own palette, interlaced, disposal, transparent sample.
+STYLES = ((False, False, 1, None), (True, False, 2, None), (False, True, 3, 32), (False, False, 0, 0))
 
 
 def encode_gif(payload: bytes, rows: int = FRAME_ROWS) -> bytes:
-    """A GIF whose frames' samples, joined, are the payload. Its length must be a positive multiple of ``WIDTH``."""
+    """A GIF whose frames' samples, joined, are the payload. Its length must be a positive multiple of ``WIDTH``.
+
+    Frames go through ``STYLES`` in turn, beginning where the payload's length
+    says, so palettes, interlacing, disposal and transparency all occur; they
+    change what is shown, never the samples.
+    """
     height = len(payload) // WIDTH
-    screen = min(height, rows)
-    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, screen, 0xF7, 0, 0), _GREYS]
-    for top in range(0, height, rows):
+    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(height, rows), 0xF7, 0, 0), _GREYS]
+    for i, top in enumerate(range(0, height, rows)):
+        tinted, woven, disposal, clear = STYLES[(height + i) % len(STYLES)]
         own = payload[top * WIDTH : (top + rows) * WIDTH]
-        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, FRAME_MS // 10, 0) + b"\0")
-        parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(own) // WIDTH, 0) + b"\x08" + _blocks(lzw_encode(own)))
+        n = len(own) // WIDTH
+        if woven:
+            own = np.frombuffer(own, np.uint8).reshape(n, WIDTH)[_interlaced(n)].tobytes()
+        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), FRAME_MS // 10, clear or 0) + b"\0")
+        parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, n, (0x87 if tinted else 0) | (0x40 if woven else 0)))
+        parts.append((_TINTS if tinted else b"") + b"\x08" + _blocks(lzw_encode(own)))
     return b"".join(parts) + b"\x3b"
 
 
@@ -254,54 +267,60 @@ def store_texts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
             texts = pdf.pop("text")
             yield pdf.assign(n_bytes=[len(t.encode()) for t in texts], media=[encode_gif(padded(t)) for t in texts])
 
-    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"{fields}, n_bytes long, media binary")
+    return map_keyed(docs.select(*keys, F.coalesce("text", F.lit("")).alias("text")), keys, run, "n_bytes long, media binary")
 
 
-FRAME_SCHEMA = "frame int, shown_at_ms long, delay_ms long, left int, top int, width int, height int, disposal int, transparent int, samples binary, histogram array<long>"
+_FRAME = "frame:int,shown_at_ms:bigint,delay_ms:bigint,left:int,top:int,width:int,height:int,disposal:int,transparent:int,samples:binary,histogram:array<bigint>"
+_FRAME_FIELDS = [x.split(":")[0] for x in _FRAME.split(",")]
 
 
-def frames_of(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Timed frames of a media column, one row a frame. Null media and what is no GIF give none."""
+def with_frames(media: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Timed frames of a media column, read back and decoded: the keys, media_bytes, media_sha256 and frames. Null media and what is no GIF have none."""
+
+    def frames(data: bytes | None) -> list[dict]:
+        try:
+            found = decode_gif(data) if data is not None else []
+        except (ValueError, IndexError, struct.error):
+            return []
+        clock, out = 0, []
+        for i, f in enumerate(found):
+            out.append(dict(zip(_FRAME_FIELDS, (i, clock, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.samples, histogram(f.canvas).tolist()))))
+            clock += f.delay_ms
+        return out
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for k, data in zip(pdf[key], pdf["media"]):
-                clock = 0
-                try:
-                    found = decode_gif(data) if data is not None else []
-                except (ValueError, IndexError, struct.error):
-                    found = []
-                for i, f in enumerate(found):
-                    rows.append((k, i, clock, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.samples, histogram(f.canvas).tolist()))
-                    clock += f.delay_ms
-            yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in FRAME_SCHEMA.split(", "))])
+            media = pdf.pop("media")
+            yield pdf.assign(media_bytes=[-1 if m is None else len(m) for m in media], media_sha256=[m and hashlib.sha256(m).hexdigest() for m in media], frames=[frames(m) for m in media])
 
-    return media.select(key, "media").mapInPandas(run, f"`{key}` {media.schema[key].dataType.simpleString()}, {FRAME_SCHEMA}")
+    out = map_keyed(media.select(*keys, "media"), keys, run, f"media_bytes long, media_sha256 string, frames array<struct<{_FRAME}>>")
+    return out.withColumn("media_bytes", F.when(F.col("media_bytes") >= 0, F.col("media_bytes")))
 
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def frames_of(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Timed frames of a media column, one row a frame."""
+    return with_frames(media, (key,)).select(key, F.inline("frames"))
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Reads stored GIFs back: digests of payload and stored form, and the feature: frames, size, time and colour histogram."""
+def media_digests(framed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Of stored frames: digests of the payload, which their samples are when joined, and the feature: frames, size, time and the sum of their histograms."""
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for doc_id, n, data in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"]):
-                frames = decode_gif(data)
-                payload = b"".join(f.samples for f in frames)
-                colours = sum((histogram(f.canvas) for f in frames), np.zeros(64, np.int64))
-                shades = colours[[0, 21, 42, 63]]
-                feature = f"frames={len(frames)};width={frames[0].width};height={sum(f.height for f in frames)};ms={sum(f.delay_ms for f in frames)};histogram={','.join(map(str, shades.tolist()))},other={int(colours.sum() - shades.sum())}"
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
+            payloads, features = [], []
+            for frames in pdf.pop("frames"):
+                payloads.append(b"".join(f["samples"] for f in frames))
+                colours = sum((np.array(f["histogram"]) for f in frames), np.zeros(64, np.int64))
+                shown = ",".join(f"{i}:{colours[i]}" for i in np.flatnonzero(colours))
+                features.append(f"frames={len(frames)};width={frames[0]['width']};height={sum(f['height'] for f in frames)};ms={sum(f['delay_ms'] for f in frames)};histogram={shown}")
+            yield pdf.assign(payload_bytes=[len(p) for p in payloads], payload_sha256=[hashlib.sha256(p).hexdigest() for p in payloads], tail_crc32=[zlib.crc32(p[-64:]) for p in payloads], feature=features)
 
-    return media.mapInPandas(run, DIGEST_SCHEMA)
+    return map_keyed(framed.select(*keys, "frames"), keys, run, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GIFs and their timed frames are both stored; digests are of what is read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return media_digests(materialise(store_texts(docs), "gif-media"))
+    media = materialise(store_texts(docs), "gif-media")
+    framed = materialise(with_frames(media, ("doc_id", "n_bytes")), "gif-frames")
+    return media_digests(framed, ("doc_id", "n_bytes", "media_bytes", "media_sha256"))

@@ -65,3 +65,17 @@ def test_frames_and_bad_media(spark):
 
 def test_empty_table(spark, tmp_path):
     assert gif.op3_gif(spark, documents(spark, tmp_path, [])).count() == 0
+
+
+def test_stored_frames_vary_and_keep_the_payload(spark):
+    texts = [(2**62 + 1, "line of text\n" * 40_000), (None, "ab"), (3, " " * 64 * 3), (4, "x" * 64 * 2), (5, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in gif.with_frames(gif.store_texts(d)).collect()}
+    assert set(rows) == {2**62 + 1, None, 3, 4, 5}  # ids beside a null stay exact
+    frames = rows[2**62 + 1]["frames"]
+    assert b"".join(f["samples"] for f in frames) == gif.padded(texts[0][1]) and len(frames) > 4
+    assert {f["disposal"] for f in frames} == {0, 1, 2, 3} and {f["transparent"] for f in frames} == {-1, 0, 32}
+    assert [f["shown_at_ms"] for f in frames] == [gif.FRAME_MS * i for i in range(len(frames))]
+    assert sum(rows[3]["frames"][0]["histogram"]) in (0, 64 * 3)  # spaces show nothing where they are transparent
+    for data in (gif.encode_gif(bytes(range(64)) * n) for n in (1, 2, 3, 4)):
+        assert b"".join(f.samples for f in gif.decode_gif(data)) == bytes(range(64)) * (len(b"".join(f.samples for f in gif.decode_gif(data))) // 64)
