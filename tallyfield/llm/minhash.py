@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm import arrays
 from tallyfield.llm.graph import components
+from tallyfield.llm.keyed import map_keyed
 from tallyfield.session import materialise
 
 #: 80 functions give 160 values in 32 bands of 5: of pairs at similarity 0.8, 3 in a million share no band.
@@ -85,7 +86,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return arrays.mix(parts + np.arange(parts.shape[1], dtype=np.uint64)).astype(np.int64)
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+SKETCH_SCHEMA = "n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -108,7 +109,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                         rows[c] = pd.Series(column, dtype=object)
                 yield rows
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SKETCH_SCHEMA)
+    return map_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ("doc_id",), run, SKETCH_SCHEMA)
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm import arrays
+from tallyfield.llm.keyed import map_keyed
 from tallyfield.llm.prefix import running_totals, spread_key
 from tallyfield.session import materialise
 
@@ -125,7 +126,9 @@ class WordTokenizer:
     def _learn(self, new: list[bytes], hashes: np.ndarray) -> np.ndarray:
         ids = np.array(self.bpe.encode_ordinary(b" ".join(new).decode() + " "), np.uint32)
         last = np.flatnonzero(self.ends[ids])
-        assert len(last) == len(new)
+        if len(last) != len(new):  # then words can't be told apart by their ends: each by the tokenizer itself
+            own = [np.array(self.exact.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w in new]
+            ids, last = np.concatenate(own), np.cumsum([len(x) for x in own]) - 1
         n, k = len(self.known), len(new)
         while self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.empty_like(self.store)])
@@ -171,11 +174,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for k, start in enumerate(_cut(len(ids), capacity)):
                         own = ids[start : start + capacity]
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), k, start, len(own), zlib.crc32(own.tobytes()), *([own.tolist()] if keep_ids else [])))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["token_ids"] * keep_ids]).astype({"doc_id": "Int64"})
+                        rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes()), *([own.tolist()] if keep_ids else [])))
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["token_ids"] * keep_ids])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", token_ids array<long>" * keep_ids
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    schema = "piece int, start long, length long, ids_crc32 long" + ", token_ids array<long>" * keep_ids
+    return map_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ("doc_id",), run, schema)
 
 
 class ComplementPlan:

@@ -59,3 +59,16 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     sf = documents(spark, tmp_path / "a", [(1, "x y", "s"), (1, "x y", "s")])
     assert packing.op4_pack(spark, sf).count() == 2
     assert packing.op4_pack(spark, documents(spark, tmp_path / "b", [])).count() == 0
+
+
+def test_words_that_hide_their_ends_go_through_the_tokenizer_itself():
+    own = packing.WordTokenizer(packing.vocabulary())
+    own.ends = np.zeros_like(own.ends)
+    exact = Tokenizer.from_file(packing.vocabulary())
+    texts = ["the quick brown fox", "Hello  WORLD !!!???... 123", "x" * 300 + " again the fox"]
+    assert [x.tolist() for x in own.encode(texts)] == [exact.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    d = spark.createDataFrame([(2**62 + 1, "a b"), (None, "c")], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.token_pieces(d, packing.vocabulary()).collect()} == {2**62 + 1, None}
