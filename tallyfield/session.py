@@ -73,7 +73,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallyfield/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "zstd", level: int = 3) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     A lost executor costs the tasks in flight only, and a value that depends
@@ -81,7 +81,7 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
