@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm import arrays
-from tallyfield.llm.prefix import spread_key
+from tallyfield.functions.prefix import spread_key
 from tallyfield.session import materialise
 
 #: Labelled documents of each class that training sees at most, and neighbouring lines of each that the field is fitted to.

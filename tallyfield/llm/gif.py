@@ -322,5 +322,5 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GIFs and their timed frames are both stored; digests are of what is read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     media = materialise(store_texts(docs), "gif-media")
-    framed = materialise(with_frames(media, ("doc_id", "n_bytes")), "gif-frames")
+    framed = materialise(with_frames(media, ("doc_id", "n_bytes")), "gif-frames", level=9)
     return media_digests(framed, ("doc_id", "n_bytes", "media_bytes", "media_sha256"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.prefix import running_totals, spread_key
+from tallyfield.functions.prefix import running_totals, spread_key
 from tallyfield.session import materialise
 
 #: What separates words: space and the controls from tab to carriage return.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm import arrays
 from tallyfield.llm.keyed import map_keyed
-from tallyfield.llm.prefix import running_totals, spread_key
+from tallyfield.functions.prefix import running_totals, spread_key
 from tallyfield.session import materialise
 
 CAPACITY = 2048

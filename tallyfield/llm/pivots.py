@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.prefix import spread_key
+from tallyfield.functions.prefix import spread_key
 from tallyfield.session import materialise
 
 #: Pivots, chosen far apart among SAMPLE rows; rows of a block of candidates and of queries.
