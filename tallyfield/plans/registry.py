@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.plans import backtest, history, lookups, models, prices, profiling, reconcile
+from tallyfield.plans import backtest, history, lookups, models, payloads, prices, profiling, reconcile, refinement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (history, backtest, prices, models, reconcile, profiling, lookups):
+for _part in (history, backtest, prices, models, reconcile, profiling, lookups, refinement, payloads):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.SQL
 
