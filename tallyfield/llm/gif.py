@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm.keyed import map_keyed
-from tallyfield.session import materialise
+from tallyfield.session import drop_written, materialise
 
 WIDTH = 64
 #: Rows a frame holds at most; a longer payload becomes more frames.
@@ -323,4 +323,5 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     media = materialise(store_texts(docs), "gif-media")
     framed = materialise(with_frames(media, ("doc_id", "n_bytes")), "gif-frames", level=9)
+    drop_written(media)
     return media_digests(framed, ("doc_id", "n_bytes", "media_bytes", "media_sha256"))

@@ -134,11 +134,12 @@ def _not_after_epoch(cut: tuple, finish, epoch: int):
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it. Columns may have any names beside doc_id, text and source.
 
-    Rows are numbered once; the numbers are mixed, and the texts join them at the end.
+    Rows are numbered once; the numbers are mixed, and the texts join them at
+    the end, by a shuffle at any size.
     """
     rows = materialise(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at")), "mix-rows")
     times = mix_sources(rows.select("_at", "_row.doc_id", "_row.text", "_row.source"), weights, max_epochs, seed, keep=["_at"]).filter("times > 0").select("_at", "times")
-    return rows.join(times, "_at").select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
+    return rows.join(times.hint("merge"), "_at").select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.prefix import spread_key
-from tallyfield.session import materialise
+from tallyfield.session import drop_written, materialise
 
 #: Pivots, chosen far apart among SAMPLE rows; rows of a block of candidates and of queries.
 PIVOTS, SAMPLE, BLOCK, QUERIES = 64, 4096, 8192, 4096
@@ -232,6 +232,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = P
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": _packed(v, np.int64), "d": _packed(t.coordinates(d), np.float64), "cell": d.argmin(1).astype(np.int32), "wanting": cells.wanting(d)})
 
     table = materialise(vectors.mapInPandas(measure, "vec_id long, v binary, d binary, cell int, wanting array<int>"), "topk-table")
+    drop_written(vectors)
     sizes = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}  # a row a pivot
     whole = lambda counts, size: F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, -(-n // size))])
     of_query, of_candidate = whole(cells.sizes, query_block), whole(sizes, block)
