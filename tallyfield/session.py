@@ -85,10 +85,11 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd", level: int
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df_or_path, spark: SparkSession | None = None) -> None:
-    """Delete a table written by ``materialise`` once nothing reads it."""
-    path = df_or_path if isinstance(df_or_path, str) else df_or_path.inputFiles()[0].rsplit("/", 1)[0]
-    spark = spark or df_or_path.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(table: DataFrame) -> None:
+    """Delete a table written by ``materialise`` once nothing reads it: what was made of it must be written itself."""
+    files = table.inputFiles()
+    if not files:
+        return
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
