@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, crf, gif, minhash, mixing, packing, pii, pivots, suffixes, warc
+from tallyfield.llm import centroids, chat, crf, gif, minhash, mixing, packing, pii, pivots, suffixes, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_minhash": minhash.op9_minhash,
     "op10_chat": chat.op10_chat,
+    "op11_centroids": centroids.op11_centroids,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op2_topk": pivots.OP2_SQL,
     "op7_warc": warc.OP7_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_centroids": centroids.OP11_SQL,
 }
