@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import centroids, chat, crf, gif, minhash, mixing, packing, pii, pivots, suffixes, warc
+from tallyfield.llm import centroids, chat, crf, gif, minhash, mixing, nnls, packing, pii, pivots, suffixes, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_chat": chat.op10_chat,
     "op11_centroids": centroids.op11_centroids,
+    "op12_windows": nnls.op12_windows,
 }
 
 ORACLE_SQL = {
