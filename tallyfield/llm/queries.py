@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import centroids, chat, crf, gif, minhash, mixing, nnls, packing, pii, pivots, suffixes, warc
+from tallyfield.llm import centroids, chat, crf, gif, minhash, mixing, nnls, packing, pii, pivots, spelling, suffixes, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_centroids": centroids.op11_centroids,
     "op12_windows": nnls.op12_windows,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_warc": warc.OP7_SQL,
     "op10_chat": chat.OP10_SQL,
     "op11_centroids": centroids.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
