@@ -66,13 +66,6 @@ def token_sort(x: Column | str) -> Column:
     return F.array_join(F.array_sort(F.split(normalise_name(x), " ")), " ")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 100 by edit distance of word-sorted names: 100 * (1 - distance / longer length)."""
-    x, y = token_sort(a), token_sort(b)
-    longer = F.greatest(F.length(x), F.length(y))
-    return F.when(longer == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(x, y) / longer))
-
-
 def parse_number(x: Column | str) -> Column:
     """A number written with a decimal comma or point, or as a fraction a/b, which is a price of a/b + 1."""
     t = F.trim(col(x))

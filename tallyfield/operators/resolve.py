@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.nulls import blank_to_null, present
-from tallyfield.functions.text import normalise_name, similarity
+from tallyfield.operators import entities
 
 
 def nearest_date_join(left: DataFrame, right: DataFrame, key: list[str], left_date: str, right_date: str, columns: list[str], order: list[str], id_col: str, days: int = 1) -> DataFrame:
@@ -102,25 +102,15 @@ def content_checks(df: DataFrame, date: str, home: str, away: str) -> DataFrame:
     )
 
 
-def fuzzy_entities(names: DataFrame, canon: DataFrame, name: str, canon_name: str, sure: float = 92.0, maybe: float = 82.0) -> DataFrame:
-    """Names mapped to canonical ones: exact after normalising, else by similarity within blocks.
+def fuzzy_entities(names: DataFrame, canon: DataFrame, name: str, canon_name: str, sure: int = 92, maybe: int = 82) -> DataFrame:
+    """Distinct names mapped to canonical ones: name, canonical, score and status (exact, fuzzy, review, unresolved).
 
-    Returns name, canonical, score and status (exact, fuzzy, review,
-    unresolved). Distinct names are compared with canonical names that share
-    a word; words that very many canonical names have would make large
-    blocks, so of a name's words only the rarest there counts.
+    Exact after normalising, else the canonical name of the best token-sort
+    ratio (``entities.similar_names``: no pair that reaches ``maybe`` is missed).
     """
-    n = names.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct().withColumn("norm", normalise_name("name"))
-    c = canon.select(F.col(canon_name).alias("canonical")).filter("canonical IS NOT NULL").distinct().withColumn("norm", normalise_name("canonical"))
-    exact = n.join(c.groupBy("norm").agg(F.min("canonical").alias("canonical")), "norm")
-    rest = n.join(exact.select("name"), "name", "left_anti")
-    words = c.select("canonical", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    common = words.groupBy("word").count()
-    asked = rest.select("name", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).join(common, "word")
-    rarest = asked.groupBy("name").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
-    scored = rarest.join(words, "word").withColumn("score", similarity(F.col("name"), F.col("canonical")))
-    best = scored.groupBy("name").agg(F.max("score").alias("score"), F.min_by("canonical", F.struct(-F.col("score"), F.col("canonical"))).alias("canonical"))
-    status = F.when(F.col("score") >= sure, "fuzzy").when(F.col("score") >= maybe, "review").otherwise("unresolved")
-    found = best.select("name", F.when(F.col("score") >= maybe, F.col("canonical")).alias("canonical"), F.round("score", 4).alias("score"), status.alias("status"))
-    none = rest.join(best.select("name"), "name", "left_anti").select("name", F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("double").alias("score"), F.lit("unresolved").alias("status"))
-    return exact.select("name", "canonical", F.lit(100.0).alias("score"), F.lit("exact").alias("status")).unionByName(found).unionByName(none)
+    rows = names.select(F.col(name).alias("raw_name")).filter("raw_name IS NOT NULL").distinct().withColumn("provider", F.lit(None).cast("string")).withColumn("provider_id", F.lit(None).cast("string"))
+    known = canon.select(F.col(canon_name).alias("canonical_id"), F.col(canon_name).alias("canonical_name")).distinct()
+    d = entities.resolve_entities(rows, known, sure=sure, review=maybe)
+    status = F.when(F.col("method") == "normalized_exact", "exact").when(F.col("method") == "fuzzy_auto", "fuzzy").when(F.col("method") == "fuzzy_review", "review").otherwise("unresolved")
+    there = F.col("method") != "created"
+    return d.select(F.col("raw_name").alias("name"), F.when(there, F.col("canonical_id")).alias("canonical"), F.when(there, F.round("score", 4)).alias("score"), status.alias("status"))

@@ -126,13 +126,6 @@ def kickoff_conflict(spark, d):
     return resolve.kickoff_conflicts(o, "o_custkey", "day", "hr", ["day", "o_orderkey"]).select("o_orderkey", "conflict")
 
 
-@query()
-def fuzzy_match(spark, d):
-    """Names with a letter more against canonical ones."""
-    part = table(spark, d, "part")
-    return resolve.fuzzy_entities(part.select(F.concat("p_name", F.lit("s")).alias("name")), part.select("p_name"), "name", "p_name")
-
-
 _SIGNALS = "o_orderkey % 4 <> 0"
 
 
