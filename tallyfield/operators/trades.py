@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions import scan
 from tallyfield.functions.nulls import number, ratio_or_zero, safe_divide
 
 
@@ -54,44 +55,56 @@ def signals(df: DataFrame, strategies: list[Strategy], keep: list[str], least_od
     return df.select(*keep, F.inline(F.array_compact(F.array(*[one(s) for s in strategies]))))
 
 
-def equity(trades: DataFrame, group: list[str], order: list[str], profit: str = "profit", start: float = 100.0) -> DataFrame:
-    """Adds bankroll_before, bankroll_after, peak, drawdown and drawdown_pct along each group's order."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = trades.withColumn("bankroll_after", F.lit(start) + F.sum(F.coalesce(profit, F.lit(0.0))).over(w))
-    d = d.withColumn("bankroll_before", F.col("bankroll_after") - F.coalesce(profit, F.lit(0.0)))
-    d = d.withColumn("peak", F.max("bankroll_after").over(w)).withColumn("drawdown", F.col("bankroll_after") - F.col("peak"))
-    return d.withColumn("drawdown_pct", ratio_or_zero("drawdown", "peak"))
+def equity(trades: DataFrame, group: list[str], order: list[str], profit: str = "profit", start: float = 100.0, marks: list[str] | None = None, latest: bool = True) -> DataFrame:
+    """Adds bankroll_before, bankroll_after, peak, drawdown and drawdown_pct along each group's order.
+
+    ``peak_place`` and, for each of ``marks``, ``peak_<mark>`` tell of the row of
+    the peak. A group of any size spreads over blocks of rows (``scan``).
+    """
+    marks, gain = marks or [], F.coalesce(profit, F.lit(0.0))
+    d = scan.running_peak(scan.numbered(trades, group, order), group, gain, marks, "bankroll_after", "_peak_row", start, latest)
+    d = d.withColumn("bankroll_before", F.col("bankroll_after") - gain).withColumns({"peak": F.col("_peak_row.top"), "peak_place": F.col("_peak_row.place"), **{f"peak_{m}": F.col(f"_peak_row.{m}") for m in marks}})
+    return d.drop("_peak_row").withColumn("drawdown", F.col("bankroll_after") - F.col("peak")).withColumn("drawdown_pct", ratio_or_zero("drawdown", "peak"))
 
 
 def percent_stakes(trades: DataFrame, group: list[str], order: list[str], won: Column, odd: str, share: float, start: float = 100.0) -> DataFrame:
     """Stakes that are a share of the running bankroll, so that a trade multiplies it: 1 + share * (odd - 1) or 1 - share.
 
-    The running product is a sum of logarithms, which needs no fold. Unknown
-    outcomes leave the bankroll as it is.
+    The running product is a sum of logarithms, which needs no fold; a factor
+    of 0 (all is lost) ends the bankroll for good. Unknown outcomes leave it
+    as it is.
     """
     factor = F.when(won, 1 + F.lit(share) * (F.col(odd) - 1)).when(~won, F.lit(1 - share)).otherwise(1.0)
     return _compound(trades.withColumn("_factor", factor).withColumn("_share", F.lit(share)), group, order, start)
 
 
 def kelly_stakes(trades: DataFrame, group: list[str], order: list[str], won: Column, odd: str, share: str, start: float = 100.0) -> DataFrame:
-    """The same for stakes whose share is a column, below 1."""
+    """The same for stakes whose share is a column."""
     s = F.coalesce(F.col(share), F.lit(0.0))
     factor = F.when(won, 1 + s * (F.col(odd) - 1)).when(~won, 1 - s).otherwise(1.0)
     return _compound(trades.withColumn("_factor", factor).withColumn("_share", s), group, order, start)
 
 
 def _compound(d: DataFrame, group: list[str], order: list[str], start: float) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("bankroll_after", F.lit(start) * F.exp(F.sum(F.ln("_factor")).over(w)))
-    d = d.withColumn("stake", F.col("bankroll_after") / F.col("_factor") * F.col("_share"))
-    return d.withColumn("profit", F.col("bankroll_after") - F.col("bankroll_after") / F.col("_factor")).drop("_factor", "_share")
+    lost = (F.col("_factor") <= 0).cast("double")
+    d = scan.numbered(d, group, order)
+    d = scan.running_sum(d, group, F.when(F.col("_factor") > 0, F.ln("_factor")).otherwise(0.0), "_logs")
+    d = scan.running_sum(d, group, lost, "_lost")
+    d = d.withColumn("bankroll_after", F.when(F.col("_lost") > 0, 0.0).otherwise(F.lit(start) * F.exp("_logs")))
+    before = F.when(F.col("_lost") - lost > 0, 0.0).when(lost > 0, F.lit(start) * F.exp("_logs")).otherwise(F.col("bankroll_after") / F.col("_factor"))
+    d = d.withColumn("_before", before).withColumn("stake", F.col("_before") * F.col("_share"))
+    return d.withColumn("profit", F.col("bankroll_after") - F.col("_before")).drop("_factor", "_share", "_logs", "_lost", "_before", "_place", "_block")
 
 
 def longest_runs(trades: DataFrame, group: list[str], order: list[str], won: str) -> DataFrame:
-    """The longest runs of wins and of losses of each group; unknown outcomes break both."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    d = trades.select(*group, F.col(won).alias("_w"), (F.row_number().over(w) - F.row_number().over(Window.partitionBy(*group, won).orderBy(*order))).alias("_run"))
-    runs = d.groupBy(*group, "_w", "_run").agg(F.count("*").alias("_n"))
+    """The longest runs of wins and of losses of each group; unknown outcomes break both.
+
+    A run is told by how often the outcome has changed before it, so its rows
+    are counted by a key of their own and no window holds a group.
+    """
+    d = scan.numbered(trades.select(*group, *order, F.col(won).alias("_w")), group, order)
+    changed = scan.previous(d, group, F.col("_w"), "_was").withColumn("_turn", (~F.col("_w").eqNullSafe(F.col("_was"))).cast("double"))
+    runs = scan.running_sum(changed, group, F.col("_turn"), "_run").groupBy(*group, "_run", "_w").agg(F.count("*").alias("_n"))
     return runs.groupBy(*group).agg(
         F.coalesce(F.max(F.when(F.col("_w"), F.col("_n"))), F.lit(0)).alias("longest_wins"),
         F.coalesce(F.max(F.when(~F.col("_w"), F.col("_n"))), F.lit(0)).alias("longest_losses"),
@@ -127,9 +140,75 @@ def summary(trades: DataFrame, group: list[str], won: str = "is_win", on_no_loss
 
 
 def worst_drawdowns(trades: DataFrame, group: list[str], order: list[str], profit: str = "profit", start: float = 0.0) -> DataFrame:
-    """The deepest fall from a peak of each group's running profit, with the last key of its order there."""
+    """The deepest fall from a peak of each group's running profit, the highest peak and the last total."""
     d = equity(trades, group, order, profit, start)
-    return d.groupBy(*group).agg(F.round(F.min("drawdown"), 6).alias("max_drawdown"), F.round(F.max("peak"), 6).alias("peak"), F.round(F.max_by("bankroll_after", F.struct(*order)), 6).alias("final"))
+    return d.groupBy(*group).agg(F.round(F.min("drawdown"), 6).alias("max_drawdown"), F.round(F.max("peak"), 6).alias("peak"), F.round(F.max_by("bankroll_after", "_place"), 6).alias("final"))
+
+
+#: Totals that differ by less than this are equal: sums of cents come back to a peak only nearly.
+_EQUAL = 1e-9
+
+
+def drawdown_episodes(trades: DataFrame, group: list[str], order: list[str], date: str, profit: str = "profit", start: float = 0.0) -> DataFrame:
+    """Each stretch below a peak: peak and its date, trough (the first lowest row), its date and depth, how many trades lie below, and when the peak was reached again (null: not yet).
+
+    An episode begins at the last row on its peak and ends with the first one
+    that reaches it again. Groups of any size; no window holds one.
+    """
+    d = trades.withColumn("_day", F.col(date)).withColumn("_gain", F.coalesce(profit, F.lit(0.0)))
+    d = scan.running_peak(scan.numbered(d.select(*group, *[c for c in order if c not in group], "_day", "_gain"), group, order), group, F.round(F.col("_gain"), 9), ["_day"], "_after", "_peak", start)
+    under = F.col("_peak.top") - F.col("_after") > _EQUAL
+    # A row that reaches the peak only nearly is on it: the peak's place moves to the last such row.
+    d = d.withColumn("_under", under).withColumn("_mark", F.when(~F.col("_under"), F.struct("_place", "_day", "_after")))
+    d = _last_known(d, group, "_mark", "_from")
+    d = scan.previous(d, group, F.when(F.col("_under"), F.col("_from._place")), "_ended")
+    below = d.filter("_under").groupBy(*group, F.col("_from._place").alias("_episode")).agg(
+        F.first("_from").alias("_from"),
+        F.min(F.struct(F.round(F.col("_after") - F.col("_from._after"), 9).alias("depth"), "_place", "_day")).alias("_trough"),
+        F.count("*").alias("trades_below"),
+    )
+    ends = d.filter("NOT _under AND _ended IS NOT NULL").select(*group, F.col("_ended").alias("_episode"), F.col("_day").alias("recovered_on"))
+    keys = [*group, "_episode"]
+    found = below.join(ends.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "recovered_on"), [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys], "left")
+    return found.select(
+        *group,
+        F.col("_episode").alias("peak_place"),
+        F.col("_from._day").alias("peak_on"),
+        F.round("_from._after", 6).alias("peak"),
+        F.col("_trough._day").alias("trough_on"),
+        F.round("_trough.depth", 6).alias("depth"),
+        "trades_below",
+        "recovered_on",
+    )
+
+
+def _last_known(d: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """Adds the latest ``value`` that isn't null, up to and with each row of a numbered table."""
+    d = d.withColumn("_known", F.last(value, ignorenulls=True).over(scan.inside(group)))
+    at = F.when(F.col(value).isNotNull(), F.col("_place"))
+    d = scan.with_carry(d, group, {"_end": F.max(F.when(at.isNotNull(), F.struct(at.alias("_at"), F.col(value).alias("_is"))))}, {"_past": (F.col("_end"), "max")})
+    return d.withColumn(out, F.coalesce("_known", "_past._is")).drop("_known", "_past")
+
+
+def drawdown_report(trades: DataFrame, group: list[str], order: list[str], date: str, won: str, profit: str = "profit", start: float = 0.0) -> DataFrame:
+    """The worst drawdown of each group: depth, dates of its peak (the first highest row before) and trough, the longest run of losses, and when a later day reached the peak again ("not_recovered": none did)."""
+    d = equity(trades.withColumn("_day", F.to_date(date)), group, order, profit, start, ["_day"], latest=False)
+    d = d.withColumn("drawdown", F.round("drawdown", 9))
+    worst = d.groupBy(*group).agg(F.min(F.struct("drawdown", "_place", "_day", F.col("peak__day").alias("peak_day"), "peak")).alias("_w"))
+    again = scan._joined(d.select(*group, "_day", "_place", "bankroll_after"), worst, group).filter((F.col("_day") > F.col("_w._day")) & (F.col("bankroll_after") >= F.col("_w.peak") - _EQUAL))
+    recovered = again.groupBy(*group).agg(F.min_by("_day", "_place").alias("_again"), F.lit(1).alias("_hit"))
+    runs = longest_runs(trades, group, order, won)
+    keyed = lambda x, cols: x.select(*[F.col(k).alias(f"_g_{k}") for k in group], *cols)
+    on = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in group]
+    out = worst.join(keyed(runs, ["longest_losses"]), on, "left").drop(*[f"_g_{k}" for k in group]).join(keyed(recovered, ["_again"]), on, "left")
+    return out.select(
+        *group,
+        F.round("_w.drawdown", 6).alias("max_drawdown"),
+        F.col("_w.peak_day").alias("worst_period_start"),
+        F.col("_w._day").alias("worst_period_end"),
+        F.col("longest_losses").alias("max_losing_streak"),
+        F.coalesce(F.col("_again").cast("string"), F.lit("not_recovered")).alias("recovery_after_worst_drawdown"),
+    )
 
 
 def rank_strategies(totals: DataFrame) -> DataFrame:
@@ -165,14 +244,18 @@ def by_periods(trades: DataFrame, date: str) -> DataFrame:
 def rolling_returns(trades: DataFrame, group: list[str], order: list[str], sizes: tuple[int, ...] = (25, 50, 100)) -> DataFrame:
     """For each window size the distribution of the return over full windows of a group. One sort serves all sizes.
 
+    A block of rows also holds the rows before it that its windows reach.
+
     Returns are rounded to 9 places, so that sums which cancel count as 0. A
     group without a full window has 0 windows and a share of negative ones of 1.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    d = trades
+    w = Window.partitionBy(*group, "_block").orderBy("_place")
+    d = scan.with_tail(scan.numbered(trades, group, order), max(sizes) - 1)
     for n in sizes:
         f = w.rowsBetween(-(n - 1), 0)
-        d = d.withColumn(f"_r{n}", F.round(F.when(F.count("*").over(f) == n, safe_divide(F.sum("profit").over(f), F.sum("stake").over(f))), 9))
+        full = (F.col("_place") >= n) & ~F.col("_halo")
+        d = d.withColumn(f"_r{n}", F.round(F.when(full, safe_divide(F.sum("profit").over(f), F.sum("stake").over(f))), 9))
+    d = d.filter(~F.col("_halo"))
     d = d.select(*group, F.inline(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"_r{n}").alias("_r")) for n in sizes])))
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return d.groupBy(*group, "window").agg(
@@ -193,13 +276,11 @@ def concentration(totals: DataFrame, group: list[str], value: str) -> DataFrame:
 def equity_report(trades: DataFrame, group: list[str], order: list[str], start: float = 100.0) -> DataFrame:
     """First and last bankroll, growth, and the deviation of relative changes of each group."""
     d = equity(trades, group, order, "profit", start)
-    change = safe_divide(F.col("bankroll_after"), F.lag("bankroll_after").over(Window.partitionBy(*group).orderBy(*order))) - 1
-    d = d.withColumn("_change", change)
-    key = F.struct(*order)
+    d = scan.previous(d, group, F.col("bankroll_after"), "_was").withColumn("_change", safe_divide(F.col("bankroll_after"), F.col("_was")) - 1)
     return d.groupBy(*group).agg(
-        F.round(F.min_by("bankroll_after", key), 6).alias("first_bankroll"),
-        F.round(F.max_by("bankroll_after", key), 6).alias("last_bankroll"),
-        F.round(F.max_by("bankroll_after", key) - F.min_by("bankroll_after", key), 6).alias("growth"),
+        F.round(F.min_by("bankroll_after", "_place"), 6).alias("first_bankroll"),
+        F.round(F.max_by("bankroll_after", "_place"), 6).alias("last_bankroll"),
+        F.round(F.max_by("bankroll_after", "_place") - F.min_by("bankroll_after", "_place"), 6).alias("growth"),
         F.round(F.stddev_pop("_change"), 6).alias("volatility"),
     )
 
@@ -224,10 +305,9 @@ def consistency(score_of: dict[str, Column]) -> Column:
 
 def exposure_budget(candidates: DataFrame, group: list[str], order: list[str], want: str, cap: float) -> DataFrame:
     """Adds granted: what is left of the group's cap, at most what is wanted, in order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    total = F.sum(F.coalesce(want, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.sum(F.coalesce(want, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return candidates.withColumn("granted", F.least(F.lit(cap), total) - F.least(F.lit(cap), before))
+    d = scan.running_sum(scan.numbered(candidates, group, order), group, F.coalesce(want, F.lit(0.0)), "_upto")
+    before = F.col("_upto") - F.coalesce(want, F.lit(0.0))
+    return d.withColumn("granted", F.least(F.lit(cap), F.col("_upto")) - F.least(F.lit(cap), before)).drop("_upto", "_place", "_block")
 
 
 def bankroll_paths(spark, paths: int, bets: int, p: float, odd: float, share: float, seed: int = 0, ruin: float = 0.1) -> DataFrame:

@@ -113,6 +113,31 @@ def drawdown_curve(spark, d):
     return t.worst_drawdowns(trade_rows(spark, d), _G, _O)
 
 
+@query(f"""WITH {TRADE_SQL}, e AS (SELECT *, round(sum(profit) {_W}, 9) AS after, row_number() OVER (PARTITION BY strategy, market ORDER BY ts, event_id) AS place FROM trade),
+f AS (SELECT *, max(after) {_W} AS top FROM e),
+g AS (SELECT *, top - after > 1e-9 AS under, max(CASE WHEN top - after <= 1e-9 THEN place END) {_W} AS episode FROM f),
+t AS (SELECT strategy, market, episode, count(*) AS trades_below, max(place) + 1 AS ended, arg_min(day, (after, place)) AS trough_on, min(after) AS low FROM g WHERE under GROUP BY ALL)
+SELECT t.strategy, t.market, t.episode AS peak_place, p.day AS peak_on, round(p.after, 6) AS peak, t.trough_on, round(t.low - p.after, 6) AS depth, t.trades_below, r.day AS recovered_on
+FROM t JOIN g p ON p.strategy = t.strategy AND p.market = t.market AND p.place = t.episode LEFT JOIN g r ON r.strategy = t.strategy AND r.market = t.market AND r.place = t.ended""")
+def drawdown_episodes(spark, d):
+    """Every stretch below a peak of the running profit."""
+    return t.drawdown_episodes(trade_rows(spark, d), _G, _O, "day")
+
+
+@query(f"""WITH {TRADE_SQL}, e AS (SELECT *, round(sum(profit) {_W}, 9) AS after, row_number() OVER (PARTITION BY strategy, market ORDER BY ts, event_id) AS place FROM trade),
+f AS (SELECT *, max(after) {_W} AS top FROM e), g AS (SELECT *, round(after - top, 9) AS dd FROM f),
+w AS (SELECT strategy, market, min(dd) AS dd, arg_min(place, (dd, place)) AS place, arg_min(day, (dd, place)) AS day, arg_min(top, (dd, place)) AS top FROM g GROUP BY 1, 2),
+s AS (SELECT g.strategy, g.market, arg_min(g.day, g.place) AS day FROM g JOIN w ON g.strategy = w.strategy AND g.market = w.market AND g.place <= w.place AND abs(g.after - w.top) < 1e-9 GROUP BY 1, 2),
+r AS (SELECT g.strategy, g.market, arg_min(g.day, g.place) AS day FROM g JOIN w ON g.strategy = w.strategy AND g.market = w.market AND g.day > w.day AND g.after >= w.top - 1e-9 GROUP BY 1, 2),
+n AS (SELECT *, place - row_number() OVER (PARTITION BY strategy, market, is_win ORDER BY ts, event_id) AS run FROM e),
+l AS (SELECT strategy, market, max(n) AS n FROM (SELECT strategy, market, run, count(*) AS n FROM n WHERE NOT is_win GROUP BY ALL) GROUP BY 1, 2)
+SELECT w.strategy, w.market, round(w.dd, 6) AS max_drawdown, s.day AS worst_period_start, w.day AS worst_period_end, coalesce(l.n, 0) AS max_losing_streak, coalesce(CAST(r.day AS VARCHAR), 'not_recovered') AS recovery_after_worst_drawdown
+FROM w JOIN s USING (strategy, market) LEFT JOIN r USING (strategy, market) LEFT JOIN l USING (strategy, market)""")
+def drawdown_report(spark, d):
+    """The worst drawdown of each strategy and market, with its dates."""
+    return t.drawdown_report(trade_rows(spark, d), _G, _O, "day", "is_win")
+
+
 _RANK = f"s AS (SELECT strategy, market, {_SUMMARY} FROM trade GROUP BY 1, 2), {_DD.replace('arg_max(after, event_id)', 'max(after)')}"
 
 
