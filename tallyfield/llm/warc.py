@@ -74,7 +74,7 @@ class LoserTree:
             self._winner = w
 
 
-def _record(kind: str, url: str, date: str, page_id: int, payload: bytes, digest: str, refers: int | None) -> bytes:
+def _record(kind: str, url: str, date: str, page_id: str, payload: bytes, digest: str, refers: str | None) -> bytes:
     """A WARC/1.1 record. Both kinds keep the HTTP head, with the payload's length; only a response keeps the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
@@ -110,14 +110,14 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Adds payload (UTF-8, null html is empty), digest and refers_to.
 
     Of equal payloads of at least ``least_bytes`` bytes the smallest page_id
-    stays a response (null refers_to). First ids are found by a partial
+    stays a response (null refers_to), as does a row without a page_id. First ids are found by a partial
     aggregate; only digests that occur again join back, so a payload with a
     third of all pages is one row on that side.
     """
     small = pages.select("page_id", "url", "ts", F.coalesce("html", F.lit("")).alias("html"))
     small = small.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     firsts = small.filter(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = small.select("page_id", "digest").join(firsts, "digest").filter("page_id > first_id").groupBy("page_id").agg(F.first("digest").alias("digest"), F.min("first_id").alias("refers_to"))
+    refers = small.select("page_id", "digest").join(firsts, "digest").filter("page_id > first_id").groupBy("page_id", "digest").agg(F.min("first_id").alias("refers_to"))
     return small.join(refers, ["page_id", "digest"], "left")
 
 
@@ -127,7 +127,9 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6, least_bytes: i
     One archive a task, named by a fresh id: a task that runs again writes
     another file, and the index holds the files of tasks that counted. Records
     of an archive stand in the order of its index, by URL key, timestamp and
-    page_id. Rows without a page_id get -1; null urls are empty.
+    page_id. Rows without a page_id are kept, under the record id "none" and
+    before the others; rows that repeat are a record each; null urls are
+    empty. Ids are text on the way, so that those beside nulls stay exact.
     """
 
     def run(batches):
@@ -137,18 +139,18 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6, least_bytes: i
         for pdf in batches:
             for page_id, url, ts, key, html, digest, refers in zip(pdf["page_id"], pdf["url"], pdf["ts"], pdf["url_key"], pdf["html"], pdf["digest"], pdf["refers_to"]):
                 out = out or store.open_output_stream(f"{root}/{name}", compression=None)
-                kind = "response" if pd.isna(refers) else "revisit"
+                kind = "response" if refers is None else "revisit"
                 b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-                data = _gzip(_record(kind, re.sub(r"[\r\n]", " ", url), ts, int(page_id), html.encode(), b32, None if pd.isna(refers) else int(refers)), level)
+                data = _gzip(_record(kind, re.sub(r"[\r\n]", " ", url), ts, page_id or "none", html.encode(), b32, refers), level)
                 out.write(data)
-                index.append((name, key, ts, int(page_id), at, len(data)))
+                index.append((name, key, ts, page_id and int(page_id), at, len(data)))
                 at += len(data)
         if out:
             out.close()
-        yield pd.DataFrame(index, columns=["run", "url_key", "ts", "page_id", "offset", "length"])
+        yield pd.DataFrame(index, columns=["run", "url_key", "ts", "page_id", "offset", "length"]).astype({"page_id": "Int64"})
 
-    marked = mark_revisits(pages, least_bytes).withColumn("page_id", F.coalesce("page_id", F.lit(-1)))
-    marked = marked.withColumn("url", F.coalesce("url", F.lit(""))).withColumn("url_key", _key_column()("url")).sortWithinPartitions("url_key", "ts", "page_id")
+    marked = mark_revisits(pages, least_bytes).withColumn("url", F.coalesce("url", F.lit(""))).withColumn("url_key", _key_column()("url")).sortWithinPartitions("url_key", "ts", "page_id")
+    marked = marked.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return materialise(marked.mapInPandas(run, INDEX_SCHEMA), "warc-index")
 
 
@@ -178,14 +180,15 @@ def merge_indexes(index: DataFrame, partitions: int | None = None) -> DataFrame:
     def run(batches):
         runs: dict[str, list] = {}
         for pdf in batches:
-            for row in zip(*(pdf[c] for c in columns)):
-                runs.setdefault(row[3], []).append(row)
+            for key, ts, page_id, *rest in zip(*(pdf[c] for c in columns)):
+                runs.setdefault(rest[0], []).append((key, ts, (page_id is not None, int(page_id or 0)), *rest))  # no id comes first
         merged, place = iter(LoserTree(runs.values())), 0
         while part := list(islice(merged, OUT_ROWS)):
-            yield pd.DataFrame(part, columns=columns).assign(place=range(place, place + len(part)))
+            out = pd.DataFrame(part, columns=columns).assign(place=range(place, place + len(part)))
+            yield out.assign(page_id=pd.array([i if there else None for there, i in out["page_id"]], "Int64"))
             place += len(part)
 
-    return dealt.mapInPandas(run, "url_key string, ts string, page_id long, run string, offset long, length long, range int, place long")
+    return dealt.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(run, "url_key string, ts string, page_id long, run string, offset long, length long, range int, place long")
 
 
 def read_archives(histories: DataFrame, folder: str) -> DataFrame:
@@ -204,8 +207,8 @@ def read_archives(histories: DataFrame, folder: str) -> DataFrame:
                         if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                             raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
                         refers = fields.get("WARC-Refers-To")
-                        rows.append((int(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], fields["WARC-Date"], kind, int(http["Content-Length"]), digest, refers and int(refers[10:-1]), payload if kind == "response" else None, *at))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "ts", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "range", "place"]).astype({"refers_to": "Int64"})
+                        rows.append((None if (own := fields["WARC-Record-ID"][10:-1]) == "none" else int(own), fields["WARC-Target-URI"], fields["WARC-Date"], kind, int(http["Content-Length"]), digest, refers and int(refers[10:-1]), payload if kind == "response" else None, *at))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "ts", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "range", "place"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return histories.mapInPandas(run, "page_id long, url string, ts string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, range int, place long")
 
@@ -227,13 +230,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Base32 of a digest: its bits in fives. 20 bytes are 32 characters, without padding.
 OP7_SQL = r"""
-WITH hashed AS (
-  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+WITH hashed AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM hashed),
 nibbles AS (
-  SELECT page_id, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, CAST(i + 1 AS BIGINT), 1)) - 1) AS n FROM firsts),
+  SELECT row, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, CAST(i + 1 AS BIGINT), 1)) - 1) AS n FROM firsts),
 coded AS (
-  SELECT page_id, array_to_string(list_transform(range(32), lambda k:
+  SELECT row, array_to_string(list_transform(range(32), lambda k:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
       CASE k % 4
         WHEN 0 THEN n[k // 4 * 5 + 1] * 2 + n[k // 4 * 5 + 2] // 8
@@ -242,7 +245,7 @@ coded AS (
         ELSE n[k // 4 * 5 + 4] % 2 * 16 + n[k // 4 * 5 + 5] END) AS BIGINT), 1)), '') AS payload_digest
   FROM nibbles)
 SELECT f.page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN f.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN f.page_id <> first_id THEN first_id END AS refers_to
-FROM firsts f JOIN coded c ON f.page_id = c.page_id
+       CASE WHEN f.page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.page_id > first_id THEN first_id END AS refers_to
+FROM firsts f JOIN coded c ON f.row = c.row
 """

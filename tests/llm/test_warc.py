@@ -32,6 +32,14 @@ def test_histories_are_in_global_order(spark):
     assert bytes(records[3]["payload"]) == b"t3" and records[8]["payload"] is None and records[8]["refers_to"] == 3
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "u", "same"), (None, "u", "other"), (2**60 + 1, "u", "same"), (2**60 + 3, "v", "same"), (7, "u", "x"), (7, "u", "y"), (8, "w", "x"), (8, "w", "y"), (8, "w", "z")]
+    sf = table(spark, tmp_path, "pages", [(*r, "gone", 1) for r in rows], f"{SCHEMA}, record_type string, place int")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.op7_warc(spark, sf).collect()), key=repr)
+    want = [(None, 4, "response", None), (None, 5, "response", None), (2**60 + 1, 4, "response", None), (2**60 + 3, 4, "revisit", 2**60 + 1), (7, 1, "response", None), (7, 1, "response", None), (8, 1, "revisit", 7), (8, 1, "revisit", 7), (8, 1, "response", None)]
+    assert got == sorted(want, key=repr)
+
+
 def test_small_payloads_stay_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "v", "ab"), (3, "w", "abcd"), (4, "x", "abcd")], SCHEMA).withColumn("ts", warc.capture_time())
     folder = fresh_path(spark, "warc-test")
