@@ -300,8 +300,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     keyed = pieces.withColumn("_key", spread_key("doc_id", "piece", seed="pack")).withColumn("_one", F.lit(1).cast("long"))
     ranked = running_totals(keyed, "length", "_key", ["doc_id", "piece"], "_one", "_rank", sum(counts.values())).select(*pieces.columns, F.col("_rank").cast("long").alias("_rank"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "doc_id")
+    return map_keyed(ranked, ("doc_id",), run, f"{fields}, sequence_id long, offset long")
 
 
 def vocabulary() -> str:

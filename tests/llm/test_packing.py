@@ -72,3 +72,4 @@ def test_words_that_hide_their_ends_go_through_the_tokenizer_itself():
 def test_ids_beside_nulls_stay_exact(spark):
     d = spark.createDataFrame([(2**62 + 1, "a b"), (None, "c")], "doc_id long, text string")
     assert {r["doc_id"] for r in packing.token_pieces(d, packing.vocabulary()).collect()} == {2**62 + 1, None}
+    assert {r["doc_id"] for r in packing.pack_documents(d).collect()} == {2**62 + 1, None}
