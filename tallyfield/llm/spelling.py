@@ -97,6 +97,23 @@ class Reduced:
         return word[new], key[new]
 
 
+#: Letters up to which a pair is verified by ``levenshtein``, whose time grows with the square of the length.
+_SHORT = 64
+
+
+def one_edit(a: str, b: str) -> Column:
+    """Two strings differ by exactly one inserted, deleted or replaced code point.
+
+    Beyond ``_SHORT`` letters by the length of their common prefix, found in
+    halving steps, and what is behind it: time in proportion to the length.
+    """
+    shorter = f"least(length({a}), length({b}))"
+    prefix = f"aggregate(sequence(31, 0), 0, (p, k) -> CASE WHEN p + shiftleft(1L, k) <= {shorter} AND substring({a}, p + 1, CAST(shiftleft(1L, k) AS INT)) = substring({b}, p + 1, CAST(shiftleft(1L, k) AS INT)) THEN CAST(p + shiftleft(1L, k) AS INT) ELSE p END)"
+    behind = lambda d: f"CASE WHEN length({a}) = length({b}) THEN {d} < length({a}) AND substring({a}, {d} + 2) = substring({b}, {d} + 2) WHEN length({a}) > length({b}) THEN substring({a}, {d} + 2) = substring({b}, {d} + 1) ELSE substring({a}, {d} + 1) = substring({b}, {d} + 2) END"
+    long = f"element_at(transform(array({prefix}), d -> {behind('d')}), 1)"
+    return F.expr(f"abs(length({a}) - length({b})) <= 1 AND CASE WHEN {shorter} <= {_SHORT} THEN levenshtein({a}, {b}, 1) = 1 ELSE {long} END")
+
+
 def near_words(words: DataFrame, rows: int) -> DataFrame:
     """word, n, other, other_n for each two of ``words`` (word, n, each once) that differ by one inserted, deleted or replaced code point, both ways.
 
@@ -124,7 +141,7 @@ def near_words(words: DataFrame, rows: int) -> DataFrame:
     reduced = words.mapInPandas(reduce, "word string, n long, key long").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
     around = words.select("id", "word").mapInPandas(surround, "id long, key long")
     met = around.join(reduced, "key").drop("key").join(words, "id")
-    return met.filter((F.abs(F.length("word") - F.length("other")) <= 1) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    return met.filter(one_edit("word", "other")).select("word", "n", "other", "other_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:

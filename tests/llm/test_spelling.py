@@ -100,6 +100,16 @@ def test_neighbourhoods_are_whole(symbols):
     assert all(own[b] in around[a] for a in words for b in words if a == b or one_edit(a, b))
 
 
+@pytest.mark.parametrize("short", [0, 64])
+def test_one_edit(spark, monkeypatch, short):
+    monkeypatch.setattr(spelling, "_SHORT", short)
+    rng = random.Random(short)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 6))) for _ in range(60)] + ["ab" * 40, "ab" * 39 + "a", "ab" * 39 + "ac", "b" + "ab" * 39, "ba" * 40, "é" * 70, "é" * 71, "e" + "é" * 69, "é" * 69 + "e"]
+    d = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    got = {(r["a"], r["b"]) for r in d.filter(spelling.one_edit("a", "b")).collect()}
+    assert got == {(a, b) for a in words for b in words if one_edit(a, b)}
+
+
 def test_roots_of_a_long_chain(spark):
     chain = spark.range(1, 40).select(F.format_string("w%02d", "id").alias("word"), F.format_string("w%02d", F.col("id") - 1).alias("form"))
     assert {(r["word"], r["root"]) for r in spelling.roots(chain).collect()} == {(f"w{i:02d}", "w00") for i in range(1, 40)}
