@@ -13,7 +13,12 @@ ID_PATTERNS = (
     r"(?i)data-(?:event|match|id)=['\"]([A-Za-z0-9]{6,})['\"]",
     r"(?i)(?:eventId|event_id|matchId|match_id|flashscore_match_id|id)['\"]?\s*[:=]\s*['\"]([A-Za-z0-9_-]{6,})['\"]",
     r"(?i)id=['\"]g_\d_([A-Za-z0-9]{6,})['\"]",
+    r"(?i)(?:match[-_/]summary|match-detail|/match/|#/match/)[^A-Za-z0-9]*([A-Za-z0-9]{6,})",
 )
+# Words of addresses and bodies, and members of payloads, that tell what a response holds; words that no team's name has.
+KIND_WORDS = (("odds", "odds|prematch|bookmaker"), ("stats", "statistic|stats|xg|corner|shot"), ("events", "incident|event|goal|card|substitution"), ("standings", "standings|table"), ("fixtures", "fixture|match"))
+KIND_MEMBERS = (("odds", ("odds", "markets", "bookmakers")), ("stats", ("stats", "statistics")), ("events", ("incidents", "events")))
+NO_TEAM = "standings|draw|fixtures|results|loading|odds|betting|summary|advertisement|show more|table"
 HOME = ("home_team", "home", "homeName", "homeParticipantName", "homeTeamName")
 AWAY = ("away_team", "away", "awayName", "awayParticipantName", "awayTeamName")
 IDS = ("flashscore_match_id", "id", "eventId", "event_id", "matchId", "match_id")
@@ -88,11 +93,16 @@ def goal_minutes(events: Column, side: str) -> Column:
 
 
 def payload_kind(url: Column, body: Column) -> Column:
-    """What a captured response holds, by words of its address and the first 500 characters of its body. A classification reads no further by definition."""
+    """What a captured response holds: by words of its address and the first 500 characters of its body, else by the members of its JSON.
+
+    A classification by words reads no further by definition.
+    """
     text = F.lower(F.concat_ws(" ", url, F.substring(body, 1, 500)))
-    kinds = (("odds", "odds|prematch|bookmaker"), ("stats", "stat|xg|corner|shot"), ("events", "incident|event|goal|card|substitution"), ("standings", "standings|table"), ("fixtures", "fixture|match"))
+    members = F.transform(F.coalesce(F.json_object_keys(F.when(F.try_parse_json(body).isNotNull(), body)), F.array().cast("array<string>")), lambda k: F.lower(k))
     out = F.lit("unknown")
-    for kind, words in reversed(kinds):
+    for kind, names in reversed(KIND_MEMBERS):
+        out = F.when(F.arrays_overlap(members, F.array(*map(F.lit, names))), kind).otherwise(out)
+    for kind, words in reversed(KIND_WORDS):
         out = F.when(text.rlike(words), kind).otherwise(out)
     return out
 
@@ -133,18 +143,24 @@ def structured_rows(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
 
 
 def text_rows(df: DataFrame, key: str, text: str, year: int) -> DataFrame:
-    """Matches in plain lines: a time line followed by two team lines, under the last date line before it (day.month. of ``year``).
+    """Matches in plain lines: a time line followed by two team lines, under the last date line before it.
 
-    One pass over the lines of each text: the lines ahead are array elements,
+    A date line starts with a day and month ("Sat 3.2.", "3/2"), of ``year``
+    unless a year of four digits follows ("03-02-2024"); a day that doesn't
+    exist leaves the date as it was. Team lines have three characters at least
+    and none of the ``NO_TEAM`` words. One pass over the lines of each text: the lines ahead are array elements,
     the date the last one found so far.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     d = df.select(key, lines.alias("_lines")).select(key, "_lines", F.posexplode("_lines").alias("_i", "_line"))
     at = lambda k: F.get("_lines", F.col("_i") + k)
-    day = F.when(F.col("_line").rlike(r"^\d{1,2}\.\d{1,2}\.$"), F.try_to_date(F.concat(F.lit(f"{year}-"), F.regexp_extract("_line", r"\.(\d+)\.", 1), F.lit("-"), F.regexp_extract("_line", r"^(\d+)\.", 1)), "yyyy-M-d"))
+    part = lambda i: F.regexp_extract("_line", r"^(?:[A-Za-z]{3}\s+)?(\d{1,2})[./-](\d{1,2})(?:[./-](\d{4})?)?(?!\d)", i)
+    dated = (part(1) != "") & (F.contains(F.col("_line"), F.lit(".")) | F.contains(F.col("_line"), F.lit("/")) | (part(3) != ""))  # "2-1" is a score
+    day = F.when(dated, F.try_to_date(F.concat_ws("-", F.coalesce(F.nullif(part(3), F.lit("")), F.lit(str(year))), part(2), part(1)), "yyyy-M-d"))
     d = d.withColumn("match_date", F.last(day, ignorenulls=True).over(Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
-    team = lambda x: x.rlike("[A-Za-z]") & ~x.rlike(r"^\d{1,2}:\d{2}$")
-    rows = d.filter(F.col("_line").rlike(r"^\d{1,2}:\d{2}$") & team(at(1)) & team(at(2)) & (F.lower(at(1)) != F.lower(at(2))))
+    clock = r"^(?:[01]?\d|2[0-3]):[0-5]\d$"
+    team = lambda x: (F.length(x) >= 3) & ~F.lower(x).rlike(NO_TEAM) & ~x.rlike(clock)
+    rows = d.filter(F.col("_line").rlike(clock) & team(at(1)) & team(at(2)) & (F.lower(at(1)) != F.lower(at(2))))
     return rows.select(key, "match_date", F.col("_line").alias("kickoff_time"), at(1).alias("home_team"), at(2).alias("away_team"), parse_score(at(3)).alias("score"))
 
 

@@ -81,16 +81,17 @@ def parse_score(x: Column | str) -> Column:
     return F.struct(part(full, 1).alias("home_ft"), part(full, 2).alias("away_ft"), part(half, 1).alias("home_ht"), part(half, 2).alias("away_ht"))
 
 
+# What status texts hold, in the order in which they are tried.
+STATUS_WORDS = (("finished", "finished|after penalties|aet|full time|ft"), ("live", "live|1st half|2nd half|half time|ht"), ("postponed", "postponed|cancelled|canceled|abandoned"))
+
+
 def parse_status(x: Column | str) -> Column:
-    """Finished, live, postponed, cancelled or scheduled, by what a status text holds."""
-    t = F.lower(F.coalesce(col(x), F.lit("")))
-    return (
-        F.when(t.rlike("postp|delay"), "postponed")
-        .when(t.rlike("canc|aband"), "cancelled")
-        .when(t.rlike(r"finish|ended|\bft\b|full"), "finished")
-        .when(t.rlike("live|half|progress"), "live")
-        .otherwise("scheduled")
-    )
+    """Finished, live or postponed by what a status text holds, scheduled if it is blank, else the text itself with underscores, at most 40 characters."""
+    t = F.lower(F.trim(F.coalesce(col(x), F.lit(""))))
+    out = F.when(t == "", "scheduled")
+    for status, words in STATUS_WORDS:
+        out = out.when(t.rlike(words), status)
+    return out.otherwise(F.substring(F.replace(t, F.lit(" "), F.lit("_")), 1, 40))
 
 
 def first_path(json: Column | str, *paths: str) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfield.functions import nested
 from tallyfield.functions import payloads as f
-from tallyfield.functions.text import parse_number
+from tallyfield.functions.text import parse_number, parse_status
 from tallyfield.plans.bindings import table
 
 QUERIES, SQL = {}, {}
@@ -98,3 +99,64 @@ def payload_kinds(spark, d):
 def demo_quality(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 100) / 100).alias("quality"), F.when(F.col("event_id") % 3 == 0, F.lit("Yes")).otherwise("no").alias("demo"))
     return f.demo_quality(e, "demo", "quality").select("event_id", "quality")
+
+
+#: Payloads by event type as sources nest them; {e}, {u} and {x} stand for an event's id, user and whole value.
+SHAPES = {
+    "click": '{"data": {"stage": {"events": [{"id": "ev{e}abc", "homeName": "Home {u}", "awayName": "Away {x}", "score": "2-1 (1-0)", "status": "After Penalties", "stats": {"Corners": "{x}-4", "Shots on target": [3, {u}], "xG": {"home": "1,25", "away": 0.5}}, "markets": {"1X2": {"home": 1.5, "draw": "7/2", "away": 6}, "Over/Under 2.5": {"over": 1.8, "under": {x}.5}, "Both teams to score": {"yes": 1.7, "no": "-"}}, "incidents": [{"incidentType": "Goal", "time": "{x}", "teamSide": "home"}, {"eventType": "goal", "matchTime": 77, "participant": "away"}, {"type": "card", "minute": 3, "side": "home"}]}]}}}',
+    "view": '[{"home": {"shortName": "Home {u}"}, "away": {"name": "Away {x}"}, "score": {"home": 3, "away": "{x}", "homeHT": 1}, "league": "Cup", "date": "2024-03-05T18:00", "statistics": [{"statName": "Total shots", "h": {x}, "a": 9}, {"categoryName": "corner kicks", "homeValue": 5, "awayValue": {u}}], "bookmakers": [{"label": "h2h", "outcomes": [{"decimal": 2.1}, {"price": 3.3}, {"odds": "4.4"}]}, {"marketName": "Total goals 1.5", "selections": [1.3, {u}.25]}], "stage": "2nd half", "events": []}, {"home": "only one"}, 5]',
+    "error": 'no json {"home": "a", "away": "b"}',
+    "signup": '{"home_team": "", "home": "Home {u}", "away": {"x": 1}, "awayName": "Away {x}", "status": "To finish", "match_id": "g_1_m{e}"}',
+    "purchase": '{"list": [{"homeParticipantName": "Home {u}", "awayParticipantName": "Away {x}", "matchStatus": "Canceled", "link": "/match/Zz{e}9999", "competitionName": "League", "startTime": "2024-02-0{p}", "data_quality_score": "0.9", "provider_warnings": "w", "extra": {"homeName": "Inner {u}", "awayName": "Inner {x}"}}]}',
+}
+
+
+def _shaped(spark, d):
+    e = table(spark, d, "events")
+    json = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in SHAPES.items()])
+    for mark, value in (("{e}", F.col("event_id")), ("{u}", F.col("user_id")), ("{x}", F.floor("value")), ("{p}", F.col("event_id") % 9 + 1)):
+        json = F.replace(json, F.lit(mark), _text(value))
+    return e.select("event_id", json.alias("json"))
+
+
+_SHAPED = "shaped AS (SELECT event_id, event_type, user_id AS u, CAST(floor(value) AS BIGINT) AS x, replace(replace(replace(replace(CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHAPES.items()) + " END, '{e}', CAST(event_id AS VARCHAR)), '{u}', CAST(user_id AS VARCHAR)), '{x}', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)), '{p}', CAST(event_id % 9 + 1 AS VARCHAR)) AS json FROM events)"
+
+
+@query(f"""WITH {_SHAPED}, tree AS (SELECT event_id, unnest(t) AS t FROM (SELECT event_id, (SELECT list(t) FROM json_tree(s.json) t) AS t FROM shaped s WHERE json_valid(json)))
+SELECT event_id, replace(t.fullkey, '"', '') AS path, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'value' END AS kind, CASE WHEN t.type NOT IN ('OBJECT', 'ARRAY') THEN t.atom->>'$' END AS text FROM tree""")
+def payload_nodes(spark, d):
+    """Every value in the payloads, whatever they look like."""
+    n = nested.nodes(_shaped(spark, d), ["event_id"], "json")
+    return n.select("event_id", "path", "kind", F.expr("CASE WHEN kind = 'value' THEN try_variant_get(value, '$', 'string') END").alias("text"))
+
+
+@query(f"""WITH {_SHAPED}, rows AS (
+SELECT event_id, '$.data.stage.events[0]' AS path, 'ev' || event_id || 'abc' AS match_id, 'Unknown League' AS league, 'Home ' || u AS home_team, 'Away ' || x AS away_team, 'finished' AS status, 2 AS goals_home, 1 AS goals_away, 1 AS half_home,
+ x AS corners_home, 4 AS corners_away, NULL AS shots_home, 3 AS on_target_home, u AS on_target_away, 1.25 AS xg_home, 1.5 AS odds_home, 4.5 AS odds_draw, 6.0 AS odds_away, NULL AS over_15, NULL AS under_15, 1.8 AS over_25, x + 0.5 AS under_25, 1.7 AS btts_yes, NULL AS btts_no,
+ CAST(x AS VARCHAR) AS minutes_home, '77' AS minutes_away, 0.8 AS quality, 'structured_capture;optional_fields_missing:shots_home' AS warnings FROM shaped WHERE event_type = 'click'
+UNION ALL SELECT event_id, '$[0]', 'fallback_cup_2024_03_05_home_' || u || '_away_' || x, 'Cup', 'Home ' || u, 'Away ' || x, 'live', 3, x, 1, 5, u, x, NULL, NULL, NULL, 2.1, 3.3, 4.4, 1.3, u + 0.25, NULL, NULL, NULL, NULL, NULL, NULL, 0.64,
+ 'structured_capture;missing_flashscore_match_id;fallback_provider_match_id_generated;optional_fields_missing:odds_over_25,xg_home' FROM shaped WHERE event_type = 'view'
+UNION ALL SELECT event_id, '$.list[0]', 'Zz' || event_id || '9999', 'League', 'Home ' || u, 'Away ' || x, 'postponed', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.9,
+ 'w;optional_fields_missing:odds_home,odds_over_25,corners_home,shots_home,xg_home' FROM shaped WHERE event_type = 'purchase') SELECT * FROM rows""")
+def captured_rows(spark, d):
+    """Matches anywhere in the payloads, in whichever of the known shapes."""
+    r = nested.captured_rows(_shaped(spark, d), ["event_id"], "json")
+    names = {"_score.home_ft": "goals_home", "_score.away_ft": "goals_away", "_score.home_ht": "half_home", "corners_home": "corners_home", "corners_away": "corners_away", "shots_home": "shots_home", "shots_on_target_home": "on_target_home", "shots_on_target_away": "on_target_away", "xg_home": "xg_home"}
+    names |= {"odds_home": "odds_home", "odds_draw": "odds_draw", "odds_away": "odds_away", "odds_over_15": "over_15", "odds_under_15": "under_15", "odds_over_25": "over_25", "odds_under_25": "under_25", "odds_btts_yes": "btts_yes", "odds_btts_no": "btts_no"}
+    minutes = [F.array_join(F.transform(f"goal_minutes_{side}", lambda m: m.cast("string")), ",").alias(f"minutes_{side}") for side in ("home", "away")]
+    return r.select("event_id", "path", "match_id", "league", "home_team", "away_team", "status", *[F.col(a).alias(b) for a, b in names.items()], *minutes, F.col("data_quality_score").alias("quality"), F.col("provider_warnings").alias("warnings"))
+
+
+#: Status texts, addresses and bodies that reach every rule, each with what it stands for.
+STATUSES = {"AET": "finished", "After Penalties": "finished", "FT": "finished", "Full Time": "finished", "HT": "live", "1st half": "live", "Live now": "live", "Cancelled": "postponed", "Postponed": "postponed", "To finish": "to_finish", "": "scheduled"}
+CAPTURES = [("/x/status", "{}", "unknown"), ("/x/station", '{"markets": []}', "odds"), ("/x", '{"Statistics": 1}', "stats"), ("/statistics", "", "stats"), ("/prematch", "", "odds"), ("/league-table", "", "standings"), ("/next-fixture", "", "fixtures"), ("/substitution", "", "events"), ("/x", "[1]", "unknown"), ("/x", '{"incidents": []}', "events")]
+
+
+@query("WITH o AS (SELECT o_orderkey, CAST(o_custkey % " + str(len(STATUSES)) + " AS INT) + 1 AS i, CAST(o_custkey % " + str(len(CAPTURES)) + " AS INT) + 1 AS j FROM orders) SELECT o_orderkey, [" + ", ".join(f"'{v}'" for v in STATUSES.values()) + "][i] AS status, [" + ", ".join(f"'{c[2]}'" for c in CAPTURES) + "][j] AS kind, CASE WHEN i % 2 = 0 THEN 'AbC' || CAST(o_orderkey + 1000 AS VARCHAR) END AS match_id FROM o")
+def capture_rules(spark, d):
+    """Statuses, kinds of responses and ids in addresses, by every rule."""
+    o = table(spark, d, "orders")
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("o_custkey") % n + 1).cast("int"))
+    pick = [at([c[k] for c in CAPTURES], len(CAPTURES)) for k in (0, 1)]
+    address = F.concat(F.when(F.col("o_custkey") % len(STATUSES) % 2 == 1, "https://a.example/#/match/").otherwise("https://a.example/"), F.lit("AbC"), _text(F.col("o_orderkey") + 1000))
+    return o.select("o_orderkey", parse_status(at(list(STATUSES), len(STATUSES))).alias("status"), f.payload_kind(*pick).alias("kind"), f.match_id(address).alias("match_id"))
