@@ -13,7 +13,7 @@ from tallyfield.session import materialise
 ROWS = 50_000
 
 
-def _joined(d: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def joined(d: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """``d`` with the columns of ``other``, which has one row for each key of ``d``."""
     right = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in other.columns if c not in keys])
     on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
@@ -35,7 +35,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], rows: int = ROWS
     counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     local = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    placed = _joined(local, counts.select(*keys, before.alias("_before")), keys).withColumn("_place", F.col("_place") + F.col("_before"))
+    placed = joined(local, counts.select(*keys, before.alias("_before")), keys).withColumn("_place", F.col("_place") + F.col("_before"))
     return materialise(placed.drop("_before", "_segment").withColumn("_block", F.floor((F.col("_place") - 1) / rows)), "scan-numbered")
 
 
@@ -58,7 +58,7 @@ def with_carry(d: DataFrame, group: list[str], ends: dict[str, Column], carried:
     for name, (value, how) in carried.items():
         taken = {"sum": lambda v: F.sum(v).over(past), "max": lambda v: F.max(v).over(past), "last": lambda v: F.lag(v).over(w)}[how](value)
         blocks = blocks.withColumn(name, taken)
-    return _joined(d, blocks.select(*group, "_block", *carried), [*group, "_block"])
+    return joined(d, blocks.select(*group, "_block", *carried), [*group, "_block"])
 
 
 def running_sum(d: DataFrame, group: list[str], value: Column, out: str) -> DataFrame:
@@ -95,6 +95,14 @@ def previous(d: DataFrame, group: list[str], value: Column, out: str) -> DataFra
     return d.withColumn(out, F.when(F.row_number().over(first) == 1, F.col("_before")).otherwise(F.col("_own"))).drop("_value", "_own", "_before")
 
 
+def last_known(d: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """Adds the latest ``value`` that isn't null, up to and with each row of a numbered table."""
+    d = d.withColumn("_known", F.last(value, ignorenulls=True).over(inside(group)))
+    at = F.when(F.col(value).isNotNull(), F.col("_place"))
+    d = with_carry(d, group, {"_end": F.max(F.when(at.isNotNull(), F.struct(at.alias("_at"), F.col(value).alias("_is"))))}, {"_past": (F.col("_end"), "max")})
+    return d.withColumn(out, F.coalesce("_known", "_past._is")).drop("_known", "_past")
+
+
 def with_tail(d: DataFrame, rows: int, size: int = ROWS) -> DataFrame:
     """A numbered table in which each block also has the ``rows`` rows before it, told by _halo: windows of up to ``rows`` + 1 rows are whole in every block."""
     if rows >= size:

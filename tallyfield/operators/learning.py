@@ -24,10 +24,13 @@ def train(df: DataFrame, columns: list[str], target: str, kind: str = "forest",
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
-    """Adds the probability of class 1; a model that saw one class gives it 1 or 0."""
+    """Adds the probability of class 1; a model that saw one class gives it 1 or 0.
+
+    Labels that were all 0 leave one entry, that of class 0; labels that were all 1 leave two.
+    """
     out = model.transform(df)
     p = vector_to_array("probability")
-    value = F.when(F.size(p) > 1, p[1]).otherwise(F.lit(1.0))
+    value = F.when(F.size(p) > 1, p[1]).otherwise(F.lit(0.0))
     out = out.withColumn("_p", value)
     own = set(df.columns)
     return out.select(*[c for c in out.columns if c in own and c != name], F.col("_p").alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions import scan
 from tallyfield.functions.nulls import safe_divide
 
 
@@ -50,6 +51,64 @@ def movement_class(change: Column, hours: Column) -> Column:
     )
 
 
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], ties: list[str] | None = None, within: str | None = None) -> DataFrame:
+    """Each left row with ``columns`` of the last right row of its keys that is no later; null where there is none, or none ``within`` an interval such as "3 days".
+
+    Both sides are put in one order, by keys and time, right rows first at
+    equal times, and the last right row so far is carried along (``scan``):
+    no pairs are made, and a key with most of the rows spreads over tasks. Of
+    right rows of one time the last by ``ties`` counts. A null key meets null;
+    a row without a time comes before all others and so gets nothing. Adds
+    ``matched_at`` and ``matched_<column>``.
+    """
+    ties = ties or []
+    when = lambda d, t: d.withColumn("_at", F.col(t).cast("timestamp"))
+    known = F.struct(F.col("_at").alias("at"), *[F.col(c).alias(c) for c in columns])
+    r = when(right, right_time).filter("_at IS NOT NULL").select(*keys, "_at", F.lit(0).alias("_side"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties)], known.alias("_known"))
+    row = F.struct(*[F.col(c).alias(c) for c in left.columns])
+    both = r.unionByName(when(left, left_time).select(*keys, "_at", F.lit(1).alias("_side"), row.alias("_row")), allowMissingColumns=True)
+    d = scan.last_known(scan.numbered(both, keys, ["_at", "_side", *[f"_tie{i}" for i in range(len(ties))]]), keys, "_known", "_last").filter("_side = 1")
+    fits = F.col("_last.at") <= F.col("_at")
+    if within:
+        fits = fits & (F.col("_last.at") >= F.col("_at") - F.expr(f"INTERVAL {within}"))
+    hit = lambda c: F.when(fits, F.col(f"_last.{c}"))
+    return d.select("_row.*", hit("at").alias("matched_at"), *[hit(c).alias(f"matched_{c}") for c in columns])
+
+
+def movement_modifier(kind: Column, steamed: Column) -> Column:
+    """How much a movement adds to or takes from confidence."""
+    return F.when(steamed, 0.15).when(kind == "SHARP_MOVEMENT", 0.10).when(kind == "LATE_SHARP", 0.08).when(kind == "PUBLIC_MONEY", -0.05).otherwise(0.0)
+
+
+def movement_report(odds: DataFrame, matches: DataFrame, match: str, line: list[str], bookmaker: str, snapshot: str, price: str, start: str, now: Column, reference, snapshots: int = 12, hours: float = 72) -> DataFrame:
+    """Lines of matches that start within ``hours`` from ``now``: reference prices of the first of the last ``snapshots`` and as they stand now, movement, its class, steam and the modifier of confidence.
+
+    The price of now is the reference bookmaker's last one before ``now`` (an
+    as-of join); lines without a first or a last one are left out. ``matches``
+    has a row a match with its start.
+    """
+    recent = latest_snapshots(odds, snapshot, snapshots)
+    ahead = matches.withColumn("_now", now.cast("timestamp")).withColumn("hours_to_start", (F.unix_micros(F.col(start).cast("timestamp")) - F.unix_micros("_now")) / 3.6e9)
+    ahead = ahead.filter((F.col("hours_to_start") >= 0) & (F.col("hours_to_start") <= hours))
+    opening_at = recent.agg(F.min(snapshot).alias("_first"))
+    mine = recent.filter(F.col(bookmaker) == reference).groupBy(match, *line, snapshot).agg(F.avg(price).alias("_p"))
+    opening = mine.join(F.broadcast(opening_at), F.col(snapshot) == F.col("_first")).select(match, *line, F.col("_p").alias("opening"))  # one row
+    lines = opening.join(ahead, match)
+    current = asof_join(lines, mine, [match, *line], "_now", snapshot, ["_p"]).filter("matched__p IS NOT NULL").withColumnRenamed("matched__p", "current")
+    moved = movement(F.col("opening"), F.col("current"))
+    steamed = steam(recent, [match, *line], bookmaker, snapshot, price).select(match, *line, "steam", "direction")
+    d = current.withColumn("_m", moved).join(steamed, [match, *line], "left").withColumn("steam", F.coalesce("steam", F.lit(False)))
+    d = d.withColumn("movement_type", movement_class(F.col("_m"), F.col("hours_to_start")))
+    return d.select(match, *line, F.round("hours_to_start", 1).alias("hours_to_start"), F.round("opening", 3).alias("opening"), F.round("current", 3).alias("current"), (F.round(F.col("_m") * 100, 2) + 0.0).alias("movement_pct"), "movement_type", "steam", "direction", movement_modifier(F.col("movement_type"), F.col("steam")).alias("modifier"))
+
+
+def movement_summary(report: DataFrame, match: str) -> DataFrame:
+    """One row: matches, lines, sharp movements and steam moves of a report."""
+    per = report.groupBy(match).agg(F.count("*").alias("n"), F.sum(F.col("movement_type").isin("SHARP_MOVEMENT", "LATE_SHARP").cast("long")).alias("s"), F.sum(F.col("steam").cast("long")).alias("t"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(F.count("*").alias("matches_analyzed"), total("n").alias("total_lines"), total("s").alias("sharp_movements"), total("t").alias("steam_moves"))
+
+
 def steam(odds: DataFrame, key: list[str], bookmaker: str, snapshot: str, price: str, least: int = 3, share: float = 0.7, step: float = 0.02) -> DataFrame:
     """Whether ``least`` bookmakers and ``share`` of those with a first and a last price moved the same way by more than ``step``."""
     per = opening_and_current(odds, [*key, bookmaker], snapshot, price).filter("opening > 0 AND current > 0")

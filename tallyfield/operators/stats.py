@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions import scan
 from tallyfield.functions.nulls import safe_divide
 
 
@@ -35,11 +36,12 @@ def brier_grade(b: Column) -> Column:
 def auc(df: DataFrame, group: list[str], p: str, y: str) -> DataFrame:
     """Area under the ROC curve by rank sums with mean ranks for ties; null without both classes.
 
-    Rows are reduced to counts by probability before the window.
+    Rows are reduced to counts by probability, and these are summed along
+    blocks (``scan``), so a group may have any number of probabilities.
     """
     d = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*group, p).agg(F.sum((F.col(y) == 1).cast("long")).alias("_pos"), F.sum((F.col(y) == 0).cast("long")).alias("_neg"))
-    below = F.coalesce(F.sum("_neg").over(Window.partitionBy(*group).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("_won", F.col("_pos") * (below + F.col("_neg") / 2))
+    d = scan.running_sum(scan.numbered(d, group, [p]), group, F.col("_neg").cast("double"), "_upto")
+    d = d.withColumn("_won", F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
     return d.groupBy(*group).agg(F.round(safe_divide(F.sum("_won"), F.sum("_pos") * F.sum("_neg")), 6).alias("auc"))
 
 

@@ -160,7 +160,7 @@ def drawdown_episodes(trades: DataFrame, group: list[str], order: list[str], dat
     under = F.col("_peak.top") - F.col("_after") > _EQUAL
     # A row that reaches the peak only nearly is on it: the peak's place moves to the last such row.
     d = d.withColumn("_under", under).withColumn("_mark", F.when(~F.col("_under"), F.struct("_place", "_day", "_after")))
-    d = _last_known(d, group, "_mark", "_from")
+    d = scan.last_known(d, group, "_mark", "_from")
     d = scan.previous(d, group, F.when(F.col("_under"), F.col("_from._place")), "_ended")
     below = d.filter("_under").groupBy(*group, F.col("_from._place").alias("_episode")).agg(
         F.first("_from").alias("_from"),
@@ -182,20 +182,12 @@ def drawdown_episodes(trades: DataFrame, group: list[str], order: list[str], dat
     )
 
 
-def _last_known(d: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """Adds the latest ``value`` that isn't null, up to and with each row of a numbered table."""
-    d = d.withColumn("_known", F.last(value, ignorenulls=True).over(scan.inside(group)))
-    at = F.when(F.col(value).isNotNull(), F.col("_place"))
-    d = scan.with_carry(d, group, {"_end": F.max(F.when(at.isNotNull(), F.struct(at.alias("_at"), F.col(value).alias("_is"))))}, {"_past": (F.col("_end"), "max")})
-    return d.withColumn(out, F.coalesce("_known", "_past._is")).drop("_known", "_past")
-
-
 def drawdown_report(trades: DataFrame, group: list[str], order: list[str], date: str, won: str, profit: str = "profit", start: float = 0.0) -> DataFrame:
     """The worst drawdown of each group: depth, dates of its peak (the first highest row before) and trough, the longest run of losses, and when a later day reached the peak again ("not_recovered": none did)."""
     d = equity(trades.withColumn("_day", F.to_date(date)), group, order, profit, start, ["_day"], latest=False)
     d = d.withColumn("drawdown", F.round("drawdown", 9))
     worst = d.groupBy(*group).agg(F.min(F.struct("drawdown", "_place", "_day", F.col("peak__day").alias("peak_day"), "peak")).alias("_w"))
-    again = scan._joined(d.select(*group, "_day", "_place", "bankroll_after"), worst, group).filter((F.col("_day") > F.col("_w._day")) & (F.col("bankroll_after") >= F.col("_w.peak") - _EQUAL))
+    again = scan.joined(d.select(*group, "_day", "_place", "bankroll_after"), worst, group).filter((F.col("_day") > F.col("_w._day")) & (F.col("bankroll_after") >= F.col("_w.peak") - _EQUAL))
     recovered = again.groupBy(*group).agg(F.min_by("_day", "_place").alias("_again"), F.lit(1).alias("_hit"))
     runs = longest_runs(trades, group, order, won)
     keyed = lambda x, cols: x.select(*[F.col(k).alias(f"_g_{k}") for k in group], *cols)

@@ -214,3 +214,47 @@ def settled_by_source(spark, d):
     o = table(spark, d, "orders").select("o_orderstatus", (F.floor("o_totalprice") % 5).alias("h"), (F.floor(F.col("o_totalprice") / 7) % 4).alias("a"), (F.floor(F.col("o_totalprice") / 3) % 14).alias("c"))
     s = dec.settle_all(o, "h", "a", "c", ["o_orderstatus"])
     return s.groupBy("o_orderstatus", "market").agg(F.count("*").alias("n"), F.sum(F.col("won").cast("long")).alias("won"))
+
+
+@query(f"""WITH {PRICE_SQL}, q AS (SELECT match_id, snapshot, round(avg(price), 6) AS price FROM price GROUP BY 1, 2), m AS (SELECT o_orderkey, o_custkey % 40 AS match_id, CAST(o_orderdate AS DATE) AS due FROM orders),
+q40 AS (SELECT match_id % 40 AS match_id, snapshot, max(price) AS price FROM q GROUP BY 1, 2)
+SELECT o_orderkey, due, q.snapshot AS quoted_on, q.price, CASE WHEN date_diff('day', q.snapshot, due) <= 2 THEN q.price END AS fresh_price FROM m ASOF LEFT JOIN q40 q ON m.match_id = q.match_id AND m.due >= q.snapshot""")
+def asof_price(spark, d):
+    """Every order's last quote by its date, and that quote if it is at most two days old."""
+    q = price_rows(spark, d).groupBy("match_id", "snapshot").agg(F.round(F.avg("price"), 6).alias("price"))
+    q = q.groupBy((F.col("match_id") % 40).alias("match_id"), "snapshot").agg(F.max("price").alias("price"))
+    m = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("match_id"), F.to_date("o_orderdate").alias("due"))
+    found = markets.asof_join(m, q, ["match_id"], "due", "snapshot", ["price"])
+    return found.select("o_orderkey", "due", F.to_date("matched_at").alias("quoted_on"), F.col("matched_price").alias("price"), F.when(F.datediff("due", F.to_date("matched_at")) <= 2, F.col("matched_price")).alias("fresh_price"))
+
+
+_AHEAD = f"""{PRICE_SQL}, monthly AS (SELECT match_id % 60 AS match_id, selection, bookmaker, CAST(date_trunc('month', snapshot) AS DATE) AS snapshot, price FROM price),
+times AS (SELECT DISTINCT snapshot FROM monthly ORDER BY 1 DESC LIMIT 12), recent AS (SELECT * FROM monthly WHERE snapshot IN (SELECT snapshot FROM times)),
+now AS (SELECT max(snapshot) AS now, min(snapshot) AS first FROM recent), matches AS (SELECT DISTINCT match_id, (match_id * 2 - 10)::DOUBLE AS hours FROM monthly),
+mine AS (SELECT match_id, selection, snapshot, avg(price) AS p FROM recent WHERE bookmaker = 0 GROUP BY 1, 2, 3),
+lines AS (SELECT o.match_id, o.selection, o.p AS opening, c.p AS current, m.hours FROM mine o JOIN now ON o.snapshot = now.first JOIN (SELECT match_id, selection, arg_max(p, snapshot) AS p FROM mine GROUP BY 1, 2) c ON c.match_id = o.match_id AND c.selection = o.selection JOIN matches m ON m.match_id = o.match_id WHERE m.hours BETWEEN 0 AND 72),
+per AS (SELECT match_id, selection, bookmaker, arg_min(p, snapshot) AS a, arg_max(p, snapshot) AS b FROM (SELECT match_id, selection, bookmaker, snapshot, avg(price) AS p FROM recent GROUP BY ALL) GROUP BY 1, 2, 3),
+s AS (SELECT match_id, selection, count(*) AS n, count(*) FILTER ((a - b) / a > 0.02) AS down, count(*) FILTER ((a - b) / a < -0.02) AS up FROM per WHERE a > 0 AND b > 0 GROUP BY 1, 2),
+moved AS (SELECT l.*, (opening - current) / opening AS m, coalesce(n >= 3 AND greatest(down, up) >= 3 AND greatest(down, up) / n >= 0.7, false) AS steam, down, up FROM lines l LEFT JOIN s USING (match_id, selection)),
+report AS (SELECT match_id, selection, round(hours, 1) AS hours_to_start, round(opening, 3) AS opening, round(current, 3) AS current, round(m * 100, 2) AS movement_pct,
+ CASE WHEN abs(m) > 0.08 AND hours > 24 THEN 'SHARP_MOVEMENT' WHEN abs(m) > 0.08 THEN 'LATE_SHARP' WHEN abs(m) < 0.03 AND hours < 2 THEN 'PUBLIC_MONEY' WHEN abs(m) >= 0.04 THEN 'SIGNIFICANT_MOVEMENT' ELSE 'NEUTRAL' END AS movement_type, steam, CASE WHEN steam THEN CASE WHEN down > up THEN 'DOWN' ELSE 'UP' END END AS direction FROM moved)"""
+
+
+def _ahead(spark, d):
+    """Monthly quotes, and matches that start from ten hours before to days after the last of them."""
+    odds = price_rows(spark, d).select((F.col("match_id") % 60).alias("match_id"), "selection", "bookmaker", F.to_date(F.date_trunc("month", "snapshot")).alias("snapshot"), "price")
+    last = odds.agg(F.max("snapshot").cast("timestamp")).first()[0]  # one value
+    matches = odds.select("match_id").distinct().withColumn("starts", F.lit(last) + F.make_dt_interval(hours=(F.col("match_id") * 2 - 10).cast("int")))
+    return markets.movement_report(odds, matches, "match_id", ["selection"], "bookmaker", "snapshot", "price", "starts", F.lit(last), 0)
+
+
+@query(f"WITH {_AHEAD} SELECT *, CASE WHEN steam THEN 0.15 WHEN movement_type = 'SHARP_MOVEMENT' THEN 0.10 WHEN movement_type = 'LATE_SHARP' THEN 0.08 WHEN movement_type = 'PUBLIC_MONEY' THEN -0.05 ELSE 0.0 END AS modifier FROM report")
+def movement_ahead(spark, d):
+    """Movements of the matches of the next 72 hours."""
+    return _ahead(spark, d)
+
+
+@query(f"WITH {_AHEAD} SELECT count(DISTINCT match_id) AS matches_analyzed, count(*) AS total_lines, count(*) FILTER (movement_type IN ('SHARP_MOVEMENT', 'LATE_SHARP')) AS sharp_movements, count(*) FILTER (steam) AS steam_moves FROM report")
+def movement_summary(spark, d):
+    """Counts of those movements."""
+    return markets.movement_summary(_ahead(spark, d), "match_id")

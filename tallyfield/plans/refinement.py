@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions import pricing
 from tallyfield.operators import decisions
 from tallyfield.operators import refinement as r
+from tallyfield.operators import stats
 from tallyfield.plans.bindings import PROBABILITY_SQL, TEAM_SQL, TRADE_SQL, probability_rows, table, team_rows, trade_rows
 
 QUERIES, SQL = {}, {}
@@ -211,3 +212,17 @@ def candidate_states(spark, d):
     n = _priced(spark, d).select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("p")).alias("p"), F.when(F.col("event_id") % 7 != 0, F.col("odd")).alias("odd"))
     known = F.col("p").isNotNull().cast("int") + F.col("odd").isNotNull().cast("int")
     return n.select("event_id", F.round(1 / F.col("odd"), 6).alias("implied"), F.round(F.col("p") - 1 / F.col("odd"), 6).alias("ev"), F.when(known == 2, "complete").when(known == 0, "empty").otherwise("partial").alias("state"))
+
+
+@query(f"""WITH {_SETTLED}, c AS (SELECT event_type, model, event_id % 4 AS fold, q, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM x GROUP BY ALL),
+w AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY event_type, model, fold ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2.0) AS won FROM c),
+a AS (SELECT event_type, model, fold, CASE WHEN event_type <> 'view' THEN round(sum(won) / nullif(sum(pos) * sum(neg), 0), 6) END AS auc FROM w GROUP BY 1, 2, 3), r AS (SELECT event_type, model, event_id % 4 AS fold, avg((q - y) * (q - y)) AS brier FROM x GROUP BY 1, 2, 3),
+b AS (SELECT event_type, model, round(coalesce(avg(auc), 1 - avg(brier)), 6) AS score, count(*) AS folds, row_number() OVER (PARTITION BY event_type ORDER BY round(coalesce(avg(auc), 1 - avg(brier)), 6) DESC, model) AS i FROM a JOIN r USING (event_type, model, fold) GROUP BY 1, 2) SELECT event_type, model, score, folds FROM b WHERE i = 1""")
+def best_models_auc(spark, d):
+    """The best model of each event type by the mean AUC of its folds; where there is none (views), by the Brier score."""
+    p, models = F.col("p"), [("random_forest", -0.018), ("lightgbm", 0.0), ("xgboost", 0.016)]
+    rows = probability_rows(spark, d).select("event_type", (F.col("event_id") % 4).alias("fold"), "y", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.least(F.greatest(p + off, F.lit(0.0)), F.lit(1.0)).alias("q")) for m, off in models])))
+    keys = ["event_type", "model", "fold"]
+    area = stats.auc(rows.filter("event_type <> 'view'"), keys, "q", "y")
+    folds = rows.groupBy(*keys).agg(F.avg((F.col("q") - F.col("y")) ** 2).alias("brier")).join(area, keys, "left")
+    return r.best_models(folds, ["event_type"], "model")
