@@ -291,13 +291,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     texts have a Jaccard similarity of ``similarity`` per cent or more (80 or
     more: the bands are made for that). Null, empty and blank texts link with
     nothing and are kept. Rows that repeat a doc_id are one document in the
-    links and a row each in the result. A null doc_id never is a component.
-    An empty table gives an empty one.
+    links, which links whatever any of its texts does, and a row each in the
+    result. A null doc_id never is a component. An empty table gives an empty
+    one.
     """
     if similarity < 80:
         raise ValueError("bands and bounds are made for similarities of 80 per cent and more")
     docs = docs.select("doc_id", "text")
     rows = materialise(sketches(docs, width), "near-sketches")
+    set_of = F.coalesce("digest", F.lit(b""))
+    sets = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(set_of).alias("lo"), F.max(set_of).alias("hi"))
+    several = materialise(sets.filter("lo <> hi").select("doc_id"), "near-several")
+    if not several.isEmpty():
+        return _of_several_texts(docs, rows, several, width, similarity)
     full = rows.filter("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.filter("rep IS NOT NULL"), "digest").filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sketch")
@@ -323,6 +329,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _of_several_texts(docs: DataFrame, rows: DataFrame, several: DataFrame, width: int, similarity: int) -> DataFrame:
+    """``near_duplicates`` where the ids ``several`` have texts of different sets: each such text is a document of its own, above all other ids, and its id links them."""
+    top = rows.agg(F.max("doc_id")).first()[0]
+    twins = docs.join(several, "doc_id", "left_semi").filter("text IS NOT NULL").distinct()
+    twins = materialise(twins.withColumn("own", F.lit(top + 1) + F.monotonically_increasing_id()), "near-twins")
+    apart = docs.join(several, "doc_id", "left_anti").unionByName(twins.select(F.col("own").alias("doc_id"), "text"))
+    found = materialise(near_duplicates(apart, width, similarity).filter("doc_id IS NOT NULL").select("doc_id", "component_id").distinct(), "near-apart")
+    links = twins.join(found.select(F.col("doc_id").alias("own"), "component_id"), "own").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    labels = components(links, "near-several")
+    known = found.filter(F.col("doc_id") <= top).unionByName(several.select("doc_id", F.col("doc_id").alias("component_id")))
+    known = known.join(labels, F.col("component_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+    known = materialise(known.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "near-known")
+    named = rows.filter("doc_id IS NOT NULL").join(known, "doc_id").select("doc_id", "n_shingles", "digest", "component_id")
+    equal = named.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("component_id").alias("component_id"))
+    nameless = rows.filter("doc_id IS NULL").select("doc_id", "n_shingles", "digest").join(equal, "digest", "left")
+    out = named.unionByName(nameless).drop("digest")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links between components."""
 

@@ -72,3 +72,12 @@ def test_dropping(spark):
 
 def test_empty_table(spark, tmp_path):
     assert minhash.op9_minhash(spark, documents(spark, tmp_path, [])).count() == 0
+
+
+def test_ids_with_several_texts_link_what_any_of_them_does(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, None), (4, c), (5, c + " z"), (5, ""), (None, a), (6, "other words of its own"), (6, "other words of its own")]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
+    got = minhash.near_duplicates(d)
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()), key=repr) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 4, False), (6, 6, True), (6, 6, True), *[(None, r["component_id"], r["kept"]) for r in got.filter("doc_id IS NULL").collect()]], key=repr)
+    assert sorted(r["doc_id"] for r in minhash.drop_near_duplicates(d).filter("doc_id IS NOT NULL").collect()) == [1, 4, 6]
