@@ -46,8 +46,9 @@ def merge_sources(df: DataFrame, key: str, source: str, priority: dict[str, int]
     """One row a key: each column from the best source that fills it, the sources, how many rows merged, and in how many columns they disagree."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i in priority.items() for x in i]), F.col(source)), F.lit(len(priority)))
     place = F.struct(rank, *order)
-    best = [F.min_by(blank_to_null(c), F.when(blank_to_null(c).isNotNull(), place)).alias(c) for c in columns]
-    differing = sum(((F.count_distinct(blank_to_null(c)) > 1).cast("int") for c in columns), F.lit(0))
+    typed = {c: blank_to_null(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c) for c in columns}
+    best = [F.min_by(typed[c], F.when(blank_to_null(c).isNotNull(), place)).alias(c) for c in columns]
+    differing = sum((F.coalesce(F.min(blank_to_null(c)) != F.max(blank_to_null(c)), F.lit(False)).cast("int") for c in columns), F.lit(0))  # distinct counts would copy each row once a column
     return df.groupBy(key).agg(*best, F.array_sort(F.collect_set(source)).alias("sources"), F.count("*").alias("merged_rows"), differing.alias("conflicts"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield.functions import text as T
+from tallyfield.operators import reconcile as rec
 from tallyfield.operators import resolve
 from tallyfield.plans.bindings import table
 from tallyfield.session import fresh_path
@@ -150,3 +151,57 @@ def ledger_stream(spark, d):
     o = table(spark, d, "orders")
     stream = spark.readStream.schema(o.schema).parquet(f"{d}/orders.parquet*")
     return ledger.run_stream(spark, _signals(stream), _outcomes(o), fresh_path(spark, "ledger"), "1997-01-01").select("signal_id", "status", "profit")
+
+
+_SOURCES = """o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, o_custkey % 50 AS h, o_orderkey % 5 AS a, o_orderstatus, o_totalprice FROM orders),
+flat AS (SELECT id, date, h, a, CASE WHEN id % 2 = 0 THEN o_orderstatus END AS status, CASE WHEN id % 7 = 0 THEN CAST(id % 4 AS VARCHAR) || '-1' END AS score, NULL::DOUBLE AS odd FROM o WHERE id % 3 <> 1),
+api AS (SELECT id, date + CAST(id % 4 - 1 AS INTEGER) AS date, h, a, o_orderstatus AS status, CASE WHEN id % 5 <> 0 THEN '2-2' ELSE '' END AS score, NULL::DOUBLE AS odd FROM o WHERE id % 3 <> 0),
+quotes AS (SELECT id, date, h, a, NULL AS status, NULL AS score, CASE WHEN id % 6 <> 0 THEN o_totalprice END AS odd FROM o WHERE id % 2 = 0)"""
+
+
+def _sources(spark, d):
+    """Orders as matches of three sources, which write names and dates in their own ways."""
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "id").withColumn("date", F.to_date("o_orderdate"))
+    i = F.col("id")
+    home, away = (F.col("o_custkey") % 50).cast("string"), (i % 5).cast("string")
+    flat = o.filter("id % 3 <> 1").select("id", "date", F.concat(F.lit("Téam "), home).alias("home_team"), F.concat(F.lit("Side "), away).alias("away_team"), F.when(i % 2 == 0, F.col("o_orderstatus")).alias("status"), F.when(i % 7 == 0, F.concat((i % 4).cast("string"), F.lit("-1"))).alias("score"))
+    api = o.filter("id % 3 <> 0").select("id", F.date_add("date", (i % 4 - 1).cast("int")).alias("date"), F.concat(F.lit("TEAM "), home, F.lit(" FC")).alias("home_team"), F.concat(F.lit("side-"), away).alias("away_team"), F.col("o_orderstatus").alias("status"), F.when(i % 5 != 0, "2-2").otherwise("").alias("score"))
+    odds = o.filter("id % 2 = 0").select("id", "date", F.concat(F.lit("team "), home).alias("home_team"), F.concat(F.lit("Side "), away).alias("away_team"), F.when(i % 6 != 0, F.col("o_totalprice")).alias("odd"))
+    return rec.Source("flat", flat), [rec.Source("api", api, ["status", "score"], adds=True), rec.Source("quotes", odds, ["odd"])]
+
+
+@query(f"""WITH {_SOURCES}, e AS (SELECT date, h, a, max(id) AS t FROM flat GROUP BY 1, 2, 3), n AS (SELECT date + off AS date, h, a, min(id) AS t FROM flat, (VALUES (-1), (1)) v(off) GROUP BY 1, 2, 3),
+k AS (SELECT date, h, a, coalesce(e.t, n.t) AS t FROM e FULL JOIN n USING (date, h, a)),
+ga AS (SELECT t, arg_min(status, api.id) FILTER (status IS NOT NULL) AS status, arg_min(score, api.id) FILTER (score <> '') AS score FROM api JOIN k USING (date, h, a) GROUP BY 1),
+gq AS (SELECT t, arg_min(odd, quotes.id) FILTER (odd IS NOT NULL) AS odd FROM quotes JOIN k USING (date, h, a) GROUP BY 1),
+w AS (SELECT 'flat' AS data_source, 1 AS rk, f.id, f.date, f.h, f.a, coalesce(f.status, ga.status) AS status, coalesce(f.score, ga.score) AS score, gq.odd,
+  concat_ws('|', CASE WHEN (f.status IS NULL AND ga.status IS NOT NULL) OR (f.score IS NULL AND ga.score IS NOT NULL) THEN 'api' END, CASE WHEN gq.odd IS NOT NULL THEN 'quotes' END) AS filled_from
+  FROM flat f LEFT JOIN ga ON ga.t = f.id LEFT JOIN gq ON gq.t = f.id
+UNION ALL SELECT 'api', 2, api.id, api.date, api.h, api.a, api.status, api.score, NULL, '' FROM api LEFT JOIN k USING (date, h, a) WHERE k.t IS NULL)
+SELECT data_source, id, date, h, a, status, score, odd, filled_from FROM w
+QUALIFY row_number() OVER (PARTITION BY date, h, a ORDER BY CAST(status IS NOT NULL AS INT) + CAST(coalesce(score, '') <> '' AS INT) + CAST(odd IS NOT NULL AS INT) DESC, rk, id) = 1""")
+def reconciled_matches(spark, d):
+    """Matches of three sources as one table."""
+    primary, others = _sources(spark, d)
+    r = rec.reconcile(primary, others, ["status", "score", "odd"])
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("long")
+    return r.select("data_source", "id", "date", number("home_team").alias("h"), number("away_team").alias("a"), "status", "score", "odd", F.array_join("filled_from", "|").alias("filled_from"))
+
+
+@query(f"""WITH {_SOURCES}, s AS (SELECT 'flat' AS source, 0 AS rk, id, date, h, a, status, score, odd FROM flat UNION ALL SELECT 'api', 1, id, date, h, a, status, nullif(score, ''), odd FROM api UNION ALL SELECT 'quotes', 2, id, date, h, a, status, score, odd FROM quotes),
+g AS (SELECT date, h, a, arg_min(status, (rk, id)) FILTER (status IS NOT NULL) AS status, arg_min(score, (rk, id)) FILTER (score IS NOT NULL) AS score, arg_min(odd, (rk, id)) FILTER (odd IS NOT NULL) AS odd,
+  count(DISTINCT source) AS n, count(*) AS merged_rows, CAST(count(DISTINCT status) > 1 AS INT) + CAST(count(DISTINCT score) > 1 AS INT) + CAST(count(DISTINCT odd) > 1 AS INT) AS conflicts FROM s GROUP BY 1, 2, 3),
+q AS (SELECT *, round(least(greatest(0.22 * 1.0 + 0.18 * 1 + 0.24 * (CAST(status IS NOT NULL AS INT) + CAST(score IS NOT NULL AS INT) + CAST(odd IS NOT NULL AS INT)) / 3.0 + 0.14 * (1 - conflicts / 7.0) + 0.12 * least(n / 3.0, 1.0) + 0.10 * (1 - least((merged_rows - n) / 4.0, 1.0)) - 0.08 * conflicts, 0), 1), 6) AS quality FROM g)
+SELECT CAST(date AS VARCHAR) AS date, 'team_' || h AS home_id, 'side_' || a AS away_id, status, score, odd, merged_rows, conflicts, false AS needs_review, 1.0 AS mapping_confidence, quality, CASE WHEN quality >= 0.82 THEN 'EXCELLENT' WHEN quality >= 0.62 THEN 'GOOD' WHEN quality >= 0.42 THEN 'FAIR' ELSE 'POOR' END AS band FROM q""")
+def canonical_matches(spark, d):
+    """The same sources mapped to canonical teams, merged by identity and scored."""
+    primary, others = _sources(spark, d)
+    rows = None
+    for s in (primary, *others):
+        one = s.table.withColumn("source", F.lit(s.name)).withColumn("league", F.lit("Cup"))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    names = spark.range(50).select(F.format_string("team_%d", "id").alias("canonical_id"), F.format_string("Team %d", "id").alias("canonical_name"))
+    names = names.union(spark.range(5).select(F.format_string("side_%d", "id"), F.format_string("Side %d", "id")))
+    leagues = spark.createDataFrame([("cup", "Cup")], "canonical_id string, canonical_name string")
+    m = rec.canonicalise(rows, names, leagues, ["status", "score", "odd"], {"flat": 0, "api": 1, "quotes": 2})
+    return m.select("date", "home_id", "away_id", "status", "score", "odd", "merged_rows", "conflicts", "needs_review", "mapping_confidence", "quality", "band")
