@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators import stats
+from tallyfield.session import materialise
 
 
 def train(df: DataFrame, columns: list[str], target: str, kind: str = "forest", trees: int = 40, depth: int = 5, seed: int = 42) -> PipelineModel:
@@ -91,3 +93,44 @@ def walk_forward(df: DataFrame, columns: list[str], target: str, date: str, kind
     if scored is None:  # one fold has no past: no rows
         scored = d.filter(F.lit(False)).withColumn("probability", F.lit(None).cast("double"))
     return stats.scores(scored, ["fold"], "probability", target).join(stats.auc(scored, ["fold"], "probability", target), "fold")
+
+
+def calibrate(df: DataFrame, p: str, target: str) -> IsotonicRegressionModel:
+    """A monotone curve from probabilities to observed rates, from predictions of rows that the model hadn't seen."""
+    d = df.filter(F.col(p).isNotNull() & F.col(target).isNotNull()).select(F.col(p).alias("_p"), F.col(target).cast("double").alias("_y"))
+    return IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="_q").fit(d)
+
+
+def calibrated(model: IsotonicRegressionModel, df: DataFrame, p: str, out: str) -> DataFrame:
+    """Adds the curve's value at ``p``; null stays null."""
+    known = model.transform(df.withColumn("_p", F.coalesce(p, F.lit(0.0))))
+    value = F.least(F.greatest(F.col("_q"), F.lit(0.0)), F.lit(1.0))
+    return known.withColumn(out, F.when(F.col(p).isNotNull(), value)).drop("_p", "_q")
+
+
+def calibrated_folds(df: DataFrame, columns: list[str], target: str, date: str, kinds: tuple[str, ...] = ("forest", "boosted"), trees: int = 20) -> DataFrame:
+    """Rows of all folds from the third on with fold, for each kind its probability and calibrated_<kind>, and ensemble, the mean of the calibrated ones.
+
+    For a fold, models learn from those before the last one, curves from the
+    last one, so both have only seen the past and the curve only rows that its
+    model hadn't. The rows of all folds are written once and read by each fit.
+    """
+    d, folds = time_folds(df, date)
+    d = materialise(d.filter(F.col(target).isNotNull()), "fold-rows")
+    out = None
+    for last, now in zip(folds[1:], folds[2:]):
+        part = d.filter(F.col("fold") == now)
+        for kind in kinds:
+            model = train(d.filter(F.col("fold") < last), columns, target, kind, trees)
+            curve = calibrate(score(model, d.filter(F.col("fold") == last), kind), kind, target)
+            part = calibrated(curve, score(model, part, kind), kind, f"calibrated_{kind}")
+        part = part.withColumn("ensemble", sum((F.col(f"calibrated_{k}") for k in kinds), F.lit(0.0)) / len(kinds))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else d.limit(0)
+
+
+def fold_metrics(rows: DataFrame, models: list[str], target: str) -> DataFrame:
+    """fold, model, AUC and Brier score of columns of probabilities."""
+    long = rows.select("fold", F.col(target).cast("int").alias("_y"), F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("_p")) for m in models])))
+    keys = ["fold", "model"]
+    return stats.scores(long, keys, "_p", "_y").select(*keys, "n", "brier").join(stats.auc(long, keys, "_p", "_y"), keys, "left")

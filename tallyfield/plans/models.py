@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import features, learning, stats
 from tallyfield.plans.bindings import PROBABILITY_SQL, probability_rows, table, team_rows
+from tallyfield.session import fresh_path
+from tallyfield.sources import models as registry_of_models
 
 QUERIES, SQL = {}, {}
 
@@ -135,3 +137,26 @@ def forest_importances(spark, d):
     rows, folds = learning.time_folds(_learning_rows(spark, d), "ts")
     model = learning.train(rows.filter(F.col("fold") < folds[-1]), _PAST, "target")
     return spark.createDataFrame(learning.importances(model, _PAST), "column string, importance double")
+
+
+@query()
+def calibrated_models(spark, d):
+    """AUC and Brier score by fold of two models, calibrated and not, and of their ensemble, for two markets."""
+    rows, out = _learning_rows(spark, d), None
+    for market, target in (("over_25", "target"), ("shots", "many_shots")):
+        folds = learning.calibrated_folds(rows, _PAST, target, "ts", trees=8)
+        m = learning.fold_metrics(folds, ["forest", "boosted", "calibrated_forest", "calibrated_boosted", "ensemble"], target).withColumn("market", F.lit(market))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query()
+def registered_probability(spark, d):
+    """Every row's probability by the last registered version of its market's model, of two that were committed."""
+    folder = fresh_path(spark, "models")
+    rows, folds = learning.time_folds(_learning_rows(spark, d), "ts")
+    for upto in folds[1:3]:
+        model = learning.train(rows.filter(F.col("fold") < upto), _PAST, "target", trees=8)
+        curve = learning.calibrate(learning.score(model, rows.filter(F.col("fold") == upto)), "probability", "target")
+        registry_of_models.register(spark, folder, "over_25", model, "forest", _PAST, f"folds before {upto}", curve=curve)
+    return registry_of_models.score_registered(rows, folder, "over_25").select("event_id", F.round("probability", 9).alias("probability"), "model_version")

@@ -86,10 +86,17 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd", level: int
 
 
 def drop_written(table: DataFrame) -> None:
-    """Delete a table written by ``materialise`` once nothing reads it: what was made of it must be written itself."""
+    """Delete a table written by ``materialise`` once nothing reads it: what was made of it must be written itself.
+
+    Anything that doesn't lie in the folder of ``fresh_path`` is left alone.
+    """
     files = table.inputFiles()
     if not files:
         return
-    context = table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    spark = table.sparkSession
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path
+    path, own = hadoop(files[0].rsplit("/", 1)[0]), hadoop(f"{shared_dir(spark)}/tallyfield")
+    if path.getParent() is None or path.getParent().toUri().getPath() != own.toUri().getPath():
+        return
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
