@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions import scan
 from tallyfield.functions.nulls import present, ratio_or_zero
 
 #: Fixed value: the bucket of nulls.
@@ -152,20 +153,19 @@ def daily_cap(df: DataFrame, day: str, order: list, most: int) -> DataFrame:
 
 def sampled_series(df: DataFrame, group: list[str], order: list[str], points: int = 18) -> DataFrame:
     """Of each group every k-th row in order, k its size over ``points`` but 1 at least, and of those the last ``points``; ``label`` numbers them."""
-    n = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    d = df.join(F.broadcast(n) if not group else n, group).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / points)))
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).filter(F.col("_i") % F.col("_step") == 0)
+    d = scan.numbered(df, group, order)
+    d = scan.joined(d, d.groupBy(*group).agg(F.count("*").alias("_n")), group).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / points)))
+    d = d.withColumn("_i", F.col("_place") - 1).filter(F.col("_i") % F.col("_step") == 0)
     first = F.greatest(F.lit(0), F.ceil(F.col("_n") / F.col("_step")) - points)
     d = d.withColumn("_label", F.col("_i") / F.col("_step") - first + 1).filter("_label >= 1")
-    return d.withColumn("label", F.concat(F.lit("D"), F.col("_label").cast("long").cast("string"))).drop("_n", "_step", "_i", "_label")
+    return d.withColumn("label", F.concat(F.lit("D"), F.col("_label").cast("long").cast("string"))).drop("_n", "_step", "_i", "_label", "_place", "_block")
 
 
 def sign_streaks(df: DataFrame, group: list[str], order: list[str], sign: Column) -> DataFrame:
-    """current (signed), best_win and worst_loss runs of a group's signs, and how many there are; a 0 ends a run."""
-    d = df.withColumn("_s", sign).filter("_s IS NOT NULL")
-    whole, kind = Window.partitionBy(*group).orderBy(*order), Window.partitionBy(*group, "_s").orderBy(*order)
-    runs = d.withColumn("_i", F.row_number().over(whole)).withColumn("_run", F.col("_i") - F.row_number().over(kind))
-    runs = runs.groupBy(*group, "_s", "_run").agg(F.count("*").alias("_n"), F.max("_i").alias("_end"))
+    """current (signed), best_win and worst_loss runs of a group's signs, and how many there are; a 0 ends a run. Groups of any size (``scan``)."""
+    d = scan.numbered(df.withColumn("_s", sign).filter("_s IS NOT NULL").select(*group, *[c for c in order if c not in group], "_s"), group, order)
+    d = scan.previous(d, group, F.col("_s"), "_was").withColumn("_turn", (~F.col("_s").eqNullSafe(F.col("_was"))).cast("double"))
+    runs = scan.running_sum(d, group, F.col("_turn"), "_run").groupBy(*group, "_s", "_run").agg(F.count("*").alias("_n"), F.max("_place").alias("_end"))
     length = F.col("_n") * F.col("_s")
     return runs.groupBy(*group).agg(
         F.max_by(length, "_end").cast("long").alias("current"), F.coalesce(F.max(F.when(F.col("_s") > 0, F.col("_n"))), F.lit(0)).alias("best_win"),

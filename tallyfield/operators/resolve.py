@@ -10,17 +10,20 @@ from tallyfield.operators import entities
 
 
 def nearest_date_join(left: DataFrame, right: DataFrame, key: list[str], left_date: str, right_date: str, columns: list[str], order: list[str], id_col: str, days: int = 1) -> DataFrame:
-    """Each left row with the right row of equal keys that is at most ``days`` days away, the nearest, then the first by ``order``.
+    """Each left row with the right row of equal keys that is at most ``days`` days away, the nearest, then the earlier, then the first by ``order``.
 
-    The left date is exploded to the 2 * days + 1 dates it may meet, so this
-    is an equi-join and not a nested loop.
+    Dates lie in buckets of ``days`` + 1, and a left row looks into its own
+    and the two beside it, so this is an equi-join with three copies of a row
+    however wide the tolerance is; the best of what it meets is found by a
+    partial aggregate. ``id_col`` is unique in ``left``.
     """
-    offsets = F.array(*[F.lit(i) for i in sorted(range(-days, days + 1), key=abs)])
-    d = left.withColumn("_off", F.explode(offsets)).withColumn("_date", F.date_add(left_date, F.col("_off")))
-    r = right.select(*key, F.to_date(right_date).alias("_date"), *[F.col(c).alias(f"matched_{c}") for c in columns], F.lit(1).alias("_hit"))
-    joined = d.join(r, [*key, "_date"], "left")
-    w = Window.partitionBy(id_col).orderBy(F.col("_hit").isNull(), F.abs("_off"), F.col("_off"), *[f"matched_{c}" for c in order])
-    return joined.withColumn("_n", F.row_number().over(w)).filter("_n = 1").withColumn("days_off", F.when(F.col("_hit") == 1, F.col("_off"))).drop("_n", "_off", "_date", "_hit")
+    bucket = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / (days + 1))
+    asked = left.select(id_col, *[c for c in key if c != id_col], F.to_date(left_date).alias("_day"), F.explode(F.array(*[bucket(left_date) + i for i in (-1, 0, 1)])).alias("_bucket"))
+    r = right.select(*key, bucket(right_date).alias("_bucket"), F.to_date(right_date).alias("_date"), *[F.col(c).alias(f"matched_{c}") for c in columns])
+    near = asked.join(r, [*key, "_bucket"]).withColumn("_off", F.datediff("_date", "_day")).filter(F.abs("_off") <= days)
+    place = F.struct(F.abs("_off"), F.col("_off"), *[F.col(f"matched_{c}") for c in order])
+    best = near.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*[f"matched_{c}" for c in columns], "_off"), place).alias("_best"))
+    return left.join(best, F.col(id_col) == F.col("_id"), "left").select(*left.columns, *[F.col(f"_best.matched_{c}").alias(f"matched_{c}") for c in columns], F.col("_best._off").alias("days_off"))
 
 
 def only_new(new: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:

@@ -102,23 +102,18 @@ def normal_tail(z: Column) -> Column:
 
 
 def ks_statistic(df: DataFrame, value: str, current: Column) -> DataFrame:
-    """One row: the largest gap between the distributions of current and other rows.
+    """One row: the largest gap between the distributions of current and other rows; null if either has none.
 
-    Counts by value come first, so the single ordered pass is over distinct
-    values in ranges: each range's total and then the values within it.
+    Counts by value come first, and these are summed along blocks of values
+    (``scan``), of whatever type they are.
     """
-    d = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.sum(current.cast("long")).alias("a"), F.sum((~current).cast("long")).alias("b"))
-    totals = d.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    ends = d.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.01) if "double" in dict(d.dtypes)[value] else []
-    part = sum(((F.col(value) > e).cast("int") for e in sorted(set(ends))), F.lit(0))
-    d = d.withColumn("part", part)
-    sums = d.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
-    sums = sums.select("part", F.coalesce(F.sum("pa").over(w), F.lit(0)).alias("sa"), F.coalesce(F.sum("pb").over(w), F.lit(0)).alias("sb"))
-    v = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = d.withColumn("ca", F.sum("a").over(v)).withColumn("cb", F.sum("b").over(v)).join(F.broadcast(sums), "part").crossJoin(F.broadcast(totals))
-    gap = F.abs((F.col("ca") + F.col("sa")) / F.col("na") - (F.col("cb") + F.col("sb")) / F.col("nb"))
-    return run.agg(F.round(F.max(gap), 6).alias("ks"))
+    d = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.sum(current.cast("double")).alias("_a"), F.sum((~current).cast("double")).alias("_b"))
+    d = scan.numbered(d, [], [value])
+    for c in ("_a", "_b"):
+        d = scan.running_sum(d, [], F.col(c), f"{c}_upto")
+    totals = d.agg(F.max("_a_upto").alias("_na"), F.max("_b_upto").alias("_nb"))
+    gap = F.abs(safe_divide("_a_upto", "_na") - safe_divide("_b_upto", "_nb"))
+    return d.crossJoin(F.broadcast(totals)).agg(F.round(F.max(gap), 6).alias("ks"))  # one row
 
 
 def histogram_drift(df: DataFrame, value: str, current: Column, bins: int = 10) -> DataFrame:

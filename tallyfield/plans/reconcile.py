@@ -97,6 +97,13 @@ def anti_join_new(spark, d):
     return resolve.only_new(table(spark, d, "customer"), known, ["c_custkey"]).select("c_custkey", "c_name")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def anti_join_orders(spark, d):
+    """Orders none of whose lines came back."""
+    back = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return resolve.only_new(table(spark, d, "orders"), back, ["o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND s_name IS NOT NULL THEN s_name WHEN c_custkey % 3 <> 0 THEN c_name END AS name,
 CASE WHEN c_custkey % 5 < 2 AND s_name IS NOT NULL THEN 'segment-' || CAST(s_nationkey AS VARCHAR) ELSE c_mktsegment END AS segment, CAST(coalesce(c_custkey % 3 = 0 AND s_name IS NOT NULL, false) AS INTEGER) + CAST(coalesce(c_custkey % 5 < 2 AND s_name IS NOT NULL, false) AS INTEGER) AS n_filled
 FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")
