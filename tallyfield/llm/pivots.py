@@ -79,6 +79,7 @@ class Table:
         self.span = np.array(chosen, int) + 1
         self.span_squares = (away[chosen] ** 2).sum(1)
         self.basis = np.linalg.inv(away[chosen] @ unit.T).T  # from inner products with the directions to places along the units
+        self.places = self.coordinates(self.distances(sample, False))
 
     def distances(self, v: np.ndarray, query: bool) -> np.ndarray:
         """Distances of rows to the pivots in the lifted space."""
@@ -105,13 +106,15 @@ class Table:
         top = ((q.astype(float) ** 2).sum(1) + self.longest)[:, None]
         return (top - far) / 2 + 1e-6 * (1 + top + self.longest)  # many times the rounding
 
-    def floors(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-        """A score that k candidates reach for each query: its k-th best in the sample, itself left out."""
-        scores = _products(q, self.sample).astype(float)
-        scores[ids[:, None] == self.sample_ids[None, :]] = -np.inf
-        if scores.shape[1] < k:
-            return np.full(len(q), -np.inf)
-        return np.partition(scores, -k, axis=1)[:, -k]
+    def floors(self, ids: np.ndarray, q: np.ndarray, cq: np.ndarray, k: int) -> np.ndarray:
+        """A score that k candidates reach for each query: its k-th best in the sample, itself left out, found in bound order."""
+        out = np.full(len(q), -np.inf)
+        for at in range(0, len(q), 512):
+            own = ids[at : at + 512]
+            best, _ = best_in_block(self, k, own, q[at : at + 512], cq[at : at + 512], out[at : at + 512], self.sample_ids, self.sample, self.places)
+            reached = {i: np.partition(x.to_numpy(), -k)[-k] for i, x in best.groupby("query_id")["score"] if len(x) >= k}
+            out[at : at + 512] = [reached.get(i, -np.inf) for i in own]
+        return out
 
 
 class Cells:
@@ -148,6 +151,30 @@ class Cells:
         return [self.cells[m].tolist() for m in may]
 
 
+class Boxes:
+    """Where the candidates lie that a cell of queries wants: for each cell of theirs, the least and greatest coordinates.
+
+    ``rows`` has one for each pair of cells, pivots squared at most.
+    """
+
+    def __init__(self, rows: list, width: int):
+        self.parts: dict[int, list] = {}
+        for r in rows:
+            box = np.array([[r[f"least{i}"], r[f"most{i}"]] for i in range(width)], float)
+            self.parts.setdefault(r["ask"], []).append((r["cell"], r["n"], box[:, 0], box[:, 1]))
+
+    def wanted(self, t: Table, ask: int, square: np.ndarray, cq: np.ndarray, floor: np.ndarray) -> list[list[int]]:
+        """For each query of a cell the cells of candidates that its own floor doesn't rule out."""
+        own = self.parts.get(ask, [])
+        may = np.empty((len(cq), len(own)), bool)
+        top = square + t.longest
+        for i, (_, _, least, most) in enumerate(own):
+            far = (np.maximum(np.maximum(least - cq, cq - most), 0) ** 2).sum(1)
+            may[:, i] = (top - far) / 2 + 1e-6 * (1 + top + t.longest) >= floor
+        cells = np.array([x[0] for x in own], int)
+        return [cells[m].tolist() for m in may]
+
+
 def _scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact products of the pairs (i, j); of all pairs at once where those are many."""
     if 8 * len(i) > len(q) * len(c):
@@ -198,13 +225,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = P
     candidate for it; fewer candidates than k give as many rows. Vectors of
     unequal length count as ending in zeros, an empty one scores 0 with all.
     Each row of an id that repeats is a candidate of its own, and rows of a
-    repeated query id are one query. Candidates and queries lie in cells by
-    nearest pivot, and a cell in blocks of about ``block`` and ``query_block``
-    rows, so equal vectors spread too; every block of queries meets the
-    candidates that its cell wants.
+    repeated query id are one query: its smallest vector. Candidates and
+    queries lie in cells by nearest pivot. What a cell of queries wants of a
+    cell of candidates is dealt into blocks of about ``block`` rows, the
+    queries into blocks of about ``query_block``, so equal vectors spread too;
+    a query travels only to cells whose coordinates its own floor doesn't rule
+    out.
     """
     spark = vectors.sparkSession
-    vectors, queries = materialise(vectors, "topk-vectors"), queries.dropDuplicates(["vec_id"])
+    vectors, queries = materialise(vectors, "topk-vectors"), queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     facts = vectors.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)), F.max(F.size("v"))).first()
     if facts[1] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -216,7 +245,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = P
         for pdf in batches:
             q = _matrix(pdf["v"].tolist(), dim)
             d = t.distances(q, True)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": _packed(q, np.int64), "d": list(d), "floor": t.floors(pdf["vec_id"].to_numpy(), q, k), "square": (q.astype(float) ** 2).sum(1), "cell": d.argmin(1).astype(np.int32)})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": _packed(q, np.int64), "d": list(d), "floor": t.floors(pdf["vec_id"].to_numpy(), q, t.coordinates(d), k), "square": (q.astype(float) ** 2).sum(1), "cell": d.argmin(1).astype(np.int32)})
 
     asked = materialise(queries.mapInPandas(prepare, "vec_id long, v binary, d array<double>, floor double, square double, cell int"), "topk-queries")
     sides = [f(F.get("d", F.lit(p))).alias(f"{name}{p}") for name, f in (("least", F.min), ("most", F.max)) for p in range(len(t.pivots))]
@@ -233,23 +262,53 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, n_pivots: int = P
 
     table = materialise(vectors.mapInPandas(measure, "vec_id long, v binary, d binary, cell int, wanting array<int>"), "topk-table")
     drop_written(vectors)
-    sizes = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}  # a row a pivot
-    whole = lambda counts, size: F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, -(-n // size))])
-    of_query, of_candidate = whole(cells.sizes, query_block), whole(sizes, block)
-    asked = asked.withColumn("cell", F.create_map(*[F.lit(x) for pair in cells.of.items() for x in pair])[F.col("cell")])
+    width = len(t.span) + 1
+    travels = table.withColumn("ask", F.explode("wanting"))
+
+    def boxes(batches):
+        """Least and greatest coordinates of this task's candidates, a row for each pair of cells that meet."""
+        held: dict[tuple[int, int], list] = {}
+        for pdf in batches:
+            for pair, x in pdf.groupby(["ask", "cell"]):
+                d = _unpacked(x["d"], np.float64, width)
+                n, least, most = held.get(pair, (0, d[0], d[0]))
+                held[pair] = (n + len(d), np.minimum(least, d.min(0)), np.maximum(most, d.max(0)))
+        yield pd.DataFrame([(*p, n, a.tolist(), b.tolist()) for p, (n, a, b) in held.items()], columns=["ask", "cell", "n", "least", "most"])
+
+    ends = [f(F.get(name, F.lit(i))).alias(f"{name}{i}") for i in range(width) for name, f in (("least", F.min), ("most", F.max))]
+    met = travels.select("ask", "cell", "d").mapInPandas(boxes, "ask int, cell int, n long, least array<double>, most array<double>").groupBy("ask", "cell").agg(F.sum("n").alias("n"), *ends).collect()
+    seen = Boxes(met, width)
+    parts = {(r["ask"], r["cell"]): -(-r["n"] // block) for r in met}  # blocks of what one cell of queries wants of one of candidates
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     place = lambda cell, number: F.shiftleft(cell.cast("long"), 32) + number
-    blocked = table.withColumn("part", place(F.col("cell"), spread_key("vec_id", seed="block") % of_candidate[F.col("cell")])).withColumn("ask", F.explode("wanting"))
+    of_query = F.create_map(*[F.lit(x) for c, n in cells.sizes.items() for x in (c, -(-n // query_block))])
+    n = len(t.pivots)
+    of_pair = F.array(*[F.lit(parts.get(divmod(i, n), 1)) for i in range(n * n)])
+    blocked = travels.withColumn("part", place(F.col("cell"), spread_key("vec_id", seed="block") % F.get(of_pair, F.col("ask") * n + F.col("cell"))))
     blocked = blocked.withColumn("of", F.explode(F.transform(F.sequence(F.lit(0), of_query[F.col("ask")] - 1), lambda i: place(F.col("ask"), i)))).select("of", "part", "vec_id", "v", "d")
-    every = F.explode(F.flatten(F.array(*[F.sequence(F.lit(c << 32), F.lit((c << 32) + -(-n // block) - 1)) for c, n in sizes.items()])))
-    asked = asked.withColumn("of", place(F.col("cell"), spread_key("vec_id", seed="ask") % of_query[F.col("cell")])).withColumn("part", every).select("of", "part", "vec_id", "v", "d", "floor")
+
+    def aim(batches):
+        for pdf in batches:
+            asks = [cells.of[c] for c in pdf["cell"]]
+            cq = t.coordinates(np.array(pdf["d"].tolist()).reshape(len(pdf), -1))
+            targets: list = [[]] * len(pdf)
+            for ask in set(asks):
+                own = np.array([i for i, a in enumerate(asks) if a == ask])
+                for i, to in zip(own, seen.wanted(t, ask, pdf["square"].to_numpy()[own], cq[own], pdf["floor"].to_numpy()[own])):
+                    targets[i] = [(c << 32) + n for c in to for n in range(parts[ask, c])]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "d": _packed(cq, np.float64), "floor": pdf["floor"], "ask": np.array(asks, np.int32), "parts": targets})
+
+    asked = asked.mapInPandas(aim, "vec_id long, v binary, d binary, floor double, ask int, parts array<long>")
+    asked = asked.withColumn("of", place(F.col("ask"), spread_key("vec_id", seed="ask") % of_query[F.col("ask")])).select("of", F.explode("parts").alias("part"), "vec_id", "v", "d", "floor")
 
     def meet(key, q, c):
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
         if len(q) and len(c):
-            cid, cv, theirs = c["vec_id"].to_numpy(), _unpacked(c["v"], np.int64, dim), _unpacked(c["d"], np.float64, len(t.span) + 1)
+            cid, cv, theirs = c["vec_id"].to_numpy(), _unpacked(c["v"], np.int64, dim), _unpacked(c["d"], np.float64, width)
             for at in range(0, len(q), 512):
                 own = q.iloc[at : at + 512]
-                out.append(best_in_block(t, k, own["vec_id"].to_numpy(), _unpacked(own["v"], np.int64, dim), t.coordinates(np.array(own["d"].tolist())), own["floor"].to_numpy(), cid, cv, theirs)[0])
+                out.append(best_in_block(t, k, own["vec_id"].to_numpy(), _unpacked(own["v"], np.int64, dim), _unpacked(own["d"], np.float64, width), own["floor"].to_numpy(), cid, cv, theirs)[0])
         return pd.concat(out)
 
     found = asked.groupBy("of", "part").cogroup(blocked.groupBy("of", "part")).applyInPandas(meet, "query_id long, vec_id long, score long")

@@ -18,12 +18,12 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfield.session import fresh_path, materialise
 
-INDEX_SCHEMA = "run string, url_key string, ts string, page_id long, offset long, length long"
+INDEX_SCHEMA = "run string, url_key string, ts string, page_id long, digest string, offset long, length long"
 CRLF = b"\r\n"
 #: Captures that a task merges at most, but for the evenness of the ranges; rows it yields at a time.
 RANGE_ROWS, OUT_ROWS = 100_000, 10_000
@@ -126,8 +126,8 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6, least_bytes: i
 
     One archive a task, named by a fresh id: a task that runs again writes
     another file, and the index holds the files of tasks that counted. Records
-    of an archive stand in the order of its index, by URL key, timestamp and
-    page_id. Rows without a page_id are kept, under the record id "none" and
+    of an archive stand in the order of its index, by URL key, timestamp,
+    page_id and digest. Rows without a page_id are kept, under the record id "none" and
     before the others; rows that repeat are a record each; null urls are
     empty. Ids are text on the way, so that those beside nulls stay exact.
     """
@@ -137,19 +137,18 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6, least_bytes: i
         store.create_dir(root, recursive=True)
         name, out, at, index = f"{uuid.uuid4().hex}.warc.gz", None, 0, []
         for pdf in batches:
-            for page_id, url, ts, key, html, digest, refers in zip(pdf["page_id"], pdf["url"], pdf["ts"], pdf["url_key"], pdf["html"], pdf["digest"], pdf["refers_to"]):
+            for page_id, url, ts, key, html, b32, refers in zip(pdf["page_id"], pdf["url"], pdf["ts"], pdf["url_key"], pdf["html"], pdf["b32"], pdf["refers_to"]):
                 out = out or store.open_output_stream(f"{root}/{name}", compression=None)
                 kind = "response" if refers is None else "revisit"
-                b32 = base64.b32encode(bytes.fromhex(digest)).decode()
                 data = _gzip(_record(kind, re.sub(r"[\r\n]", " ", url), ts, page_id or "none", html.encode(), b32, refers), level)
                 out.write(data)
-                index.append((name, key, ts, page_id and int(page_id), at, len(data)))
+                index.append((name, key, ts, page_id and int(page_id), b32, at, len(data)))
                 at += len(data)
         if out:
             out.close()
-        yield pd.DataFrame(index, columns=["run", "url_key", "ts", "page_id", "offset", "length"]).astype({"page_id": "Int64"})
+        yield pd.DataFrame(index, columns=["run", "url_key", "ts", "page_id", "digest", "offset", "length"]).astype({"page_id": "Int64"})
 
-    marked = mark_revisits(pages, least_bytes).withColumn("url", F.coalesce("url", F.lit(""))).withColumn("url_key", _key_column()("url")).sortWithinPartitions("url_key", "ts", "page_id")
+    marked = mark_revisits(pages, least_bytes).withColumn("url", F.coalesce("url", F.lit(""))).withColumn("url_key", _key_column()("url")).withColumn("b32", _base32()("digest")).sortWithinPartitions("url_key", "ts", "page_id", "b32")
     marked = marked.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return materialise(marked.mapInPandas(run, INDEX_SCHEMA), "warc-index")
 
@@ -162,33 +161,46 @@ def _key_column():
     return keys
 
 
+def _base32():
+    @F.pandas_udf("string")
+    def coded(digests: pd.Series) -> pd.Series:
+        return digests.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
+
+    return coded
+
+
 def merge_indexes(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Capture histories: the runs of the index merged by URL key, timestamp and page_id.
+    """Capture histories: the runs of the index merged by URL key, timestamp, page_id and digest.
 
     Ranges of the key, as many as keep each near ``RANGE_ROWS`` captures, are
     dealt to tasks; in a task the slices of the runs, each sorted, go through a
     loser tree. Ranges split inside a URL too, so a host with a third of all
-    captures spreads over tasks. Adds ``range`` and ``place`` in it: in their
-    order captures are in the global order.
+    captures spreads over tasks. Adds ``range`` and ``place``: the place, from
+    1, in the order of all captures, which is what the merges of the ranges
+    before and of its own give. A written table.
     """
-    keys = ["url_key", "ts", "page_id", "run", "offset"]
+    keys = ["url_key", "ts", "page_id", "digest", "run", "offset"]
     least = -(-index.count() // RANGE_ROWS)
     partitions = partitions or max(least, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = index.repartitionByRange(partitions, *keys).withColumn("range", F.spark_partition_id()).sortWithinPartitions("run", *keys)
-    columns = ["url_key", "ts", "page_id", "run", "offset", "length", "range"]
+    columns = ["url_key", "ts", "page_id", "digest", "run", "offset", "length", "range"]
 
     def run(batches):
         runs: dict[str, list] = {}
         for pdf in batches:
             for key, ts, page_id, *rest in zip(*(pdf[c] for c in columns)):
                 runs.setdefault(rest[0], []).append((key, ts, (page_id is not None, int(page_id or 0)), *rest))  # no id comes first
-        merged, place = iter(LoserTree(runs.values())), 0
+        merged, place = iter(LoserTree(runs.values())), 1
         while part := list(islice(merged, OUT_ROWS)):
             out = pd.DataFrame(part, columns=columns).assign(place=range(place, place + len(part)))
             yield out.assign(page_id=pd.array([i if there else None for there, i in out["page_id"]], "Int64"))
             place += len(part)
 
-    return dealt.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(run, "url_key string, ts string, page_id long, run string, offset long, length long, range int, place long")
+    schema = "url_key string, ts string, page_id long, digest string, run string, offset long, length long, range int, place long"
+    merged = materialise(dealt.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(run, schema), "warc-merged")
+    counts = merged.groupBy("range").agg(F.count("*").alias("n"))  # a row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return merged.join(counts.select("range", before.alias("before")), "range").withColumn("place", F.col("place") + F.col("before")).drop("before")
 
 
 def read_archives(histories: DataFrame, folder: str) -> DataFrame:
@@ -220,18 +232,25 @@ def capture_time(page_id="page_id", start: str = "2024-01-01T00:00:00Z"):
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages archived and read back. Rows that repeat a page_id and its html are each a response or each a revisit."""
+    """Pages archived and read back, each with its place in the capture histories. Rows that repeat a page_id and its html are each a response or each a revisit."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").withColumn("ts", capture_time())
     folder = fresh_path(spark, "warc")
     index = write_archives(pages, folder)
     records = read_archives(merge_indexes(index), folder)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("ts").alias("capture_ts"), F.col("place").alias("history_place"))
 
 
-#: Base32 of a digest: its bits in fives. 20 bytes are 32 characters, without padding.
+#: Base32 of a digest: its bits in fives. 20 bytes are 32 characters, without padding. The place in the histories is by URL key, time, id and digest.
 OP7_SQL = r"""
 WITH hashed AS MATERIALIZED (
-  SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+  SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         regexp_extract(coalesce(url, ''), '(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)', ['host', 'port', 'rest']) AS u,
+         strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(coalesce(page_id, 0) % 86400), '%Y-%m-%dT%H:%M:%SZ') AS capture_ts FROM pages),
+named AS (
+  SELECT row, capture_ts, u, list_filter(string_split(lower(u.host), '.'), lambda x: x <> '') AS labels FROM hashed),
+keyed AS (
+  SELECT row, capture_ts, array_to_string(list_reverse(CASE WHEN len(labels) > 2 AND labels[1] = 'www' THEN labels[2:] ELSE labels END), ',')
+         || u.port || ')' || CASE WHEN u.rest = '' THEN '/' ELSE u.rest END AS url_key FROM named),
 firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM hashed),
 nibbles AS (
   SELECT row, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, CAST(i + 1 AS BIGINT), 1)) - 1) AS n FROM firsts),
@@ -246,6 +265,7 @@ coded AS (
   FROM nibbles)
 SELECT f.page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN f.page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.page_id > first_id THEN first_id END AS refers_to
-FROM firsts f JOIN coded c ON f.row = c.row
+       CASE WHEN f.page_id > first_id THEN first_id END AS refers_to, k.capture_ts,
+       row_number() OVER (ORDER BY url_key, k.capture_ts, f.page_id NULLS FIRST, payload_digest) AS history_place
+FROM firsts f JOIN coded c ON f.row = c.row JOIN keyed k ON f.row = k.row
 """

@@ -45,6 +45,28 @@ def test_small_blocks_and_unequal_lengths(spark):
     assert {q: sorted(x) for q, x in got.items()} == brute(vectors, range(4), 5)
 
 
+def test_repeated_ids_and_extra_columns(spark, tmp_path):
+    rows = [(20, [1.0, 0.0], 0), (20, [0.0, 1.0], 0), (1, [3.0, 0.0], 0), (1, [0.0, 2.0], 0), (2, [5.0, 5.0], 0)]
+    sf = table(spark, tmp_path, "embeddings", [(*r, 7, "x") for r in rows], SCHEMA + ", score long, cell string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivots.op2_topk(spark, sf).collect())
+    # The query of a repeated id is its smallest vector, (0, 1); each row of a repeated id is a candidate.
+    assert got == [(20, 1, 2, 64 * 5 * 64), (20, 2, 1, 64 * 2 * 64), (20, 3, 1, 0)]
+
+
+def test_thresholds_come_in_bound_order(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 400
+    x = np.floor(centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16)) * 30).astype(np.int64)
+    t = pivots.Table(np.arange(1500), x, int((x**2).sum(1).max()), 16, 8)
+    q, ids = x[:200], np.arange(200)
+    cq = t.coordinates(t.distances(q, True))
+    _, evaluated = pivots.best_in_block(t, 20, ids, q, cq, np.full(200, -np.inf), np.arange(1500), x, t.places)
+    scores = (q @ x.T).astype(float)
+    scores[ids, ids] = -np.inf
+    assert evaluated < 0.5 * scores.size
+    assert (t.floors(ids, q, cq, 20) == np.sort(scores, axis=1)[:, -20]).all()
+
+
 def test_no_usable_vector(spark, tmp_path):
     sf = table(spark, tmp_path, "embeddings", [(0, None, 1), (20, [math.nan], 1)], SCHEMA)
     assert pivots.op2_topk(spark, sf).count() == 0
