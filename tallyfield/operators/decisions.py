@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.functions.nulls import number
+
 #: Canonical markets.
 MARKETS = ["over_05", "over_15", "over_25", "under_25", "btts_yes", "btts_no", "home_win", "draw", "away_win", "corners_over_85", "corners_over_95"]
 
@@ -184,3 +186,21 @@ def triggered(df: DataFrame, keep: list[str], rules: dict[str, tuple[str, Column
 
 def severity_order(severity: Column) -> Column:
     return F.when(severity == "HIGH", 0).when(severity == "MEDIUM", 1).when(severity == "LOW", 2).otherwise(9)
+
+
+def research_candidate(p: Column, odds: list[str], quality: str, warnings: str) -> dict[str, Column]:
+    """What a prediction is worth looking at by: probability, odds, true_ev, recommendation_type, rule_status, confidence_band and risk_flags.
+
+    A missing probability and price are 0; the first price that is there and
+    isn't 0 counts. Without a price above 1 there is no true_ev, and the
+    probability alone decides.
+    """
+    p = F.coalesce(number(p), F.lit(0.0))
+    odd = F.coalesce(*[F.when(number(c) != 0, number(c)) for c in odds], F.lit(0.0))
+    ev = F.when(odd > 1, F.round(p * odd - 1, 6))
+    good = (p >= 0.54) & (ev.isNull() | (ev > -0.05))
+    flags = F.array(F.when(F.coalesce(number(quality), F.lit(0.0)) < 0.6, "LOW_DATA_QUALITY"), F.when(F.contains(F.col(warnings), F.lit("LOW_SAMPLE")), "LOW_SAMPLE_SIZE"))
+    return {
+        "ensemble_probability": p, "odds": odd, "true_ev": ev, "recommendation_type": F.when(good, "SIMULATION_CANDIDATE").otherwise("WATCH_ONLY"), "rule_status": F.when(good, "KEEP").otherwise("WATCH"),
+        "confidence_band": F.when(p >= 0.58, "MEDIUM_CONFIDENCE_SIMULATION").otherwise("WATCH_ONLY"), "risk_flags": F.array_join(F.array_compact(flags), " | "),
+    }
