@@ -52,3 +52,33 @@ def scenarios(buckets: DataFrame, ev: str, group: list[str]) -> DataFrame:
         advice = F.when(score > 20, ADVICE[name]).otherwise(BASELINE) if name == "defensive" else F.lit(ADVICE.get(name, BASELINE))
         made.append(F.struct(F.lit(name).alias("name"), F.round(projected, 3).alias("projected_ev_pct"), F.round(F.col("_spread") * risk, 3).alias("volatility_proxy"), F.round(score, 3).alias("risk_score"), advice.alias("recommendation")))
     return known.select(*group, F.inline(F.array(*made)))
+
+
+#: Names of what speaks for or against a signal: its column (less another), its effect, and whether it is a share.
+FACTORS = {
+    "Probabilidade ML": ("ml_probability", None, "positive", True),
+    "Valor esperado": ("true_ev", None, "positive", True),
+    "Odds vs prob. implícita": ("ml_probability", "implied_probability", "positive", True),
+    "Risco operacional": ("risk_score", None, "negative", False),
+    "Kelly recomendado": ("kelly_stake_pct", None, "neutral", True),
+}
+
+
+def factor_breakdown(candidates: DataFrame, group: list[str], score: str, key: str) -> DataFrame:
+    """For each group its signal of the highest score, ties to the smaller key, as rows: key, score, name, value, impact.
+
+    Shares are in percent; factors without a value, or whose columns the table
+    lacks, are left out, and so are rows without a score. The best is a partial
+    aggregate, so no group is sorted.
+    """
+    known = candidates.filter(F.col(score).isNotNull())
+    columns = [c for c in dict.fromkeys(x for a, b, _, _ in FACTORS.values() for x in (a, b) if x) if c in candidates.columns]
+    first = F.min_by(F.struct(key, score, *columns), F.struct((-F.col(score)).alias("s"), F.col(key).alias("k")))
+    best = known.groupBy(*group).agg(first.alias("_best"))
+    made = []
+    for name, (a, b, impact, share) in FACTORS.items():
+        if a in columns and (b is None or b in columns):
+            x = F.col(f"_best.{a}") - F.col(f"_best.{b}") if b else F.col(f"_best.{a}")
+            value = F.round(x * 100 if share else x, 2)
+            made.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(impact).alias("impact"))))
+    return best.select(*group, F.col(f"_best.{key}").alias(key), F.col(f"_best.{score}").alias(score), F.inline(F.array_compact(F.array(*made))))

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.session import drop_written, materialise
+
 #: Fields under which a JSON file may keep its list of records.
 LISTS = ["data", "matches", "events", "games"]
 
@@ -104,3 +106,20 @@ def write_snapshot(df: DataFrame, root: str, label: str) -> str:
 def keep_last(history: DataFrame, new: DataFrame, order: list[str], n: int) -> DataFrame:
     """The last ``n`` rows of a history and what is new to it."""
     return history.unionByName(new, allowMissingColumns=True).orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
+def append_bounded(path: str, new: DataFrame, order: list[str], n: int) -> DataFrame:
+    """A store of JSON lines that keeps its last ``n`` rows: writes them, and returns what a reader finds.
+
+    Times keep their microseconds. The rows written come from a table of their
+    own, so that a store is not overwritten while it is read; a run that is
+    repeated with the same rows leaves the store as it is.
+    """
+    spark = new.sparkSession
+    times = {k: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for k in ("timestampNTZFormat", "timestampFormat")}
+    read = lambda: spark.read.schema(new.schema).options(**times).json(path)
+    held = read() if exists(spark, path) else new.limit(0)
+    kept = materialise(keep_last(held.unionByName(new).dropDuplicates(), new.limit(0), order, n), "bounded")
+    kept.write.mode("overwrite").options(**times).json(path)
+    drop_written(kept)
+    return read()
