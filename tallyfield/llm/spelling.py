@@ -119,7 +119,9 @@ def near_words(words: DataFrame, rows: int) -> DataFrame:
 
     ``words`` is read several times: give it a written table. A row of a
     neighbourhood is two numbers; the words themselves travel once with the
-    reduced vocabulary and once for verification.
+    reduced vocabulary and once for verification. Joins are by merge: Spark
+    goes by the compressed size of written words, and would build tables many
+    times that size on the driver.
     """
     symbols = symbols_for(rows)
     words = materialise(words.withColumn("id", F.monotonically_increasing_id()), "spelling-words")
@@ -140,7 +142,7 @@ def near_words(words: DataFrame, rows: int) -> DataFrame:
 
     reduced = words.mapInPandas(reduce, "word string, n long, key long").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
     around = words.select("id", "word").mapInPandas(surround, "id long, key long")
-    met = around.join(reduced, "key").drop("key").join(words, "id")
+    met = around.join(reduced.hint("merge"), "key").drop("key").join(words.hint("merge"), "id")
     return met.filter(one_edit("word", "other")).select("word", "n", "other", "other_n")
 
 
@@ -149,7 +151,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = materialise(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         step = now.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        after = materialise(now.join(step, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "spelling-roots")
+        after = materialise(now.join(step.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "spelling-roots")
         now = after.select("word", "root")
         if after.filter("moved").isEmpty():
             return now
@@ -168,7 +170,7 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     chosen = -F.col("best.less") >= times * F.col("n")
     best = materialise(best.select("word", "n_near", F.when(chosen, F.col("best.other")).alias("form"), F.when(chosen, -F.col("best.less")).alias("form_n")), "spelling-forms")
     root = roots(best.filter("form IS NOT NULL"))
-    whole = words.join(best, "word", "left").join(root, "word", "left")
+    whole = words.join(best.hint("merge"), "word", "left").join(root.hint("merge"), "word", "left")
     return whole.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
 
 

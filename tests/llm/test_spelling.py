@@ -113,3 +113,10 @@ def test_one_edit(spark, monkeypatch, short):
 def test_roots_of_a_long_chain(spark):
     chain = spark.range(1, 40).select(F.format_string("w%02d", "id").alias("word"), F.format_string("w%02d", F.col("id") - 1).alias("form"))
     assert {(r["word"], r["root"]) for r in spelling.roots(chain).collect()} == {(f"w{i:02d}", "w00") for i in range(1, 40)}
+
+
+def test_no_words_are_sent_to_the_driver_to_be_broadcast(spark):
+    words = spark.createDataFrame([(f"word{i:04d}x", i % 9 + 5) for i in range(300)], "word string, n long")
+    plans = [spelling.near_words(words, 300), spelling.variants(words)]
+    for plan in (p._jdf.queryExecution().executedPlan().toString() for p in plans):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
