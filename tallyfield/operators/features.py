@@ -7,6 +7,8 @@ one partitioning share one sort.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ def walk_forward_folds(df: DataFrame, date: str) -> DataFrame:
 
 
 def ordered_split(df: DataFrame, group: list[str], order: list[str], share: float) -> DataFrame:
-    """Adds part: train for the first ``share`` of a group's rows, else test."""
+    """Adds part: train for the first ``share`` of a group's rows, else test. The share counts as it is written: 0.7 of 90 rows are 63."""
     w = Window.partitionBy(*group)
-    limit = F.floor(F.lit(share) * F.count("*").over(w))
+    limit = F.floor(F.lit(Decimal(str(share))) * F.count("*").over(w))
     return df.withColumn("part", F.when(F.row_number().over(w.orderBy(*order)) <= limit, "train").otherwise("test"))

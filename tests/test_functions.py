@@ -101,3 +101,8 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         assert got.count() == n
     assert {r["signal_id"]: r["profit"] for r in got.collect()} == {"a": 2.0, "b": -1.0}
     assert ledger.run_stream(spark, spark.readStream.schema(SIGNAL).parquet(source), won, folder, "2026-02-01").count() == 2
+
+
+def test_a_share_counts_as_it_is_written(spark):
+    rows = features.ordered_split(spark.range(90).withColumn("g", F.lit(1)), ["g"], ["id"], 0.7)
+    assert rows.filter("part = 'train'").count() == 63  # 0.7 * 90 is 62.99999999999999
