@@ -266,8 +266,12 @@ def concentration(totals: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def equity_report(trades: DataFrame, group: list[str], order: list[str], start: float = 100.0) -> DataFrame:
-    """First and last bankroll, growth, and the deviation of relative changes of each group."""
-    d = equity(trades, group, order, "profit", start)
+    """First and last bankroll, growth, and the deviation of relative changes of each group.
+
+    Bankrolls are rounded to 6 places, so that one which comes to nothing is 0
+    and has no relative change after it, whatever order sums were made in.
+    """
+    d = equity(trades, group, order, "profit", start).withColumn("bankroll_after", F.round("bankroll_after", 6))
     d = scan.previous(d, group, F.col("bankroll_after"), "_was").withColumn("_change", safe_divide(F.col("bankroll_after"), F.col("_was")) - 1)
     return d.groupBy(*group).agg(
         F.round(F.min_by("bankroll_after", "_place"), 6).alias("first_bankroll"),

@@ -154,3 +154,12 @@ def test_one_hot_group_lies_in_many_tasks(spark, small):
 def test_empty_table(spark):
     d = frame(spark, [])
     assert trades.equity(d, ["g"], ORDER).count() == 0 and trades.longest_runs(d, ["g"], ORDER, "won").count() == 0 and trades.drawdown_report(d, ["g"], ORDER, "day", "won").count() == 0
+
+
+def test_a_bankroll_of_nothing_has_no_change_after_it(spark, small):
+    rows = [(i, "g", p) for i, p in enumerate([0.1] * 3 + [-0.3] + [0.5, -0.25])]  # 0.1 three times and -0.3 leave 5.6e-17
+    d = spark.createDataFrame(rows, "i int, g string, profit double").withColumn("stake", F.lit(1.0))
+    row = trades.equity_report(d, ["g"], ["i"], start=0.0).collect()[0]
+    changes = [1.0, 0.5, -1.0, -0.5]  # 0.1 to 0.2 to 0.3 to 0, nothing from 0 to 0.5, then to 0.25
+    mean = sum(changes) / 4
+    assert row["volatility"] == pytest.approx((sum((c - mean) ** 2 for c in changes) / 4) ** 0.5, abs=1e-6)
