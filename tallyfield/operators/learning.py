@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.operators import stats
 from tallyfield.session import materialise
 
+#: How many models of a kind are fitted at once. Boosting is hundreds of short jobs one after the other; a forest fills the cores and its cache by itself.
+TOGETHER = {"forest": 1, "boosted": 4}
+
 
 def train(df: DataFrame, columns: list[str], target: str, kind: str = "forest", trees: int = 40, depth: int = 5, seed: int = 42) -> PipelineModel:
     """A forest or boosted trees on median-imputed columns. Rows without a target are left out."""
@@ -25,6 +33,13 @@ def train(df: DataFrame, columns: list[str], target: str, kind: str = "forest",
     return Pipeline(stages=stages).fit(df.filter(F.col(target).isNotNull()))
 
 
+def fitted(spark: SparkSession, kind: str, fits: list[Callable]) -> list:
+    """What ``fits`` return, in their order, ``TOGETHER`` of the kind at a time."""
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(TOGETHER[kind]) as pool:
+        return list(pool.map(lambda fit: fit(), [inherit(f) for f in fits]))
+
+
 def score(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
     """Adds the probability of class 1; a model that saw one class gives it 1 or 0.
 
@@ -70,28 +85,30 @@ def fold_probabilities(df: DataFrame, columns: list[str], target: str, date: str
 
     There is nothing before the first fold. Its rows are scored by a model of
     the later folds, and past_only is false for them alone. With one fold only
-    there is no model, and probabilities are null.
+    there is no model, and probabilities are null. ``df`` is read several
+    times for each fold: give it a written table.
     """
     d, folds = time_folds(df, date)
     if len(folds) < 2:
         return d.withColumn("probability", F.lit(None).cast("double")).withColumn("past_only", F.lit(False))
-    out = None
-    for i, f in enumerate(folds):
-        seen = F.col("fold") < f if i else F.col("fold") > f
-        scored = score(train(d.filter(seen), columns, target, kind, trees), d.filter(F.col("fold") == f)).withColumn("past_only", F.lit(i > 0))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    seen = [F.col("fold") < f if i else F.col("fold") > f for i, f in enumerate(folds)]
+    models = fitted(df.sparkSession, kind, [lambda s=s: train(d.filter(s), columns, target, kind, trees) for s in seen])
+    scored = [score(m, d.filter(F.col("fold") == f)).withColumn("past_only", F.lit(i > 0)) for i, (f, m) in enumerate(zip(folds, models))]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def walk_forward(df: DataFrame, columns: list[str], target: str, date: str, kind: str = "forest", trees: int = 40) -> DataFrame:
-    """A row of metrics for each fold in time but the first, trained on the folds before. One model a fold."""
+    """A row of metrics for each fold in time but the first, trained on the folds before. One model a fold.
+
+    ``df`` is read several times for each fold: give it a written table. Rows
+    are scored once.
+    """
     d, folds = time_folds(df, date)
-    scored = None
-    for f in folds[1:]:
-        fold = score(train(d.filter(F.col("fold") < f), columns, target, kind, trees), d.filter(F.col("fold") == f))
-        scored = fold if scored is None else scored.unionByName(fold)
-    if scored is None:  # one fold has no past: no rows
-        scored = d.filter(F.lit(False)).withColumn("probability", F.lit(None).cast("double"))
+    models = fitted(df.sparkSession, kind, [lambda f=f: train(d.filter(F.col("fold") < f), columns, target, kind, trees) for f in folds[1:]])
+    scored = [score(m, d.filter(F.col("fold") == f)) for f, m in zip(folds[1:], models)]
+    if not scored:  # one fold has no past: no rows
+        scored = [d.filter(F.lit(False)).withColumn("probability", F.lit(None).cast("double"))]
+    scored = materialise(reduce(DataFrame.unionByName, scored).select("fold", "probability", target), "fold-scores")
     return stats.scores(scored, ["fold"], "probability", target).join(stats.auc(scored, ["fold"], "probability", target), "fold")
 
 
@@ -117,12 +134,17 @@ def calibrated_folds(df: DataFrame, columns: list[str], target: str, date: str,
     """
     d, folds = time_folds(df, date)
     d = materialise(d.filter(F.col(target).isNotNull()), "fold-rows")
+
+    def fit(kind: str, last: int) -> tuple[PipelineModel, IsotonicRegressionModel]:
+        model = train(d.filter(F.col("fold") < last), columns, target, kind, trees)
+        return model, calibrate(score(model, d.filter(F.col("fold") == last), kind), kind, target)
+
+    found = {kind: fitted(df.sparkSession, kind, [lambda k=kind, f=f: fit(k, f) for f in folds[1:-1]]) for kind in kinds}
     out = None
-    for last, now in zip(folds[1:], folds[2:]):
+    for i, now in enumerate(folds[2:]):
         part = d.filter(F.col("fold") == now)
         for kind in kinds:
-            model = train(d.filter(F.col("fold") < last), columns, target, kind, trees)
-            curve = calibrate(score(model, d.filter(F.col("fold") == last), kind), kind, target)
+            model, curve = found[kind][i]
             part = calibrated(curve, score(model, part, kind), kind, f"calibrated_{kind}")
         part = part.withColumn("ensemble", sum((F.col(f"calibrated_{k}") for k in kinds), F.lit(0.0)) / len(kinds))
         out = part if out is None else out.unionByName(part)
@@ -130,7 +152,8 @@ def calibrated_folds(df: DataFrame, columns: list[str], target: str, date: str,
 
 
 def fold_metrics(rows: DataFrame, models: list[str], target: str) -> DataFrame:
-    """fold, model, AUC and Brier score of columns of probabilities."""
+    """fold, model, AUC and Brier score of columns of probabilities. Rows are scored once."""
     long = rows.select("fold", F.col(target).cast("int").alias("_y"), F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("_p")) for m in models])))
+    long = materialise(long, "fold-scores")
     keys = ["fold", "model"]
     return stats.scores(long, keys, "_p", "_y").select(*keys, "n", "brier").join(stats.auc(long, keys, "_p", "_y"), keys, "left")

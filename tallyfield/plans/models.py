@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import features, learning, stats
 from tallyfield.plans.bindings import PROBABILITY_SQL, probability_rows, table, team_rows
-from tallyfield.session import fresh_path
+from tallyfield.session import fresh_path, materialise
 from tallyfield.sources import models as registry_of_models
 
 QUERIES, SQL = {}, {}
@@ -109,9 +109,9 @@ _PAST = ["g5", "s5", "c5"]
 
 
 def _learning_rows(spark, d):
-    """Team rows with past means and a target of two markets."""
+    """Team rows with past means and a target of two markets, written once: a fit reads them several times."""
     rows = features.past_features(team_rows(spark, d), ["user_id"], ["ts", "event_id"], {"g5": ("mean", "goals", 5), "s5": ("mean", "shots", 5), "c5": ("mean", "corners", 5)})
-    return rows.withColumn("target", (F.col("goals") > 2).cast("double")).withColumn("many_shots", (F.col("shots") >= 10).cast("double"))
+    return materialise(rows.select("event_id", "ts", *_PAST, (F.col("goals") > 2).cast("double").alias("target"), (F.col("shots") >= 10).cast("double").alias("many_shots")), "learning-rows")
 
 
 @query()

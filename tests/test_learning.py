@@ -1,13 +1,16 @@
 """Calibration on folds in time, and versions of models."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.operators import learning, stats
+from tallyfield.plans import models as plans
 from tallyfield.sources import models
 from tallyfield.session import drop_written, materialise
+from tests.support import DATA
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +63,18 @@ def test_only_own_tables_are_dropped(spark, tmp_path):
     drop_written(mine)
     with pytest.raises(Exception):
         mine.count()
+
+
+def test_rows_to_learn_from_are_written_once_and_not_made_for_each_fit(spark):
+    plan = plans._learning_rows(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Relation" in plan
+
+
+def test_boosted_models_are_fitted_together_and_returned_in_order(spark):
+    meet = threading.Barrier(learning.TOGETHER["boosted"], timeout=60)  # passes only if so many run at once
+
+    def fit(i):
+        meet.wait()
+        return i
+
+    assert learning.fitted(spark, "boosted", [lambda i=i: fit(i) for i in range(2 * learning.TOGETHER["boosted"])]) == list(range(8))
