@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import scan
 from tallyfield.functions.nulls import safe_divide
+from tallyfield.session import spread
 
 
 def latest_snapshots(odds: DataFrame, snapshot: str, n: int = 12) -> DataFrame:
@@ -110,7 +111,12 @@ def movement_summary(report: DataFrame, match: str) -> DataFrame:
 
 
 def steam(odds: DataFrame, key: list[str], bookmaker: str, snapshot: str, price: str, least: int = 3, share: float = 0.7, step: float = 0.02) -> DataFrame:
-    """Whether ``least`` bookmakers and ``share`` of those with a first and a last price moved the same way by more than ``step``."""
+    """Whether ``least`` bookmakers and ``share`` of those with a first and a last price moved the same way by more than ``step``.
+
+    Keys are dealt out by numbers of rows (``spread``), so all its groupings
+    are of one task's keys and stay in bounds.
+    """
+    odds = spread(odds.select(*key, bookmaker, snapshot, price), key)
     per = opening_and_current(odds, [*key, bookmaker], snapshot, price).filter("opening > 0 AND current > 0")
     change = movement(F.col("opening"), F.col("current"))
     totals = per.withColumn("_c", change).groupBy(*key).agg(

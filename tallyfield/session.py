@@ -85,6 +85,15 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd", level: int
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, keys: list[str], rows: int = 250_000) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as it has ``rows`` rows, the default parallelism at least.
+
+    What a task sorts or groups by these keys stays in bounds as the table
+    grows, unless one key has more rows. Reads the table once more, to count.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
+
+
 def drop_written(table: DataFrame) -> None:
     """Delete a table written by ``materialise`` once nothing reads it: what was made of it must be written itself.
 
