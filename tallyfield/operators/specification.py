@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.operators.features import past
+from tallyfield.session import spread
 
 #: The rows that windows have, and the names of features by source.
 WINDOWS = [3, 5, 10]
@@ -51,14 +52,19 @@ def _own(f: Feature, side: str, value: Column) -> Column:
 
 
 def build(df: DataFrame, team: str, side: str, order: list[str], spec: list[Feature] | None = None) -> DataFrame:
-    """Adds the features whose source is there; one sort by team and one by team and side make them all.
+    """Adds the features whose source is there; one sort by team and side and one by team make them all.
 
     Nulls are skipped, a first row has null, and so has a row of the other
     side. ``order`` must tell all rows of a team apart. A team is a task's
-    window, as its rows are its matches.
+    window, as its rows are its matches; teams are dealt out by numbers of
+    rows (``spread``). The few features by side come first, so that rows are
+    narrow when they are sorted.
     """
     chosen = [f for f in spec or rolling_features() if f.source in df.columns]
-    return df.withColumns({f.name: _own(f, side, F.avg(f.source).over(past([team, side] if f.side else [team], order, f.rows))) for f in chosen})
+    d = spread(df, [team])
+    for some in ([f for f in chosen if f.side], [f for f in chosen if not f.side]):
+        d = d.withColumns({f.name: _own(f, side, F.avg(f.source).over(past([team, side] if f.side else [team], order, f.rows))) for f in some})
+    return d.select(*df.columns, *[f.name for f in chosen])
 
 
 def check(df: DataFrame, team: str, side: str, order: list[str], spec: list[Feature] | None = None, tolerance: float = 1e-9) -> DataFrame:
@@ -80,13 +86,20 @@ def check(df: DataFrame, team: str, side: str, order: list[str], spec: list[Feat
         total = F.coalesce(F.sum(value).over(before), F.lit(0.0)) - F.coalesce(F.sum(value).over(earlier), F.lit(0.0))
         return _own(f, side, F.try_divide(total, F.count(value).over(before) - F.count(value).over(earlier)))
 
-    d = df.withColumns({f"_again_{f.name}": again(f) for f in chosen}).withColumn("_first", F.row_number().over(Window.partitionBy(team).orderBy(*order)) == 1)
+    def same(f: Feature) -> Column:
+        x, y = F.col(f.name), F.col(f"_again_{f.name}")
+        return x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))
+
+    d = df
+    for some in ([f for f in chosen if f.side], [f for f in chosen if not f.side]):  # as in ``build``: what is sorted by team next has only what was found by side
+        d = d.withColumns({f"_again_{f.name}": again(f) for f in some})
+        d = d.withColumns({f"_same_{f.name}": same(f) for f in some}).drop(*[f"_again_{f.name}" for f in some])
+    d = d.withColumn("_first", F.row_number().over(Window.partitionBy(team).orderBy(*order)) == 1)
 
     def row(f: Feature) -> Column:
-        x, y = F.col(f.name), F.col(f"_again_{f.name}")
-        same = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))
+        x = F.col(f.name)
         number = lambda test: F.count(F.when(test, 1))
-        facts = {"total_rows": F.count(F.lit(1)), "filled": F.count(x), "first_filled": number(F.col("_first") & x.isNotNull()), "differing": number(~same)}
+        facts = {"total_rows": F.count(F.lit(1)), "filled": F.count(x), "first_filled": number(F.col("_first") & x.isNotNull()), "differing": number(~F.col(f"_same_{f.name}"))}
         return F.struct(F.lit(f.name).alias("feature"), F.lit(f.source).alias("source"), F.lit(f.rows).alias("rows"), F.lit(f.scope).alias("scope"), *[c.alias(n) for n, c in facts.items()])
 
     return d.agg(F.array(*[row(f) for f in chosen]).alias("all")).select(F.inline("all"))

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyfield.operators import outlook, specification
+from tallyfield.session import spread
 
 
 def rows(spark, n=60):
@@ -63,3 +64,11 @@ def test_scenarios_of_one_bucket_none_and_many(spark):
     assert len(got) == 6
     assert got["one", "defensive"] == (-2.8, None, 5.6, outlook.BASELINE) and got["one", "aggressive"] == (-5.0, None, 10.0, outlook.ADVICE["aggressive"])
     assert got["many", "balanced"] == (30.0, 30.0, 30.0, outlook.BASELINE) and got["many", "defensive"] == (21.0, 16.5, 16.5, outlook.BASELINE)
+
+
+def test_sorts_are_narrow_and_tables_are_dealt_out_by_rows(spark):
+    assert [spread(spark.range(n).withColumn("k", F.col("id") % 50), ["k"], rows=10).rdd.getNumPartitions() for n in (1, 1000)] == [spark.sparkContext.defaultParallelism, 100]
+    built = specification.build(rows(spark), "team", "side", ["i"])
+    plan = specification.check(built, "team", "side", ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    by_side, by_team = plan.rfind("_again_home_goals_avg_last_5"), plan.find("_again_goals_for_ft_avg_last_3")  # a plan's first line is its last step
+    assert 0 <= by_team < by_side
