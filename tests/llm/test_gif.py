@@ -79,3 +79,22 @@ def test_stored_frames_vary_and_keep_the_payload(spark):
     assert sum(rows[3]["frames"][0]["histogram"]) in (0, 64 * 3)  # spaces show nothing where they are transparent
     for data in (gif.encode_gif(bytes(range(64)) * n) for n in (1, 2, 3, 4)):
         assert b"".join(f.samples for f in gif.decode_gif(data)) == bytes(range(64)) * (len(b"".join(f.samples for f in gif.decode_gif(data))) // 64)
+
+
+def test_streams_are_read_together_and_each_to_its_end():
+    rng = np.random.default_rng(5)
+    images = [b"a", bytes(70_000), rng.integers(0, 4, 30_000, dtype=np.uint8).tobytes(), b"abcabcabc" * 50, bytes(range(256)) * 40]
+    streams = gif.lzw_encode_all(images)
+    assert streams == [gif.lzw_encode(x) for x in images] and gif.lzw_encode_all([]) == []
+    broken = [b"", streams[3][:40], streams[3][:40] + b"\xff" * 9, streams[1] + b"more", b"\xff\xff"]
+    got = gif.lzw_decode_all([*streams, *broken], 8, [*map(len, images), 99, 99, 99, 5, 99])
+    assert got[:5] == images and got[5] == b"" and got[8] == bytes(5) and got[9] == b""
+    assert images[3].startswith(got[6]) and len(got[6]) > 30 and got[7].startswith(got[6])
+
+
+def test_each_gif_of_a_batch_has_its_own_frames():
+    payloads = [gif.padded("line %d\n" % i * 30_000 * (i % 3)) for i in range(7)]
+    media = gif.encode_gifs(payloads)
+    assert media == [gif.encode_gif(p) for p in payloads]
+    found = list(gif.decode_gifs([media[0], None, b"no gif", *media[1:]]))
+    assert found[1] == found[2] == [] and [b"".join(f.samples for f in x) for x in (found[0], *found[3:])] == payloads
