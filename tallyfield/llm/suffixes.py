@@ -23,13 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm import arrays
-from tallyfield.session import materialise
+from tallyfield.llm.keyed import maybe_among
+from tallyfield.session import drop_written, materialise
 
 LENGTH, GRAM = 400, 48
 #: A repeated string of at least PASSAGE bytes and more than WORDS words is a passage, removed or not.
 PASSAGE, WORDS = 240, 50
 #: Different runs of a gram in a shard, and bytes of a suffix array.
 SHARD_RUNS, ARRAY_BYTES = 512, 400_000
+#: Bits of the broadcast bitmaps that keep grams that occur once and texts nobody asked for out of shuffles (16 MB and 1 MB).
+GRAM_BITS, TEXT_BITS = 1 << 27, 1 << 23
 #: Low bits of a selection key that hold the place, so bytes handled at a time stay below 2^24.
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 22
@@ -230,7 +233,8 @@ def _with_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 rows += [(r["gram"], r["content"], r["shard"], r["shards"], r["times"], key, r["lo"], r["hi"] - r["lo"] + 1, raw[r["lo"] : r["hi"] + length]) for r in runs]
             yield pd.DataFrame(rows, columns=["gram", "content", "shard", "shards", "times", "key", "lo", "starts", "bytes"])
 
-    return docs.dropDuplicates(["key"]).join(lists, "key").mapInPandas(run, "gram long, content long, shard int, shards int, times long, key long, lo long, starts long, bytes binary")
+    asked = maybe_among(docs, wanted, "key", TEXT_BITS).filter("_among").drop("_among")
+    return asked.dropDuplicates(["key"]).join(lists, "key").mapInPandas(run, "gram long, content long, shard int, shards int, times long, key long, lo long, starts long, bytes binary")
 
 
 _FOUND = "gram long, content long, times long, key long, first long, lo long, hi long, width long, shard long, bucket long, digests binary, places binary"
@@ -370,7 +374,10 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, passage: int | None = No
     occurrences of their own.
     """
     passage = min(passage or length, length)
-    runs = materialise(_runs(docs, length, passage, gram), "repeat-runs")
+    every = materialise(_runs(docs, length, passage, gram), "repeat-runs")
+    again = every.groupBy("gram").agg(F.count("*").alias("all")).filter("all > 1")
+    runs = materialise(maybe_among(every, again, "gram", GRAM_BITS).filter("_among").drop("_among"), "repeat-grams")
+    drop_written(every)
     contents = runs.groupBy("gram", "content").agg(F.count("*").alias("times"), F.first("key").alias("key"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("fit").alias("fit"))
     grams = contents.groupBy("gram").agg(F.sum("times").alias("all"), F.count("*").alias("contents")).filter("all > 1").drop("all")
     shards = (F.floor((F.col("contents") - 1) / SHARD_RUNS) + 1).cast("int")
@@ -387,8 +394,11 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, passage: int | None = No
     shared = of_run.filter("times > 1").select("gram", "content", F.col("lo").alias("from"), F.col("hi").alias("to"), "width").union(only)
     equal = runs.select("gram", "content", "key", F.col("lo").alias("at")).join(shared, ["gram", "content"]).select("key", (F.col("at") + F.col("from")).alias("lo"), (F.col("at") + F.col("to")).alias("hi"), "width")
     # A window of several shards stands for its equals in its own shard, which are found already unless it is the only one.
-    every = once.union(equal).union(_merge_shards(found.filter("bucket IS NOT NULL")))
-    return every.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "width")).alias("starts"))
+    both = once.union(equal).union(_merge_shards(found.filter("bucket IS NOT NULL")))
+    spans = materialise(both.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "width")).alias("starts")), "repeat-spans")
+    for table in (runs, met, found):
+        drop_written(table)
+    return spans
 
 
 def _covered(starts, width: int) -> list[list[int]]:
@@ -431,7 +441,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "passages", "kept"])
 
     ranges = "array<struct<start:long,end:long>>"
-    found = texts.join(spans, "key", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "starts")  # ids as text: beside nulls pandas would make them doubles
+    told = maybe_among(texts, spans, "key", TEXT_BITS)
+    joined = told.filter("_among").join(spans, "key", "left").unionByName(told.filter("NOT _among").withColumn("starts", F.lit(None)))  # texts without a span stay where they are
+    found = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "starts")  # ids as text: beside nulls pandas would make them doubles
     found = found.mapInPandas(run, f"doc_id string, n_bytes long, spans {ranges}, passages {ranges}, kept binary")
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 

@@ -1,10 +1,13 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 from tallyfield.llm import suffixes
+from tallyfield.llm.keyed import maybe_among
+from tallyfield.session import shared_dir
 from tests.llm.tables import collected, documents
 
 
@@ -111,3 +114,23 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     sf = documents(spark, tmp_path / "a", [(1, "q" + "xyz" * 300, "s"), (1, "q" + "xyz" * 300, "s")])
     assert [r["n_removed"] for r in suffixes.op8_suffixes(spark, sf).collect()] == [901, 901]
     assert suffixes.op8_suffixes(spark, documents(spark, tmp_path / "b", [])).count() == 0
+
+
+def test_rows_asked_for_are_never_left_out(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] + [(None, "none")], "key long, text string")
+    wanted = spark.createDataFrame([(i,) for i in range(0, 3000, 7)] * 2, "key long")
+    for bits in (1 << 20, 1 << 6):  # wide, and full
+        told = {r["key"]: r["_among"] for r in maybe_among(rows, wanted, "key", bits).collect()}
+        assert len(told) == 3001 and all(told[i] for i in range(0, 3000, 7))
+        assert bits < 3000 or sum(told.values()) < 500
+    assert not any(r["_among"] for r in maybe_among(rows, wanted.filter("false"), "key", 1 << 20).collect())
+
+
+def test_only_spans_stay_on_disk(spark):
+    passage = "".join(chr(97 + i * i % 23) for i in range(500))
+    docs = spark.createDataFrame([(i, f"{i} own words {i * 7919} " * 60 + (passage if i % 10 == 0 else "")) for i in range(50)], "doc_id long, text string")
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "tallyfield"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = {r["doc_id"]: len(r["spans"]) for r in suffixes.cut_repeats(docs).collect()}
+    assert len(rows) == 50 and {i for i, n in rows.items() if n} >= {0, 10, 20, 30, 40}
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["repeat-spans"]
