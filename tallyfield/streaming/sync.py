@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyfield.sources.incremental import upsert
+from tallyfield.session import drop_written, materialise
 from tallyfield.sources.files import exists
 
 ATTEMPT = "key string, at timestamp, ok boolean, error string"
@@ -50,9 +51,9 @@ def after_attempts(attempts: DataFrame) -> DataFrame:
 def _advance(key: tuple, batches, state: GroupState):
     """One key's attempts of a micro-batch, in order of time, on what is known of it."""
     count, retries, first, last, processed, error = state.get if state.exists else (0, 0, None, None, None, None)
-    rows = pd.concat(list(batches))
-    rows = rows.assign(ok=rows["ok"].fillna(False).astype(bool)).sort_values(["us", "ok"], ascending=[True, False], kind="stable")
-    for us, ok, said in zip(rows["us"].tolist(), rows["ok"].tolist(), rows["error"].tolist()):
+    rows = [(us, ok is not True, said) for b in batches for us, ok, said in zip(b["us"].tolist(), b["ok"].tolist(), b["error"].tolist())]
+    for us, lost, said in sorted(rows, key=lambda r: r[:2]):
+        ok = not lost
         count, first, last = count + 1, us if first is None else min(first, us), us if last is None else max(last, us)
         retries, processed, error = (0, us, None) if ok else (retries + 1, processed, said)
     state.update((count, retries, first, last, processed, error))
@@ -72,8 +73,10 @@ def run_stream(spark: SparkSession, attempts: DataFrame, folder: str) -> DataFra
     buckets = F.pmod(F.hash("key"), F.lit(16))
 
     def keep(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert(f"{folder}/state", batch.withColumn("bucket", buckets), ["key"], "bucket", ["attempts"])
+        told = materialise(batch.withColumn("bucket", buckets), "sync")  # each use of a batch runs its states anew
+        if not told.isEmpty():
+            upsert(f"{folder}/state", told, ["key"], "bucket", ["attempts"])
+        drop_written(told)
 
     run = told.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -121,3 +121,20 @@ def test_states_by_hand(spark):
     assert [r["key"] for r in sync.to_retry(state, t(12)).collect()] == ["a"]
     assert sync.to_retry(state, t(59), most=2).count() == 0
     assert sync.after_attempts(state.sparkSession.createDataFrame([], sync.ATTEMPT)).count() == 0
+
+
+def test_states_of_a_batch_are_made_once(spark, tmp_path, monkeypatch):
+    calls, own = tmp_path / "calls", sync._advance
+    calls.mkdir()
+    place = str(calls)
+
+    def told(key, batches, state):
+        import tempfile
+
+        tempfile.mkstemp(dir=place)
+        yield from own(key, batches, state)
+
+    monkeypatch.setattr(sync, "_advance", told)
+    spark.createDataFrame(attempts(4), sync.ATTEMPT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = sync.run_stream(spark, spark.readStream.schema(sync.ATTEMPT).parquet(f"{tmp_path}/in"), f"{tmp_path}/sync")
+    assert got.count() == len(list(calls.iterdir())) == 4
