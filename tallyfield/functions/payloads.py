@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.functions.nulls import blank_to_null
+from tallyfield.functions.nulls import blank_to_null, col
 from tallyfield.functions.text import first_match, parse_number, parse_score, parse_status
 
 # Where ids stand in markup and payloads, in order, and the names that payloads use.
@@ -15,6 +17,7 @@ ID_PATTERNS = (
     r"(?i)id=['\"]g_\d_([A-Za-z0-9]{6,})['\"]",
     r"(?i)(?:match[-_/]summary|match-detail|/match/|#/match/)[^A-Za-z0-9]*([A-Za-z0-9]{6,})",
 )
+ID_WORDS = ("data-", "id", "g_", "match")  # a text without the word can't fit the pattern
 # Words of addresses and bodies, and members of payloads, that tell what a response holds; words that no team's name has.
 KIND_WORDS = (("odds", "odds|prematch|bookmaker"), ("stats", "statistic|stats|xg|corner|shot"), ("events", "incident|event|goal|card|substitution"), ("standings", "standings|table"), ("fixtures", "fixture|match"))
 KIND_MEMBERS = (("odds", ("odds", "markets", "bookmakers")), ("stats", ("stats", "statistics")), ("events", ("incidents", "events")))
@@ -31,7 +34,8 @@ EVENTS_SCHEMA = "array<struct<type:string,minute:string,side:string>>"
 
 def match_id(text: Column | str) -> Column:
     """The id by the first pattern that finds one."""
-    return first_match(text, *ID_PATTERNS)
+    x = col(text)
+    return F.coalesce(*[F.when(F.contains(F.lower(x), F.lit(word)), first_match(x, p)) for word, p in zip(ID_WORDS, ID_PATTERNS)])
 
 
 def _last(items: Column, test) -> Column:
@@ -39,27 +43,39 @@ def _last(items: Column, test) -> Column:
     return F.try_element_at(F.filter(items, test), F.lit(-1))
 
 
+def _once(x: Column, then) -> Column:
+    """``then(x)`` with x made once, however often it is used."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def _plain(name: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(name, F.lit(""))))
+
+
+STAT_KINDS = ("corners", "shots_on_target", "shots", "xg")
+
+
+def stat_hits(stats: Column) -> Column:
+    """The last item of each of the ``STAT_KINDS`` among (name, home, away) items; an item goes to the first kind that its name fits, and pairs with a gap don't count."""
+    known = F.transform(F.filter(stats, lambda s: s["home"].isNotNull() & s["away"].isNotNull()), lambda s: F.struct(_plain(s["name"]).alias("name"), s["home"].alias("home"), s["away"].alias("away")))
+    has = lambda n, word: F.contains(n, F.lit(word))
+
+    def kind(n: Column) -> Column:
+        shots = n.isin("shots", "goal attempts", "total shots", "attempts on goal") | has(n, "shots total")
+        return F.when(has(n, "corner"), 0).when(has(n, "on target") | has(n, "shots on"), 1).when(shots, 2).when((n == "xg") | has(n, "expected goals"), 3)
+
+    sorted_out = F.transform(known, lambda s: F.struct(kind(s["name"]).alias("kind"), s["home"].alias("home"), s["away"].alias("away")))
+    hit = lambda items, k: _last(items, lambda s: s["kind"] == k)
+    return _once(sorted_out, lambda items: F.array(*[hit(items, k) for k in range(len(STAT_KINDS))]))
+
+
+def texts_of_stats(hits: Column) -> dict[str, Column]:
+    return {f"{kind}_{side}": F.get(hits, F.lit(i))[side] for i, kind in enumerate(STAT_KINDS) for side in ("home", "away")}
+
+
 def stat_texts(stats: Column) -> dict[str, Column]:
-    """Eight texts from (name, home, away) items; an item goes to the first kind that its name fits, and pairs with a gap don't count."""
-    known = F.filter(stats, lambda s: s["home"].isNotNull() & s["away"].isNotNull())
-    corner = lambda n: F.contains(n, F.lit("corner"))
-    target = lambda n: F.contains(n, F.lit("on target")) | F.contains(n, F.lit("shots on"))
-    shots = lambda n: n.isin("shots", "goal attempts", "total shots", "attempts on goal") | F.contains(n, F.lit("shots total"))
-    goals = lambda n: (n == "xg") | F.contains(n, F.lit("expected goals"))
-
-    def first_fit(kind: str):
-        def fits(item):
-            n = F.lower(F.trim(F.coalesce(item["name"], F.lit(""))))
-            return F.coalesce(*[F.when(test(n), F.lit(k == kind)) for k, test in tests.items()], F.lit(False))
-
-        return fits
-
-    tests = {"corners": corner, "shots_on_target": target, "shots": shots, "xg": goals}
-    out = {}
-    for kind in tests:
-        hit = _last(known, first_fit(kind))
-        out |= {f"{kind}_{side}": hit[side] for side in ("home", "away")}
-    return out
+    """Eight texts from (name, home, away) items, by ``stat_hits``."""
+    return texts_of_stats(stat_hits(stats))
 
 
 def stat_number(name: str, x: Column) -> Column:
@@ -67,22 +83,27 @@ def stat_number(name: str, x: Column) -> Column:
     return x if name.startswith("xg") else F.floor(x).cast("int")
 
 
+PRICES = (("odds_home", "odds_draw", "odds_away"), *((f"odds_over_{c}", f"odds_under_{c}") for c in ("05", "15", "25")), ("odds_btts_yes", "odds_btts_no"))
+
+
+def price_hits(markets: Column) -> Column:
+    """The values of the last market of each of the kinds in ``PRICES`` among (name, values) items that has enough of them: result, three lines of totals, both score."""
+    has = lambda n, *words: reduce(lambda x, y: x | y, [F.contains(n, F.lit(w)) for w in words])
+    total = lambda n: has(n, "over/under", "total", "goals")
+    lines = [lambda n, line=line: total(n) & has(n, line) for line in ("0.5", "1.5", "2.5")]
+    tests = [lambda n: n.isin("1x2", "match winner", "h2h", "full time result"), *lines, lambda n: has(n, "btts", "both teams")]
+    named = F.transform(markets, lambda m: F.struct(_plain(m["name"]).alias("name"), m["values"].alias("values")))
+    hit = lambda items, test, names: _last(items, lambda m: test(m["name"]) & (F.size(m["values"]) >= len(names)))["values"]
+    return _once(named, lambda items: F.array(*[hit(items, test, names) for test, names in zip(tests, PRICES)]))
+
+
+def texts_of_prices(hits: Column) -> dict[str, Column]:
+    return {name: F.get(F.get(hits, F.lit(i)), F.lit(k)) for i, names in enumerate(PRICES) for k, name in enumerate(names)}
+
+
 def price_texts(markets: Column) -> dict[str, Column]:
-    """Eleven texts of prices from (name, values) items: result, three lines of totals, both score."""
-    out: dict[str, Column] = {}
-
-    def put(names: list[str], test) -> None:
-        hit = _last(markets, lambda m: test(F.lower(F.trim(F.coalesce(m["name"], F.lit(""))))) & (F.size(m["values"]) >= len(names)))
-        for i, name in enumerate(names):
-            out[name] = F.get(hit["values"], F.lit(i))
-
-    put(["odds_home", "odds_draw", "odds_away"], lambda n: n.isin("1x2", "match winner", "h2h", "full time result"))
-    total = lambda n: F.contains(n, F.lit("over/under")) | F.contains(n, F.lit("total")) | F.contains(n, F.lit("goals"))
-    for line in ("0.5", "1.5", "2.5"):
-        code = line.replace(".", "")
-        put([f"odds_over_{code}", f"odds_under_{code}"], lambda n, line=line: total(n) & F.contains(n, F.lit(line)))
-    put(["odds_btts_yes", "odds_btts_no"], lambda n: F.contains(n, F.lit("btts")) | F.contains(n, F.lit("both teams")))
-    return out
+    """Eleven texts of prices from (name, values) items, by ``price_hits``."""
+    return texts_of_prices(price_hits(markets))
 
 
 def goal_minutes(events: Column, side: str) -> Column:
@@ -131,7 +152,8 @@ def structured_rows(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
     names = [*HOME, *AWAY, *IDS, "league", "competitionName", "match_date", "date", "startTime", "start_time", "status", "stage", "matchStatus", "score", "result", "ftScore"]
     schema = ", ".join([*(f"{n} string" for n in names), f"stats {STATS_SCHEMA}", f"markets {MARKETS_SCHEMA}", f"events {EVENTS_SCHEMA}"])
     read = df.select(*keep, json, F.from_json(json, schema).alias("_json"))  # one pass over the text
-    texts, events = stat_texts(F.col("_json.stats")) | price_texts(F.col("_json.markets")), F.col("_json.events")
+    read = read.withColumns({"_stats": stat_hits(F.col("_json.stats")), "_prices": price_hits(F.col("_json.markets"))})  # columns, so that each is made once
+    texts, events = texts_of_stats(F.col("_stats")) | texts_of_prices(F.col("_prices")), F.col("_json.events")
     read = read.withColumn("_numbers", F.transform(F.array(*texts.values()), lambda x: parse_number(x)))  # one parser for all of them
     columns = {n: F.get("_numbers", F.lit(i)) if n.startswith("odds") else stat_number(n, F.get("_numbers", F.lit(i))) for i, n in enumerate(texts)}
     d = read.select(

@@ -71,7 +71,7 @@ def parse_number(x: Column | str) -> Column:
     t = F.trim(col(x))
     a, b = F.regexp_extract(t, r"^(\d+)\s*/\s*(\d+)$", 1), F.regexp_extract(t, r"^(\d+)\s*/\s*(\d+)$", 2)
     plain = F.regexp_extract(F.replace(t, F.lit(","), F.lit(".")), r"-?\d+(?:\.\d+)?", 0)
-    return F.when(a != "", F.try_divide(a.try_cast("double"), b.try_cast("double")) + 1).otherwise(plain.try_cast("double"))
+    return F.when(F.contains(t, F.lit("/")) & (a != ""), F.try_divide(a.try_cast("double"), b.try_cast("double")) + 1).otherwise(plain.try_cast("double"))
 
 
 def parse_score(x: Column | str) -> Column:

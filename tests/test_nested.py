@@ -66,6 +66,31 @@ def test_matches_need_both_teams_and_something_of_a_match(spark):
     assert got == {(0, "c", "d"), (4, "p", "q")}
 
 
+def test_captured_rows_write_no_plain_values_and_no_match_is_read_twice(spark, monkeypatch):
+    one = {"home": "a", "away": {"name": "b"}, "id": "abc1234", "stats": {"Corners": "3-4", "xG": [1, "0,5"]}, "odds": [{"name": "h2h", "values": [2, "7/2", {"odds": 4}]}]}
+    d = spark.createDataFrame([(1, json.dumps({"x": [one, 5, None, "t"]})), (2, "no json"), (3, "7")], "id int, j string")
+    written = []
+
+    def kept(df, label, *rest):
+        out = materialise(df, label, *rest)
+        written.append((label, out.count() if "value" not in out.columns else out.filter("value IS NOT NULL AND depth > 0").count()))
+        return out
+
+    materialise = nested.materialise
+    monkeypatch.setattr(nested, "materialise", kept)
+    r = nested.captured_rows(d, ["id"], "j")
+    got = [(x["path"], x["home_team"], x["away_team"], x["corners_away"], x["xg_away"], x["odds_draw"], x["odds_away"]) for x in r.collect()]
+    assert got == [("$.x[0]", "a", "b", 4, 0.5, 4.5, 4.0)]
+    assert sum(n for label, n in written if label == "payload-nodes") == 9  # the list, the match and what it holds: seven objects and lists
+    assert written[-1] == ("payload-matches", 1)
+
+
+def test_items_are_sought_once_for_all_their_texts(spark):
+    d = spark.createDataFrame([('{"home": "a", "away": "b"}',)], "j string")
+    plan = payloads.structured_rows(d, "j", [])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("total shots") <= 2 and plan.count("both teams") <= 2  # a use of each of 19 texts held the search before
+
+
 @pytest.mark.parametrize("value, want", [("AET", "finished"), ("after Penalties", "finished"), ("HT", "live"), ("2nd half", "live"), ("Abandoned", "postponed"), (" ", "scheduled"), (None, "scheduled"), ("Not started", "not_started")])
 def test_status(spark, value, want):
     assert spark.createDataFrame([(value,)], "s string").select(text.parse_status("s")).first()[0] == want
