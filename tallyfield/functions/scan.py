@@ -12,6 +12,9 @@ from tallyfield.session import materialise
 #: Rows of a group that one window holds.
 ROWS = 50_000
 
+#: Rows, and then sums, that a nested sum adds up at a time.
+FAN = 16
+
 
 def joined(d: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """``d`` with the columns of ``other``, which has one row for each key of ``d``."""
@@ -95,6 +98,33 @@ def previous(d: DataFrame, group: list[str], value: Column, out: str) -> DataFra
     return d.withColumn(out, F.when(F.row_number().over(first) == 1, F.col("_before")).otherwise(F.col("_own"))).drop("_value", "_own", "_before")
 
 
+def nested_totals(d: DataFrame, group: list[str], value: Column) -> DataFrame:
+    """A row for each ``FAN`` rows of a numbered table, _node, with _totals: the sum before its first row and then the sum up to and with each of its rows.
+
+    Rows are summed by ``FAN``, then these sums by ``FAN``, and so on; a total
+    adds the largest sums that lie before it first. So rounding grows with the
+    logarithm of the rows, and the order of additions follows from places
+    alone. A task holds ``FAN`` rows of a group at a time, however many it has.
+    """
+    deep, longest = [], d.agg(F.max("_place")).first()[0] or 0
+    items = d.select(*group, (F.col("_place") - 1).alias("_at"), value.alias("_sum"))
+    while not deep or longest > 1:
+        listed = items.groupBy(*group, F.floor(F.col("_at") / FAN).alias("_node")).agg(F.array_sort(F.collect_list(F.struct("_at", "_sum"))).alias("_items"))
+        deep.append(materialise(listed.select(*group, "_node", F.col("_items._sum").alias("_items")), "scan-nested"))
+        items = deep[-1].select(*group, F.col("_node").alias("_at"), F.aggregate("_items", F.lit(0.0), lambda a, x: a + x).alias("_sum"))
+        longest = -(-longest // FAN)
+    out = deep.pop().withColumn("_base", F.lit(0.0)).withColumn("_upto", F.lit(None).cast("double"))  # one node a group
+    while True:
+        each = F.aggregate("_items", F.array("_base"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        whole = F.concat(F.slice(each, 1, FAN), F.array("_upto"))  # the end of a full node is a sum of larger ones
+        totals = F.when((F.size("_items") == FAN) & F.col("_upto").isNotNull(), whole).otherwise(each)
+        out = out.select(*group, "_node", totals.alias("_totals"))
+        if not deep:
+            return out
+        pairs = F.transform(F.sequence(F.lit(1), F.size("_totals") - 1), lambda i: F.struct((F.col("_node") * FAN + i - 1).alias("_node"), F.element_at("_totals", i).alias("_base"), F.element_at("_totals", i + 1).alias("_upto")))
+        out = joined(deep.pop(), out.select(*group, F.inline(pairs)), [*group, "_node"])
+
+
 def last_known(d: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """Adds the latest ``value`` that isn't null, up to and with each row of a numbered table."""
     d = d.withColumn("_known", F.last(value, ignorenulls=True).over(inside(group)))

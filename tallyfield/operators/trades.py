@@ -265,18 +265,23 @@ def concentration(totals: DataFrame, group: list[str], value: str) -> DataFrame:
     return totals.groupBy(*group).agg(F.round(ratio_or_zero(F.max(F.abs(value)), F.sum(F.abs(value))), 6).alias("concentration"))
 
 
-def equity_report(trades: DataFrame, group: list[str], order: list[str], start: float = 100.0) -> DataFrame:
+def equity_report(trades: DataFrame, group: list[str], order: list[str], start: float = 100.0, places: int | None = 6) -> DataFrame:
     """First and last bankroll, growth, and the deviation of relative changes of each group.
 
-    Bankrolls are rounded to 6 places, so that one which comes to nothing is 0
-    and has no relative change after it, whatever order sums were made in.
+    Bankrolls are rounded to ``places``, so that one which comes to nothing is
+    0 and has no relative change after it. Without ``places`` it is what
+    rounding of nested sums (``scan``) left of it, and a change may be huge.
     """
-    d = equity(trades, group, order, "profit", start).withColumn("bankroll_after", F.round("bankroll_after", 6))
-    d = scan.previous(d, group, F.col("bankroll_after"), "_was").withColumn("_change", safe_divide(F.col("bankroll_after"), F.col("_was")) - 1)
+    d = scan.numbered(trades.select(*group, *[c for c in order if c not in group], F.coalesce("profit", F.lit(0.0)).alias("_gain")), group, order)
+    held = lambda x: F.lit(start) + x if places is None else F.round(F.lit(start) + x, places)
+    d = scan.nested_totals(d, group, F.col("_gain")).withColumn("_held", F.transform("_totals", held))
+    change = F.transform(F.sequence(F.lit(2), F.size("_held")), lambda i: F.when((F.col("_node") > 0) | (i > 2), safe_divide(F.element_at("_held", i), F.element_at("_held", i - 1)) - 1))
+    first, last = F.min_by("_first", "_node"), F.max_by("_last", "_node")
+    d = d.withColumn("_first", F.element_at("_held", 2)).withColumn("_last", F.element_at("_held", -1)).withColumn("_change", F.explode(change))
     return d.groupBy(*group).agg(
-        F.round(F.min_by("bankroll_after", "_place"), 6).alias("first_bankroll"),
-        F.round(F.max_by("bankroll_after", "_place"), 6).alias("last_bankroll"),
-        F.round(F.max_by("bankroll_after", "_place") - F.min_by("bankroll_after", "_place"), 6).alias("growth"),
+        F.round(first, 6).alias("first_bankroll"),
+        F.round(last, 6).alias("last_bankroll"),
+        F.round(last - first, 6).alias("growth"),
         F.round(F.stddev_pop("_change"), 6).alias("volatility"),
     )
 

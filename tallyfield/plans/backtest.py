@@ -186,7 +186,8 @@ c AS (SELECT *, after / nullif(lag(after) OVER (PARTITION BY strategy, market OR
 SELECT strategy, market, round(arg_min(after, row(ts, event_id)), 6) AS first_bankroll, round(arg_max(after, row(ts, event_id)), 6) AS last_bankroll,
  round(arg_max(after, row(ts, event_id)) - arg_min(after, row(ts, event_id)), 6) AS growth, round(stddev_pop(change), 6) AS volatility FROM c GROUP BY 1, 2""")
 def equity_report(spark, d):
-    return t.equity_report(trade_rows(spark, d), _G, _O, start=10000.0)
+    """As the SQL has it, a change is also taken from what rounding left of a bankroll of nothing."""
+    return t.equity_report(trade_rows(spark, d), _G, _O, start=10000.0, places=None)
 
 
 @query(f"WITH {TRADE_SQL}, m AS (SELECT league, market, sum(profit) AS p FROM trade GROUP BY 1, 2) SELECT market, round(coalesce(max(abs(p)) / nullif(sum(abs(p)), 0), 0), 6) AS concentration FROM m GROUP BY 1")

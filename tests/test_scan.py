@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+import pandas
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +165,33 @@ def test_a_bankroll_of_nothing_has_no_change_after_it(spark, small):
     changes = [1.0, 0.5, -1.0, -0.5]  # 0.1 to 0.2 to 0.3 to 0, nothing from 0 to 0.5, then to 0.25
     mean = sum(changes) / 4
     assert row["volatility"] == pytest.approx((sum((c - mean) ** 2 for c in changes) / 4) ** 0.5, abs=1e-6)
+
+
+def test_nested_totals_add_in_the_order_of_the_sql(spark):
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice([-1.0, 0.37, 0.41, 1.13])) for g, n in (("a", 5000), ("b", 4096), ("c", 17), ("d", 1)) for i in range(n)]
+    d = scan.numbered(spark.createDataFrame(rows, "g string, i int, x double"), ["g"], ["i"])
+    got = {}
+    for r in scan.nested_totals(d, ["g"], F.col("x")).orderBy("g", "_node").collect():
+        assert r["_totals"][0] == (got[r["g"]][-1] if r["_node"] else 0.0)
+        got.setdefault(r["g"], []).extend(r["_totals"][1:])
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (g VARCHAR, i INTEGER, x DOUBLE)")
+    for g in "abcd":  # a table of one group: what lies before a group of a table doesn't matter
+        db.execute("DELETE FROM t")
+        db.register("one", pandas.DataFrame([r for r in rows if r[0] == g], columns=["g", "i", "x"]))
+        db.execute("INSERT INTO t SELECT * FROM one")
+        assert [r[0] for r in db.execute("SELECT sum(x) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM t ORDER BY i").fetchall()] == got[g]
+    assert scan.nested_totals(d.filter("x > 9"), ["g"], F.col("x")).count() == 0
+
+
+def test_a_bankroll_of_nearly_nothing_without_places(spark):
+    rows = [(i, "g", p) for i, p in enumerate(([0.37] * 10 + [-0.1] * 37) * 9 + [0.37] * 10 + [-3.7, 0.5])]
+    d = spark.createDataFrame(rows, "i int, g string, profit double")
+    db = duckdb.connect()
+    db.register("t", pandas.DataFrame(rows, columns=["i", "g", "profit"]))
+    sql = "WITH e AS (SELECT i, sum(profit) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM t), c AS (SELECT a / nullif(lag(a) OVER (ORDER BY i), 0) - 1 AS change FROM e) SELECT stddev_pop(change) FROM c"
+    wanted = db.execute(sql).fetchone()[0]
+    assert wanted > 1e10  # changes from what is left of nothing
+    assert trades.equity_report(d, ["g"], ["i"], 0.0, None).first()["volatility"] == pytest.approx(wanted, rel=1e-9)
+    assert trades.equity_report(d, ["g"], ["i"], 0.0).first()["volatility"] < 1e3
