@@ -6,31 +6,73 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.operators import stats
 from tallyfield.session import materialise
 
-#: How many models of a kind are fitted at once. Boosting is hundreds of short jobs one after the other; a forest fills the cores and its cache by itself.
-TOGETHER = {"forest": 1, "boosted": 4}
+#: How many models of a kind are fitted at once: boosting is hundreds of short jobs one after the other, a forest fits its own trees together.
+TOGETHER = {"forest": 1, "boosted": 4, "tree": 16, "large tree": 4}
+
+#: Different rows to learn from that one task reads.
+ROWS = 50_000
+
+
+def _draws(n: Column, key: Column, trees: int) -> Column:
+    """For each tree how often a bootstrap takes a row that stands for ``n``: the sum of ``n`` draws of a row, Poisson with mean ``n``. The same key draws the same."""
+
+    @F.pandas_udf("array<double>")
+    def drawn(n: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng(k).poisson(c, trees).astype(float) for c, k in zip(n, key)])
+
+    return drawn(n, key)
 
 
 def train(df: DataFrame, columns: list[str], target: str, kind: str = "forest", trees: int = 40, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """A forest or boosted trees on median-imputed columns. Rows without a target are left out."""
+    """A forest or boosted trees on median-imputed columns. Rows without a target are left out.
+
+    Rows that are equal in columns and target are learnt from as one that
+    weighs as many, so a fit reads as many rows as differ, and ``df`` is read
+    twice. The trees of a forest are stages of their own, each over its own
+    bootstrap of all rows.
+    """
     filled = [f"_{c}" for c in columns]
-    make = {
-        "forest": lambda: RandomForestClassifier(featuresCol="_features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed),
-        "boosted": lambda: GBTClassifier(featuresCol="_features", labelCol=target, maxIter=trees, maxDepth=depth, seed=seed),
-    }[kind]
-    stages = [Imputer(inputCols=columns, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_features", handleInvalid="keep"), make()]
-    return Pipeline(stages=stages).fit(df.filter(F.col(target).isNotNull()))
+    known = df.filter(F.col(target).isNotNull())
+    imputer = Imputer(inputCols=columns, outputCols=filled, strategy="median").fit(known)
+    counted = imputer.transform(known).groupBy(*filled, target).agg(F.count("*").cast("double").alias("_n"))
+    if kind == "forest":
+        counted = counted.withColumn("_draws", _draws(F.col("_n"), F.abs(F.xxhash64(F.lit(seed), *filled, target) % 2**62), trees))
+    counted = materialise(counted, "learning-counts")
+    rows, *drawn = counted.agg(F.count("*"), *[F.sum(F.col("_draws")[i]) for i in range(trees if kind == "forest" else 0)]).first()
+    assembler = VectorAssembler(inputCols=filled, outputCol="_features", handleInvalid="keep")
+    vectors = assembler.transform(counted.coalesce(max(1, -(-rows // ROWS)))).persist()
+
+    def boosted():
+        return GBTClassifier(featuresCol="_features", labelCol=target, weightCol="_n", maxIter=trees, maxDepth=depth, seed=seed).fit(vectors)
+
+    def tree(i: int):
+        weight = F.col("_draws")[i] if drawn[i] else F.col("_n")  # a bootstrap of very few rows may be empty
+        own = vectors.select("_features", target, weight.alias("_weight")).filter("_weight > 0")
+        made = RandomForestClassifier(
+            featuresCol="_features", labelCol=target, weightCol="_weight", probabilityCol=f"_tree_{i}", rawPredictionCol="", predictionCol="",
+            numTrees=1, maxDepth=depth, bootstrap=False, featureSubsetStrategy="sqrt" if trees > 1 else "all", seed=seed + i,
+        )
+        return made.fit(own)
+
+    try:
+        made = [boosted()] if kind == "boosted" else fitted(df.sparkSession, "tree" if rows <= ROWS else "large tree", [lambda i=i: tree(i) for i in range(trees)])
+    finally:
+        vectors.unpersist()
+    return PipelineModel([imputer, assembler, *made])
 
 
 def fitted(spark: SparkSession, kind: str, fits: list[Callable]) -> list:
@@ -40,22 +82,28 @@ def fitted(spark: SparkSession, kind: str, fits: list[Callable]) -> list:
         return list(pool.map(lambda fit: fit(), [inherit(f) for f in fits]))
 
 
+def _learners(model: PipelineModel) -> list:
+    """The stages that predict: boosted trees are one, a forest is as many as it has trees."""
+    return [x for x in model.stages if hasattr(x, "featureImportances")]
+
+
 def score(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
-    """Adds the probability of class 1; a model that saw one class gives it 1 or 0.
+    """Adds the probability of class 1, the mean over a forest's trees; one that saw one class gives it 1 or 0.
 
     Labels that were all 0 leave one entry, that of class 0; labels that were all 1 leave two.
     """
     out = model.transform(df)
-    p = vector_to_array("probability")
-    value = F.when(F.size(p) > 1, p[1]).otherwise(F.lit(0.0))
+    found = [vector_to_array(x.getProbabilityCol()) for x in _learners(model)]
+    value = sum((F.when(F.size(p) > 1, p[1]).otherwise(F.lit(0.0)) for p in found), F.lit(0.0)) / len(found)
     out = out.withColumn("_p", value)
     own = set(df.columns)
     return out.select(*[c for c in out.columns if c in own and c != name], F.col("_p").alias(name))
 
 
 def importances(model: PipelineModel, columns: list[str]) -> list[tuple[str, float]]:
-    """Columns by importance."""
-    weights = model.stages[-1].featureImportances.toArray().tolist()
+    """Columns by importance, the mean over a forest's trees; they come to 1."""
+    weights = sum(x.featureImportances.toArray() for x in _learners(model))
+    weights = (weights / (weights.sum() or 1.0)).tolist()
     return sorted(zip(columns, weights), key=lambda x: (-x[1], x[0]))
 
 
@@ -101,15 +149,16 @@ def walk_forward(df: DataFrame, columns: list[str], target: str, date: str, kind
     """A row of metrics for each fold in time but the first, trained on the folds before. One model a fold.
 
     ``df`` is read several times for each fold: give it a written table. Rows
-    are scored once.
+    that are equal in columns and target are scored once, and count as many.
     """
     d, folds = time_folds(df, date)
     models = fitted(df.sparkSession, kind, [lambda f=f: train(d.filter(F.col("fold") < f), columns, target, kind, trees) for f in folds[1:]])
-    scored = [score(m, d.filter(F.col("fold") == f)) for f, m in zip(folds[1:], models)]
+    counted = materialise(d.groupBy("fold", *columns, target).agg(F.count("*").alias("_n")), "fold-counts")
+    scored = [score(m, counted.filter(F.col("fold") == f)) for f, m in zip(folds[1:], models)]
     if not scored:  # one fold has no past: no rows
-        scored = [d.filter(F.lit(False)).withColumn("probability", F.lit(None).cast("double"))]
-    scored = materialise(reduce(DataFrame.unionByName, scored).select("fold", "probability", target), "fold-scores")
-    return stats.scores(scored, ["fold"], "probability", target).join(stats.auc(scored, ["fold"], "probability", target), "fold")
+        scored = [counted.filter(F.lit(False)).withColumn("probability", F.lit(None).cast("double"))]
+    scored = materialise(reduce(DataFrame.unionByName, scored).select("fold", "probability", target, "_n"), "fold-scores")
+    return stats.scores(scored, ["fold"], "probability", target, count="_n").join(stats.auc(scored, ["fold"], "probability", target, "_n"), "fold")
 
 
 def calibrate(df: DataFrame, p: str, target: str) -> IsotonicRegressionModel:

@@ -13,19 +13,22 @@ def _clip(p: Column, eps: float) -> Column:
     return F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
 
 
-def scores(df: DataFrame, group: list[str], p: str, y: str, cut: float = 0.5) -> DataFrame:
-    """Brier score, log loss, accuracy, precision and recall of each group."""
+def scores(df: DataFrame, group: list[str], p: str, y: str, cut: float = 0.5, count: str | None = None) -> DataFrame:
+    """Brier score, log loss, accuracy, precision and recall of each group. A row stands for ``count`` equal ones, or one."""
     prob, true = F.col(p), F.col(y).cast("double")
+    times = lambda x: x if count is None else x * F.col(count)
+    n = F.count("*") if count is None else F.sum(count)
+    mean = F.avg if count is None else lambda x: F.sum(times(x)) / n
     guess = prob >= cut
     c = _clip(prob, 1e-15)
-    hit = F.sum((guess & (true == 1)).cast("long"))
+    hit = F.sum(times((guess & (true == 1)).cast("long")))
     return df.filter(prob.isNotNull() & true.isNotNull()).groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(F.pow(prob - true, F.lit(2))), 6).alias("brier"),
-        F.round(-F.avg(true * F.ln(c) + (1 - true) * F.ln(1 - c)), 6).alias("log_loss"),
-        F.round(F.avg((guess == (true == 1)).cast("double")), 6).alias("accuracy"),
-        F.round(F.coalesce(safe_divide(hit, F.sum(guess.cast("long"))), F.lit(0.0)), 6).alias("precision"),
-        F.round(F.coalesce(safe_divide(hit, F.sum(true)), F.lit(0.0)), 6).alias("recall"),
+        n.alias("n"),
+        F.round(mean(F.pow(prob - true, F.lit(2))), 6).alias("brier"),
+        F.round(-mean(true * F.ln(c) + (1 - true) * F.ln(1 - c)), 6).alias("log_loss"),
+        F.round(mean((guess == (true == 1)).cast("double")), 6).alias("accuracy"),
+        F.round(F.coalesce(safe_divide(hit, F.sum(times(guess.cast("long")))), F.lit(0.0)), 6).alias("precision"),
+        F.round(F.coalesce(safe_divide(hit, F.sum(times(true))), F.lit(0.0)), 6).alias("recall"),
     )
 
 
@@ -33,13 +36,14 @@ def brier_grade(b: Column) -> Column:
     return F.when(b < 0.15, "EXCELLENT").when(b < 0.20, "GOOD").when(b < 0.25, "ACCEPTABLE").when(b < 0.30, "POOR").otherwise("BAD")
 
 
-def auc(df: DataFrame, group: list[str], p: str, y: str) -> DataFrame:
-    """Area under the ROC curve by rank sums with mean ranks for ties; null without both classes.
+def auc(df: DataFrame, group: list[str], p: str, y: str, count: str | None = None) -> DataFrame:
+    """Area under the ROC curve by rank sums with mean ranks for ties; null without both classes. A row stands for ``count`` equal ones, or one.
 
     Rows are reduced to counts by probability, and these are summed along
     blocks (``scan``), so a group may have any number of probabilities.
     """
-    d = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*group, p).agg(F.sum((F.col(y) == 1).cast("long")).alias("_pos"), F.sum((F.col(y) == 0).cast("long")).alias("_neg"))
+    n = F.lit(1) if count is None else F.col(count)
+    d = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*group, p).agg(F.sum((F.col(y) == 1).cast("long") * n).alias("_pos"), F.sum((F.col(y) == 0).cast("long") * n).alias("_neg"))
     d = scan.running_sum(scan.numbered(d, group, [p]), group, F.col("_neg").cast("double"), "_upto")
     d = d.withColumn("_won", F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
     return d.groupBy(*group).agg(F.round(safe_divide(F.sum("_won"), F.sum("_pos") * F.sum("_neg")), 6).alias("auc"))

@@ -78,3 +78,43 @@ def test_boosted_models_are_fitted_together_and_returned_in_order(spark):
         return i
 
     assert learning.fitted(spark, "boosted", [lambda i=i: fit(i) for i in range(2 * learning.TOGETHER["boosted"])]) == list(range(8))
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """12 different rows, 3,000 in all."""
+    rows = [(i, float(i % 3), None if i % 4 == 3 else float(i % 2), float(i % 12 in (0, 1, 4, 9))) for i in range(3000)]
+    return spark.createDataFrame(rows, "i int, a double, b double, y double")
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_equal_rows_are_learnt_from_as_one_with_their_number(spark, repeated, kind, monkeypatch):
+    written = []
+    monkeypatch.setattr(learning, "materialise", lambda d, label: written.append(materialise(d, label)) or written[-1])
+    model = learning.train(repeated, ["a", "b"], "y", kind, trees=6)
+    assert len(written) == 1 and written[0].count() < 12 and written[0].agg(F.sum("_n")).first()[0] == 3000
+    p = {(r["a"], r["b"]): r["probability"] for r in learning.score(model, repeated).select("a", "b", "probability").distinct().collect()}
+    assert len(p) == 9
+    rate = {(r["a"], r["b"]): r["r"] for r in repeated.groupBy("a", F.coalesce("b", F.lit(0.0)).alias("b")).agg(F.avg("y").alias("r")).collect()}
+    if kind == "forest":  # the trees part all six kinds of rows, each over its own bootstrap of hundreds of rows
+        assert all(v == pytest.approx(rate[a, b or 0.0], abs=0.06) for (a, b), v in p.items()) and any(v != rate[a, b or 0.0] for (a, b), v in p.items())
+        assert sum(w for _, w in learning.importances(model, ["a", "b"])) == pytest.approx(1.0)
+    else:
+        assert all((v > 0.5) == (rate[a, b or 0.0] > 0.5) for (a, b), v in p.items() if rate[a, b or 0.0] != 0.5)
+
+
+def test_draws_of_equal_rows_add_up_as_single_ones_do(spark):
+    d = spark.range(400).select(learning._draws(F.lit(900.0), F.col("id"), 5).alias("x"))
+    got = [v for r in d.collect() for v in r["x"]]
+    mean = sum(got) / len(got)
+    assert mean == pytest.approx(900, abs=4) and sum((v - mean) ** 2 for v in got) / len(got) == pytest.approx(900, rel=0.15)
+    assert [r["x"] for r in d.collect()] == [got[i : i + 5] for i in range(0, 2000, 5)]
+
+
+def test_metrics_of_counted_rows_are_those_of_all_rows(spark, repeated):
+    d = repeated.withColumn("g", F.col("i") % 2).withColumn("p", F.round((F.col("i") % 12) / 13 + F.col("y") / 20, 6))
+    counted = d.groupBy("g", "p", "y").agg(F.count("*").alias("n_"))
+    assert counted.count() == 12
+    near = lambda x: [tuple(round(v, 5) for v in r) for r in x.orderBy("g").collect()]
+    assert near(stats.scores(counted, ["g"], "p", "y", count="n_")) == near(stats.scores(d, ["g"], "p", "y"))
+    assert near(stats.auc(counted, ["g"], "p", "y", "n_")) == near(stats.auc(d, ["g"], "p", "y"))
